@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bpe import encode_decode
 from lodestone.llm.common import scratch_path
+from lodestone.llm.nearest import every_twentieth
 from lodestone.llm.shards import shard_table
 from lodestone.llm.token_counts import token_counts
+from lodestone.llm.toxicity import score_toxicity
 from lodestone.sources.tables import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(read_table(spark, sf_dir, "documents"), scratch_path(spark, "token-shards"))
 
@@ -25,10 +31,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return every_twentieth(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_shards": op3_token_shards,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_token_counts": op6_token_counts,
+    "op10_nearest_vectors": op10_nearest_vectors,
 }
 
 ORACLES: dict[str, str] = {}
