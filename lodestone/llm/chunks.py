@@ -127,3 +127,47 @@ def _grown(array: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(max(size, 2 * len(array)), array.dtype)
     out[: len(array)] = array
     return out
+
+
+#: Bytes that aren't part of a word of digits, letters and characters beyond ASCII, as spaces; A-Z in lower case.
+WORD_BYTES = bytes(b if b > 0x7F or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+#: Bytes with A-Z in lower case.
+LOWER_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+
+
+class WordedBatch:
+    """Words of a batch of texts as positions in a list of distinct words.
+
+    ``codes[offsets[i]:offsets[i + 1]]`` are the words of text ``i``. A table for
+    ``bytes.translate`` prepares the texts; what is white space then parts words.
+    """
+
+    def __init__(self, texts: pa.Array, table: bytes = WORD_BYTES):
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        _, places, data = texts.buffers()
+        if data is not None:
+            texts = pa.Array.from_buffers(pa.string(), len(texts), [None, places, pa.py_buffer(data.to_pybytes().translate(table))], offset=texts.offset)
+        parts = pc.ascii_split_whitespace(texts)
+        flat = parts.flatten().dictionary_encode()
+        self.words: list[str] = flat.dictionary.to_pylist()
+        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
+        if "" in self.words:  # before the first or after the last word of a text
+            real = codes != self.words.index("")
+            offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
+            codes = codes[real]
+        self.codes, self.offsets = codes, offsets
+
+
+def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` neighbours in an array of 64-bit hashes."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        out = np.full(n, np.uint64(k) * np.uint64(0xD6E8FEB86659FD93))
+        for j in range(k):
+            out = (out ^ hashes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out

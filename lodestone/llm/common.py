@@ -46,5 +46,5 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Key of a row's content; repeated rows share it, and so share one result."""
-    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    """Key of a row's content, never null; repeated rows share it, and so share one result."""
+    return F.concat_ws(":", F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)))

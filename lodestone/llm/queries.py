@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bpe import encode_decode
 from lodestone.llm.common import scratch_path
+from lodestone.llm.licenses import find_licenses
 from lodestone.llm.nearest import every_twentieth
+from lodestone.llm.secrets import find_secrets
 from lodestone.llm.shards import shard_table
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.toxicity import score_toxicity
@@ -27,10 +29,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every_twentieth(read_table(spark, sf_dir, "embeddings"))
 
@@ -39,7 +49,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_token_shards": op3_token_shards,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_secrets": op5_secrets,
     "op6_token_counts": op6_token_counts,
+    "op7_licenses": op7_licenses,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
 
