@@ -11,6 +11,7 @@ from lodestone.llm.common import scratch_path
 from lodestone.llm.decontaminate import find_contamination
 from lodestone.llm.licenses import find_licenses
 from lodestone.llm.nearest import every_twentieth
+from lodestone.llm.pii import find_pii
 from lodestone.llm.secrets import find_secrets
 from lodestone.llm.shards import shard_table
 from lodestone.llm.token_counts import token_counts
@@ -46,6 +47,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every_twentieth(read_table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_licenses": op7_licenses,
     "op8_decontamination": op8_decontamination,
+    "op9_pii": op9_pii,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
 
