@@ -18,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -55,11 +56,21 @@ class LibraryEncoder:
         self.tokenizer = _tokenizer(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
-    def chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for own in ids for i in own), np.uint32, int(lengths.sum()))
-        return flat, lengths
+    def chunks(self, chunks: list[str], step: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, joined, and their numbers; in steps, so that few objects live at a time."""
+        flat, lengths = [], []
+        for at in range(0, len(chunks), step):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[at : at + step], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[-1].sum())))
+        return (np.concatenate(flat), np.concatenate(lengths)) if flat else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str | None) -> tuple[LibraryEncoder, IdCache]:
+    """The encoder and what it has met; kept by a Python worker from task to task."""
+    encoder = LibraryEncoder(path)
+    return encoder, IdCache(encoder.chunks, 900_000)
 
 
 def pack(lengths: np.ndarray, keys: list[bytes | None], ids: np.ndarray, width: int) -> bytes:
@@ -95,8 +106,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     ordered = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("order_id"), tie.alias("tie")).repartitionByRange("order_id", "tie").sortWithinPartitions("order_id", "tie").select("key", "text", F.spark_partition_id().alias("part"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(tokenizer)
-        cache = IdCache(encoder.chunks)
+        encoder, cache = _encoder(tokenizer)
         lengths, keys, ids, size, seq, part = [], [], [], 0, 0, 0
 
         def shard() -> pa.RecordBatch:
