@@ -1,8 +1,60 @@
-"""Placeholder until every stage's operator is there."""
+"""From raw documents to token ids: five stages, each an operator of ``lodestone.llm``."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.bpe import encode_decode
+from lodestone.llm.common import stored
+from lodestone.llm.decontaminate import drop_contaminated
+from lodestone.llm.ngram_join import one_of_each
+from lodestone.llm.pii import redact
+from lodestone.llm.toxicity import drop_toxic
+from lodestone.sources.tables import read_table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the toxicity classifier rejects."""
+    return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each group of near copies."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a window of a benchmark item."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind; the number of characters follows the text."""
+    cleaned = redact(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode what is left; a row a document with its ids and their digests."""
+    return encode_decode(docs, with_ids=True)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("personal data", personal_data),
+    ("byte-level BPE", token_ids),
+]
+
+#: The stages learn, search a graph and merge byte pairs; SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each keeps is written and read again by the next."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

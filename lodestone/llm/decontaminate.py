@@ -38,17 +38,8 @@ def shingles(own: Column, k: int) -> Column:
     return F.when(F.size(own) >= k, F.transform(F.sequence(F.lit(0), F.size(own) - k), run)).otherwise(F.array().cast("array<string>"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Words of documents inside occurrences of windows of benchmark items.
-
-    A window is ``window`` consecutive words of an item; an item with fewer words,
-    but not none, is one window. Returns a row for each row of ``docs``: its id,
-    ``n_words``, ``n_hit`` (words inside any occurrence), ``n_items`` (items with
-    occurring windows), ``items_sha256`` (of their ids, as strings in order, joined
-    by commas) and ``contaminated``. A null text has no words; repeated rows of
-    either table give repeated results or count once; words that only items with
-    a null id mark count as hit, but those items don't count.
-    """
+def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` (id, ``row``, ``n_words``), and those with windows: ``row``, ``n_hit``, ``items``."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), row_key(item_id, item_text).alias("item_row"), words(F.col(item_text)).alias("w")).dropDuplicates(["item_row"]).filter(F.size("w") > 0).select("item", "item_row", "w", F.least(F.size("w"), F.lit(window)).alias("length"), F.least(F.size("w"), F.lit(k)).alias("k"))
     # one of at most k sizes for each item: k for all but items of fewer words
     own = F.lit(None).cast("array<string>")
@@ -89,5 +80,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     spans = island.groupBy("row", "item", "item_row", "diagonal", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("last"), F.first("k").alias("k"), F.first("need").alias("need"), F.count("*").alias("n")).filter("n >= need")
     inside = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("last") + F.col("k") - 1))))
     found = spans.groupBy("row").agg(F.size(inside).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
+    return met.filter(F.col("pos").isNull()).select(id_col, "row", F.col("n_words").cast("long").alias("n_words")), found
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
+    """Words of documents inside occurrences of windows of benchmark items.
+
+    A window is ten (``window``) consecutive words of an item; an item with fewer
+    words, but not none, is one window. Returns a row for each row of ``docs``: its
+    id, ``n_words``, ``n_hit`` (words inside any occurrence), ``n_items`` (items
+    with occurring windows), ``items_sha256`` (of their ids, as strings in order,
+    joined by commas) and ``contaminated``. A null text has no words; repeated
+    documents give repeated results, repeated items count once; words that only
+    items with a null id mark count as hit, but those items don't count.
+    """
+    rows, found = find_windows(docs, benchmark, id_col=id_col, **options)
     none = F.array().cast("array<string>")
-    return met.filter(F.col("pos").isNull()).join(found, "row", "left").select(id_col, F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+    return rows.join(found, "row", "left").select(id_col, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of a benchmark item."""
+    _, found = find_windows(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    return docs.withColumn("__row", row_key(id_col, text_col)).join(found.select(F.col("row").alias("__row")), "__row", "left_anti").select(docs.columns)

@@ -143,7 +143,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bo
     merged = spans.withColumn("group", F.sum(apart.cast("int")).over(sides)).groupBy("row", "group").agg(F.min(F.struct("start", "kind")).alias("first"), F.max("end").alias("end"))
     cuts = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias("cuts"))
     names = F.array(*(F.lit(f"[{name.upper()}]") for name in KINDS))
-    text, parts = F.col(text_col), F.col("cuts")
+    text, parts = F.col(text_col), F.col("__cuts")
 
     def part(cut: Column, i: Column) -> Column:
         since = F.when(i == 0, F.lit(0)).otherwise(F.get(parts, i - 1)["end"])
@@ -151,5 +151,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bo
 
     rest = F.substring(text, (F.element_at(parts, -1)["end"] + 1).cast("int"), F.length(text))
     cleaned = F.when(parts.isNull(), text).otherwise(F.concat(F.array_join(F.transform(parts, part), ""), rest))
-    keyed = docs.withColumn("row", row_key(id_col, text_col))
-    return keyed.join(cuts, "row", "left").select(*(cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
+    return keyed.join(cuts.withColumnRenamed("row", "__row").withColumnRenamed("cuts", "__cuts"), "__row", "left").select(*(cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns))

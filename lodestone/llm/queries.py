@@ -11,6 +11,7 @@ from lodestone.llm.common import scratch_path
 from lodestone.llm.decontaminate import find_contamination
 from lodestone.llm.licenses import find_licenses
 from lodestone.llm.nearest import every_twentieth
+from lodestone.llm.ngram_join import jaccard_join
 from lodestone.llm.pii import find_pii
 from lodestone.llm.secrets import find_secrets
 from lodestone.llm.shards import shard_table
@@ -23,6 +24,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(read_table(spark, sf_dir, "documents"), scratch_path(spark, "token-shards"))
 
@@ -57,6 +62,7 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_token_shards": op3_token_shards,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secrets": op5_secrets,

@@ -215,3 +215,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = train(docs, labels, ~held_out(F.col("id")), id_col, text_col)
     scored = score(docs.select(F.col(id_col), F.col(text_col)), model, id_col, text_col)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the classifier doesn't call toxic."""
+    model = train(docs, labels, ~held_out(F.col("id")), id_col, text_col)
+    return score(docs, model, id_col, text_col).filter("predicted = 0").select(docs.columns)
