@@ -286,7 +286,7 @@ def shard_table(docs: DataFrame, out: str, tokenizer: str | None = None, end_id:
     write_shards(docs, f"{out}/shards", tokenizer, end_id, id_col, text_col, shard_ids)
     entries = directory(spark, f"{out}/shards")
     entries.write.parquet(f"{out}/directory")
-    entries = spark.read.parquet(f"{out}/directory")
+    entries = spark.read.schema(entries.schema).parquet(f"{out}/directory")
     buckets = write_index(entries, f"{out}/index", bucket_keys)
     places = look_up(entries, f"{out}/index", buckets).withColumn("indexed", F.lit(True))
     kind = docs.schema[id_col].dataType

@@ -180,13 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
     return ToxicityModel({name: by_column[i] for i, name in enumerate(names)}, by_column[-1])
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to each row's other columns.
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Add a score (0 to 1) and a prediction (1 from 0.5 on), under ``names``, to each row's other columns.
 
     Whole texts are scored, by themselves alone. A null or empty text has no
     features and gets the score of the bias.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     text_at = docs.columns.index(text_col)
     place = {f: i for i, f in enumerate(model.weights)}
     weights, bias = np.array(list(model.weights.values()), float), model.bias
@@ -213,11 +213,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     ``predicted``. Repeated rows get the same score; an empty table gives none.
     """
     model = train(docs, labels, ~held_out(F.col("id")), id_col, text_col)
-    scored = score(docs.select(F.col(id_col), F.col(text_col)), model, id_col, text_col)
+    scored = score(docs.select(F.col(id_col), F.col(text_col)), model, text_col)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that the classifier doesn't call toxic."""
     model = train(docs, labels, ~held_out(F.col("id")), id_col, text_col)
-    return score(docs, model, id_col, text_col).filter("predicted = 0").select(docs.columns)
+    return score(docs, model, text_col, ("__score", "__predicted")).filter("__predicted = 0").select(docs.columns)
