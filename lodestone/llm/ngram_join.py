@@ -35,6 +35,16 @@ from lodestone.llm.components import connected
 SHINGLE = 3
 #: Counters of the sketch that orders shingles; 4 MB, whatever the input. The order decides the cost, never the result.
 COUNTERS, SLICES = 1 << 20, 64
+#: Bits of the table that tells which texts are to be read again; 4 MB, whatever the input. A clash costs time only.
+MARKS = 1 << 25
+#: Texts that are cut into shingles at a time.
+STEP = 500
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, STEP):
+            yield whole.slice(at, STEP)
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -58,7 +68,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in _steps(batches):
             sets = list(shingle_sets(batch.column(0), k))
             if sets:
                 counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
@@ -80,6 +90,38 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     return table.ravel()
 
 
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """Words of a bitmap with a bit set for the hash of each ``node``; ``MARKS`` bits, however many nodes."""
+    bits = nodes.select(_slot("node").alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # MARKS / 64 rows at most
+    table = np.zeros(MARKS >> 6, np.int64)
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return table
+
+
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(MARKS).cast("long"))
+
+
+def _sets_of(nodes: DataFrame, texts: DataFrame, repeated: bool, k: int) -> DataFrame:
+    """The sets of the texts ``id``, ``text`` whose ids are among ``nodes``; the rest are passed over by their marks."""
+    marks = texts.sparkSession.sparkContext.broadcast(_marks(nodes))  # of fixed size
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = marks.value
+        for batch in _steps(batches):
+            slots = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((table[slots >> 6] >> (slots & 63)) & 1 == 1))
+            own = list(shingle_sets(batch.column(1), k))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in own])]), pa.int32())
+            flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["node", "shingles"])
+
+    schema = T.StructType([T.StructField("node", texts.schema["id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    sets = texts.filter("id is not null").select("id", "text", _slot("id").alias("slot")).mapInArrow(read, schema)
+    return sets.distinct() if repeated else sets
+
+
 def _bounds(percent: int) -> tuple[Column, Column]:
     """Conditions on sizes ``n``, ``m``: that they can link, and the largest symmetric difference of a link, times (100 + percent)."""
     sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
@@ -98,22 +140,14 @@ def _links(compared: DataFrame, percent: int) -> DataFrame:
     return compared.filter(F.col("overlap") * 100 >= union * percent)
 
 
-def jaccard_join(docs: DataFrame, percent: int = 90, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
-
-    Words are what white space parts once A-Z are lowered. Returns a row for each
-    row of ``docs``: its id, ``n_shingles`` (the size of its set), ``component_id``
-    (the smallest id that links reach, its own included) and ``n_copies`` (rows
-    with an equal set, itself included). A null or empty text has an empty set and
-    links with nothing. Rows with a null id take no part in links and have a null
-    component. Rows that repeat an id are joined each by its own text.
-    """
+def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """For each row of ``docs``: ``id``, ``text_hash``, ``n``, ``component`` and ``copies``."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_sketch(texts.filter("id is not null").select("text"), k))  # of fixed size
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = common.value
-        for batch in batches:
+        for batch in _steps(batches):
             sizes, digests, prefixes, lengths = [], [], [], []
             for own in shingle_sets(batch.column(1), k):
                 n = len(own)
@@ -125,11 +159,12 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = SHINGLE, id_col: s
                 lengths.append(first)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["id", "text_hash", "n", "digest", "prefix"])
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    rows = stored(texts.mapInArrow(read, schema), "shingle-rows")
+    schema = T.StructType([T.StructField("id", kind), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    rows = stored(texts.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(read, schema), "shingle-rows")
+    repeated = not rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
     # one set of each class of equal sets, under the smallest id that has it
     classes = stored(rows.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "shingle-classes")
 
@@ -145,18 +180,8 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = SHINGLE, id_col: s
     leader_of = led.groupBy("node").agg(F.min("leader").alias("leader"))
     leader_of = stored(leader_of, "shingle-leaders")
 
-    # sets of those that lists bring together, read from the texts again; two in a list at least
-    needed = stored(lists.select("node").distinct(), "shingle-nodes")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = list(shingle_sets(batch.column(1), k))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in own])]), pa.int32())
-            flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["node", "shingles"])
-
-    wanted = texts.join(needed.withColumnRenamed("node", "id"), "id", "left_semi")
-    sets = stored(wanted.mapInArrow(sets_of, T.StructType([T.StructField("node", kind), T.StructField("shingles", T.ArrayType(T.LongType()))])).distinct(), "shingle-sets")
+    # only the sets that are to be compared are read from the texts again
+    sets = stored(_sets_of(leader_of.select(F.explode(F.array("node", "leader")).alias("node")), texts, repeated, k), "shingle-sets")
 
     first = stored(_verified(leader_of.select(F.col("node").alias("a"), F.col("leader").alias("b")), sets), "shingle-compared")
     links = stored(_links(first, percent).select("a", "b").distinct(), "shingle-links")
@@ -178,25 +203,40 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = SHINGLE, id_col: s
     apart = F.when(F.col("leader") == F.col("other_leader"), F.abs(F.col("far") - F.col("other_far"))).when(F.col("leader") == F.col("other"), F.col("far")).when(F.col("other_leader") == F.col("node"), F.col("other_far")).otherwise(0)
     pairs = met.join(one, ["shingle", "pos", "component"]).join(two, ["shingle", "other_pos", "other_component"]).filter(able & ahead & ((100 + percent) * apart <= room))
     pairs = stored(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "shingle-pairs")
+    sets = stored(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, repeated, k), "shingle-sets")
     more = _links(_verified(pairs, sets), percent).select("a", "b").distinct()
     components = connected(links.unionByName(more))
 
     named = classes.select("digest", "node", "copies").join(components, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component"))
-    joined = rows.select("id", "n", "digest").join(named, "digest", "left")
+    joined = rows.select("id", "text_hash", "n", "digest").join(named, "digest", "left")
     alone = F.col("id").isNotNull()
-    return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.coalesce("component", "id")).alias("component_id"), F.when(alone & (F.col("n") > 0), F.col("copies")).otherwise(1).cast("long").alias("n_copies"))
+    return joined.select("id", "text_hash", "n", F.when(alone, F.coalesce("component", "id")).alias("component"), F.when(alone & (F.col("n") > 0), F.col("copies")).otherwise(1).cast("long").alias("copies"))
+
+
+def jaccard_join(docs: DataFrame, percent: int = 90, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
+
+    Words are what white space parts once A-Z are lowered. Returns a row for each
+    row of ``docs``: its id, ``n_shingles`` (the size of its set), ``component_id``
+    (the smallest id that links reach, its own included) and ``n_copies`` (rows
+    with an equal set, itself included). A null or empty text has an empty set and
+    links with nothing. Rows with a null id take no part in links and have a null
+    component. Rows that repeat an id are joined each by its own text.
+    """
+    joined = _joined(docs, percent, k, id_col, text_col)
+    return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.col("copies").alias("n_copies"))
 
 
-def one_of_each(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 90, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, less those linked with a row of a smaller id.
 
     Of rows that repeat an id and a text one stays. Rows with a null id stay.
     """
-    joined = jaccard_join(docs, percent, id_col=id_col, text_col=text_col)
-    joined = stored(joined.select(id_col, "component_id"), "shingle-components").filter(F.col(id_col).isNotNull())
-    gone = joined.filter(F.col(id_col) != F.col("component_id")).select(id_col)
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    repeated = joined.groupBy(id_col).agg(F.count("*").alias("rows")).filter("rows > 1").select(id_col)
+    joined = stored(_joined(docs, percent, k, id_col, text_col).filter("id is not null").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "component"), "shingle-components")
+    keyed = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)})
+    kept = keyed.join(joined.filter("__id <> component").select("__id", "__hash"), ["__id", "__hash"], "left_anti")
+    repeated = joined.groupBy("__id", "__hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("__id", "__hash")
     if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, id_col, "left_anti").unionByName(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])).select(docs.columns)
+        return kept.select(docs.columns)
+    once = kept.join(repeated, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    return kept.join(repeated, ["__id", "__hash"], "left_anti").unionByName(once).select(docs.columns)
