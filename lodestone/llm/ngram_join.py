@@ -7,10 +7,13 @@ so index lists hold those alone. Two relations of sets then skip work:
 * Index lists are dealt into blocks by position. A shared shingle that stands late
   in both sets leaves too little behind it for the overlap that a link needs, so
   whole pairs of blocks are passed over by their positions and sizes.
-* Every set is first compared with one set that leads its lists. The distance to
-  the leader bounds the distances among those that follow it: pairs that the
+* Every set is first compared with the sets that lead its lists. The distance to
+  a leader bounds the distances among those that follow it: pairs that the
   bounds decide, and pairs already connected, need no comparison of their own.
 
+A sketch of 64 bytes bounds the difference of two sets from below, so that only
+sets that may link are read whole; it decides cost alone, never a result.
+
 Sets are compared as 64-bit hashes of their shingles. Equal sets are one class
 from the start, so copies, however many, cost a row each.
 """
@@ -37,6 +40,8 @@ SHINGLE = 3
 COUNTERS, SLICES = 1 << 20, 64
 #: Bits of the table that tells which texts are to be read again; 4 MB, whatever the input. A clash costs time only.
 MARKS = 1 << 25
+#: Cells of a set's own sketch, a byte each.
+CELLS = 64
 #: Texts that are cut into shingles at a time.
 STEP = 500
 
@@ -128,6 +133,26 @@ def _bounds(percent: int) -> tuple[Column, Column]:
     return sizes, (F.col("n") + F.col("m")) * (100 - percent)
 
 
+def _sketched(own: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each cell, 255 at most."""
+    return np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` that may link: the cells of two sketches differ by no more in all than the sets do."""
+    of = lambda end, size, sketch: classes.select(F.col("node").alias(end), F.col("n").alias(size), F.col("sketch").alias(sketch))
+    both = pairs.join(of("a", "n", "of_a"), "a").join(of("b", "m", "of_b"), "b").select("a", "b", (F.col("n") + F.col("m")).alias("sum"), "of_a", "of_b")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32) for i in (3, 4))
+            sums = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            near = (100 + percent) * np.abs(one - two).sum(1) <= (100 - percent) * sums
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return both.mapInArrow(keep, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``a``, ``b`` with the size of their sets' overlap."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
@@ -148,42 +173,42 @@ def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = common.value
         for batch in _steps(batches):
-            sizes, digests, prefixes, lengths = [], [], [], []
+            sizes, digests, sketches, prefixes, lengths = [], [], [], [], []
             for own in shingle_sets(batch.column(1), k):
                 n = len(own)
                 sizes.append(n)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
+                sketches.append(_sketched(own))
                 first = n - required(n, percent) + 1 if n else 0
                 order = np.argsort(counts[(own & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:first]
                 prefixes.append(own[order].view(np.int64))
                 lengths.append(first)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["id", "text_hash", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["id", "text_hash", "n", "digest", "sketch", "prefix"])
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     rows = stored(texts.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(read, schema), "shingle-rows")
     repeated = not rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
     # one set of each class of equal sets, under the smallest id that has it
-    classes = stored(rows.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "shingle-classes")
+    classes = stored(rows.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "shingle-classes")
 
     lists = classes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
     shared = lists.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1").select("shingle")
     lists = stored(lists.join(shared, "shingle"), "shingle-lists")
 
-    # each set with the leader of its lists: the one whose shared shingle stands first
+    # each set with the leaders of its lists: of each list the one that its shingle stands first in
     able, room = _bounds(percent)
     ahead = (100 + percent) * (F.col("pos") + F.col("other_pos")) <= room
     leaders = lists.groupBy("shingle").agg(F.min(F.struct("pos", "n", "node")).alias("l"))
     led = lists.join(leaders, "shingle").select("node", "n", "pos", F.col("l.node").alias("leader"), F.col("l.n").alias("m"), F.col("l.pos").alias("other_pos")).filter(able & ahead & (F.col("node") != F.col("leader")))
-    leader_of = led.groupBy("node").agg(F.min("leader").alias("leader"))
-    leader_of = stored(leader_of, "shingle-leaders")
+    led = stored(_near(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), classes, percent), "shingle-leaders")
 
     # only the sets that are to be compared are read from the texts again
-    sets = stored(_sets_of(leader_of.select(F.explode(F.array("node", "leader")).alias("node")), texts, repeated, k), "shingle-sets")
+    sets = stored(_sets_of(led.select(F.explode(F.array("a", "b")).alias("node")), texts, repeated, k), "shingle-sets")
 
-    first = stored(_verified(leader_of.select(F.col("node").alias("a"), F.col("leader").alias("b")), sets), "shingle-compared")
+    first = stored(_verified(led, sets), "shingle-compared")
     links = stored(_links(first, percent).select("a", "b").distinct(), "shingle-links")
     groups = connected(links)
 
@@ -202,7 +227,7 @@ def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -
     two = placed.select("shingle", F.col("pos").alias("other_pos"), F.col("component").alias("other_component"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("leader").alias("other_leader"), F.col("far").alias("other_far"))
     apart = F.when(F.col("leader") == F.col("other_leader"), F.abs(F.col("far") - F.col("other_far"))).when(F.col("leader") == F.col("other"), F.col("far")).when(F.col("other_leader") == F.col("node"), F.col("other_far")).otherwise(0)
     pairs = met.join(one, ["shingle", "pos", "component"]).join(two, ["shingle", "other_pos", "other_component"]).filter(able & ahead & ((100 + percent) * apart <= room))
-    pairs = stored(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "shingle-pairs")
+    pairs = stored(_near(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), classes, percent), "shingle-pairs")
     sets = stored(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, repeated, k), "shingle-sets")
     more = _links(_verified(pairs, sets), percent).select("a", "b").distinct()
     components = connected(links.unionByName(more))
