@@ -194,7 +194,7 @@ def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -
     # one set of each class of equal sets, under the smallest id that has it
     classes = stored(rows.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "shingle-classes")
 
-    lists = classes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    lists = classes.select("node", "n", "prefix", F.posexplode("prefix").alias("pos", "shingle")).select("node", "n", "pos", "shingle", F.get("prefix", F.col("pos") - 1).alias("before"))
     shared = lists.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1").select("shingle")
     lists = stored(lists.join(shared, "shingle"), "shingle-lists")
 
@@ -214,7 +214,7 @@ def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -
 
     # what is known of each set: its component so far, its leader, and its distance to it
     known = first.groupBy("a").agg(F.min(F.struct(F.col("b").alias("leader"), (F.col("n") + F.col("m") - 2 * F.col("overlap")).alias("far"))).alias("k")).select(F.col("a").alias("node"), "k.leader", "k.far")
-    placed = lists.join(groups, "node", "left").join(known, "node", "left").select("shingle", "pos", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0)).alias("far"))
+    placed = lists.join(groups, "node", "left").join(known, "node", "left").select("shingle", "pos", "before", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0)).alias("far"))
     placed = stored(placed, "shingle-placed")
     open_ = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
     placed = placed.join(open_, "shingle", "left_semi")
@@ -223,10 +223,12 @@ def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -
     other = blocks.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("pos", "component", "lo_n", "hi_n")))
     reachable = (F.col("component") < F.col("other_component")) & ((100 + percent) * (F.col("pos") + F.col("other_pos")) <= (F.col("hi_n") + F.col("other_hi_n")) * (100 - percent)) & (F.col("hi_n") * 100 >= F.col("other_lo_n") * percent) & (F.col("other_hi_n") * 100 >= F.col("lo_n") * percent)
     met = blocks.join(other, "shingle").filter(reachable).select("shingle", "pos", "component", "other_pos", "other_component")
-    one = placed.select("shingle", "pos", "component", "node", "n", "leader", "far")
-    two = placed.select("shingle", F.col("pos").alias("other_pos"), F.col("component").alias("other_component"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("leader").alias("other_leader"), F.col("far").alias("other_far"))
+    one = placed.select("shingle", "pos", "component", "before", "node", "n", "leader", "far")
+    two = placed.select("shingle", F.col("pos").alias("other_pos"), F.col("component").alias("other_component"), F.col("before").alias("other_before"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("leader").alias("other_leader"), F.col("far").alias("other_far"))
     apart = F.when(F.col("leader") == F.col("other_leader"), F.abs(F.col("far") - F.col("other_far"))).when(F.col("leader") == F.col("other"), F.col("far")).when(F.col("other_leader") == F.col("node"), F.col("other_far")).otherwise(0)
-    pairs = met.join(one, ["shingle", "pos", "component"]).join(two, ["shingle", "other_pos", "other_component"]).filter(able & ahead & ((100 + percent) * apart <= room))
+    # sets that share the shingle before as well have met in its list, where they stand further ahead
+    new = F.coalesce(F.col("before") != F.col("other_before"), F.lit(True))
+    pairs = met.join(one, ["shingle", "pos", "component"]).join(two, ["shingle", "other_pos", "other_component"]).filter(new & able & ahead & ((100 + percent) * apart <= room))
     pairs = stored(_near(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), classes, percent), "shingle-pairs")
     sets = stored(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, repeated, k), "shingle-sets")
     more = _links(_verified(pairs, sets), percent).select("a", "b").distinct()
