@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.chunks import ChunkedBatch, IdCache
+from lodestone.llm.chunks import ChunkedBatch, IdCache, in_steps
 
 NONE = np.iinfo(np.int32).max
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -278,7 +278,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
         decimal: list[str] = []
         decoded: list[bytes] = []
         age = cache.age
-        for batch in batches:
+        for batch in in_steps(batches):
             chunked = ChunkedBatch(batch.column(1))
             slots = cache.slots(chunked.keys)
             if cache.age != age:

@@ -9,7 +9,7 @@ dictionary-encoded in Arrow, and only distinct chunks reach an encoder.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,13 @@ import pyarrow.compute as pc
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+def in_steps(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of no more than so many rows: what is made of each text's words stays small."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 class ChunkedBatch:
     """Chunks of texts as positions in a list of distinct keys.
 

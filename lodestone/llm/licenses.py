@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.llm.chunks import WORD_BYTES, WordedBatch, rolling
+from lodestone.llm.chunks import WORD_BYTES, WordedBatch, in_steps, rolling
 from lodestone.llm.common import row_key, stored
 
 #: Phrases that count wherever their words stand together, and their labels.
@@ -85,7 +85,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrase
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("row", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("run", T.LongType()), T.StructField("run_words", T.StringType())])))])
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_steps(batches):
             own = WordedBatch(batch.column(2))
             hashes = _hashes(own.words)[own.codes]
             ends = np.repeat(own.offsets[1:], np.diff(own.offsets))

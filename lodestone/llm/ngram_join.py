@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.chunks import LOWER_BYTES, WordedBatch, rolling
+from lodestone.llm.chunks import LOWER_BYTES, WordedBatch, in_steps, rolling
 from lodestone.llm.common import stored
 from lodestone.llm.components import connected
 
@@ -46,12 +46,6 @@ CELLS = 64
 STEP = 500
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, STEP):
-            yield whole.slice(at, STEP)
-
-
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
     """The set of each text: hashes of its distinct runs of ``k`` words, in order; of fewer words, of all as one."""
     own = WordedBatch(texts, LOWER_BYTES)
@@ -73,7 +67,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        for batch in _steps(batches):
+        for batch in in_steps(batches, STEP):
             sets = list(shingle_sets(batch.column(0), k))
             if sets:
                 counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
@@ -114,7 +108,7 @@ def _sets_of(nodes: DataFrame, texts: DataFrame, repeated: bool, k: int) -> Data
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = marks.value
-        for batch in _steps(batches):
+        for batch in in_steps(batches, STEP):
             slots = batch.column(2).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((table[slots >> 6] >> (slots & 63)) & 1 == 1))
             own = list(shingle_sets(batch.column(1), k))
@@ -172,7 +166,7 @@ def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = common.value
-        for batch in _steps(batches):
+        for batch in in_steps(batches, STEP):
             sizes, digests, sketches, prefixes, lengths = [], [], [], [], []
             for own in shingle_sets(batch.column(1), k):
                 n = len(own)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.chunks import ChunkedBatch, IdCache
+from lodestone.llm.chunks import ChunkedBatch, IdCache, in_steps
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -134,7 +134,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096, id
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         cache = IdCache(own.chunks)
-        for batch in batches:
+        for batch in in_steps(batches):
             chunked = ChunkedBatch(_spaced(batch.column(1)))
             slots = cache.slots(chunked.keys)
             each = cache.lengths[slots][chunked.codes]

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.chunks import in_steps
 from lodestone.llm.common import stored
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -142,13 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                rows, columns, values, place = WordBatch(batch.column(1)).rates(None)
-                names = np.array(list(place), object)
-                ids, positive = batch.column(0).to_numpy(zero_copy_only=False), np.asarray(batch.column(2).to_pylist(), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(positive[rows]), pa.array(names[columns], pa.string()), pa.array(values, pa.float64())], names=["id", "positive", "feature", "value"])
+        for batch in in_steps(batches, 200):
+            rows, columns, values, place = WordBatch(batch.column(1)).rates(None)
+            names = np.array(list(place), object)
+            ids, positive = batch.column(0).to_numpy(zero_copy_only=False), np.asarray(batch.column(2).to_pylist(), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(positive[rows]), pa.array(names[columns], pa.string()), pa.array(values, pa.float64())], names=["id", "positive", "feature", "value"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("positive", T.BooleanType()), T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())])
     rates = stored(texts.select("id", "text", "positive").mapInArrow(extract, schema), "toxicity-features")
@@ -192,7 +191,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", names:
     weights, bias = np.array(list(model.weights.values()), float), model.bias
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_steps(batches):
             rows, columns, values, _ = WordBatch(batch.column(text_at)).rates(place)
             logits = bias + np.bincount(rows, values * weights[columns], minlength=batch.num_rows) if len(rows) else np.full(batch.num_rows, bias)
             scores = _logistic(logits)
