@@ -20,8 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near copies."""
-    return one_of_each(docs)
+    """Keep the document of the smallest id of each group of near copies: five-word shingles alike by 0.8 or more."""
+    return one_of_each(docs, percent=80, k=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

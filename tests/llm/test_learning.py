@@ -172,6 +172,29 @@ def test_nearest_vectors_of_few_and_none(spark):
     assert nearest.every_twentieth(spark.createDataFrame([(1, [1.0])], schema)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pipeline_stage_drops_near_copies_by_five_words(spark, seed):
+    """The stage against brute force at five-word shingles and 0.8, with a copy that only these values link."""
+    own = [f"w{seed}x{i}" for i in range(52)]
+    rows = near_copies(seed) + [(1, " ".join(own)), (2, " ".join([*own[:26], "changed", *own[27:]])), (3, "a few words"), (4, "a few words")]
+    sets = {}
+    for i, text in rows:
+        w = text.split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    least = {i: i for i in sets}  # spread the smallest id over links until nothing changes
+    ids = sorted(sets)
+    links = [(i, j) for k, j in enumerate(ids) for i in ids[:k] if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) > 0]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(least[i], least[j])
+            changed |= least[i] != low or least[j] != low
+            least[i] = least[j] = low
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()]
+    assert sorted(kept) == [i for i in ids if least[i] == i] and 1 in kept and 2 not in kept
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on planted cases: toxic texts, near copies, benchmark passages and personal data."""
     rows, labels = toxic_rows(200)
