@@ -199,5 +199,5 @@ def streamed_counts(t: Tables) -> DataFrame:
     """The tumbling counts, from a stream that is read to its end."""
     schema = T.StructType([f for f in t.events.schema.fields])
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.directory)
-    sessions.to_memory(sessions.tumbling_counts(sessions.timed(stream, late="1 day")), "streamed_counts", "complete")
-    return rounded(t.spark.table("streamed_counts").withColumn("start", F.col("start").cast("timestamp_ntz")))
+    counts = sessions.complete_result(sessions.tumbling_counts(sessions.timed(stream, late="1 day")), "streamed-counts")
+    return rounded(counts.withColumn("start", F.col("start").cast("timestamp_ntz")))

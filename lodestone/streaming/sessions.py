@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,5 +80,24 @@ def top_metrics(events: DataFrame, metric: str, k: int = 10) -> DataFrame:
 def to_memory(stream: DataFrame, name: str, mode: str = "append") -> StreamingQuery:
     """Run a stream into a table in memory until its input is used up; for tests and previews."""
     running = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination(120)
+    running.awaitTermination()
     return running
+
+
+def complete_result(stream: DataFrame, name: str) -> DataFrame:
+    """The whole result of an aggregated stream once its input is used up, however long that takes.
+
+    Each trigger replaces the files of the one before, below ``spark.checkpoint.dir``; a
+    stream that fails raises its own error.
+    """
+    spark = stream.sparkSession
+    # the fallback only where the session names no shared folder, as in local tests
+    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def replace(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows")
+
+    replace(spark.createDataFrame([], stream.schema), -1)  # a stream without any input has no trigger
+    running = stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
