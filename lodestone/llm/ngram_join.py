@@ -2,17 +2,22 @@
 
 A document's set is its distinct three-word shingles, ordered by how common they
 are. Two sets that are similar enough share a shingle among the first few of each,
-so index lists hold those alone. Two relations of sets then skip work:
-
-* Index lists are dealt into blocks by position. A shared shingle that stands late
-  in both sets leaves too little behind it for the overlap that a link needs, so
-  whole pairs of blocks are passed over by their positions and sizes.
-* Every set is first compared with the sets that lead its lists. The distance to
-  a leader bounds the distances among those that follow it: pairs that the
-  bounds decide, and pairs already connected, need no comparison of their own.
-
-A sketch of 64 bytes bounds the difference of two sets from below, so that only
-sets that may link are read whole; it decides cost alone, never a result.
+so index lists hold those alone; a set stands only in lists of sets about as large.
+
+* A list of a few sets is compared pair by pair.
+* In a longer list all sets are compared with one that leads it, and what they
+  answer to the others is derived from that answer alone: sets differ from one
+  another exactly where their differences to the leader differ. Sets whose
+  differences are small together are linked with the leader, so nothing is left
+  to ask; the others can only be linked if the rarest parts of their differences
+  meet. Those parts are index lists again, a row for each place, dealt into
+  blocks by position: two blocks that stand so late, or hold sets of such sizes
+  and distances, that the difference would be too large are passed over whole.
+* Pairs that are connected already are not compared.
+
+A group of near copies so costs its size, not its square. A sketch of 64 bytes
+bounds the difference of two sets from below, so that only sets that may link are
+compared whole; it decides cost alone, never a result.
 
 Sets are compared as 64-bit hashes of their shingles. Equal sets are one class
 from the start, so copies, however many, cost a row each.
@@ -21,12 +26,14 @@ from the start, so copies, however many, cost a row each.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +43,15 @@ from lodestone.llm.common import stored
 from lodestone.llm.components import connected
 
 SHINGLE = 3
-#: Counters of the sketch that orders shingles; 4 MB, whatever the input. The order decides the cost, never the result.
-COUNTERS, SLICES = 1 << 20, 64
+#: Counters of the sketch that orders shingles: from the first to the second number of them, by the bytes of the
+#: texts; 2 to 16 MB. The order decides the cost, never the result.
+COUNTERS, SLICES = (1 << 20, 1 << 23), 64
+#: Bytes of text for each counter.
+BYTES_A_COUNTER = 64
 #: Bits of the table that tells which texts are to be read again; 4 MB, whatever the input. A clash costs time only.
 MARKS = 1 << 25
+#: Sets of a list up to which it is compared pair by pair: 28 pairs at most.
+FEW = 8
 #: Cells of a set's own sketch, a byte each.
 CELLS = 64
 #: Texts that are cut into shingles at a time.
@@ -61,34 +73,46 @@ def required(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def counters(n_bytes: int) -> int:
+    """Counters of the sketch for texts of so many bytes: a power of two."""
+    return min(COUNTERS[1], max(COUNTERS[0], 1 << (n_bytes // BYTES_A_COUNTER).bit_length()))
+
+
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Count the documents of all shingles in a table of fixed size, in the tasks and then in two steps of sums."""
-    width = COUNTERS // SLICES
+    """Count the documents of all shingles in a table of bounded size, in the tasks and then in two steps of sums."""
+    cells = counters(docs.select(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
+    width = cells // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(cells, np.int32)
         for batch in in_steps(batches, STEP):
             sets = list(shingle_sets(batch.column(0), k))
             if sets:
-                counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        parts = [p.astype("<u4").tobytes() for p in np.minimum(counts, 0xFFFFFFFF).reshape(SLICES, width)]
+                np.add.at(counts, (np.concatenate(sets) & np.uint64(cells - 1)).astype(np.int64), 1)
+        # a task's count of a cell stops at 255: what is so common comes last anyhow
+        parts = [zlib.compress(p.tobytes(), 1) for p in np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, width)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
-    def add(own: pd.DataFrame) -> pd.DataFrame:
+    def add(kind: str, own: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)
         for part in own["counts"]:
-            total += np.frombuffer(part, "<u4")
-        return pd.DataFrame({"slice": own["slice"].iloc[:1], "counts": [np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()]})
+            total += np.frombuffer(zlib.decompress(part), kind)
+        return pd.DataFrame({"slice": own["slice"].iloc[:1], "counts": [zlib.compress(np.minimum(total, 0xFFFF).astype("<u2").tobytes(), 1)]})
 
     parts = docs.mapInArrow(count, "slice int, counts binary").withColumn("group", F.pmod(F.spark_partition_id(), F.lit(64)))
-    some = parts.groupBy("slice", "group").applyInPandas(add, "slice int, counts binary")
-    rows = some.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()  # SLICES rows, 4 MB
-    table = np.zeros((SLICES, width), np.uint32)
+    some = parts.groupBy("slice", "group").applyInPandas(lambda own: add("u1", own), "slice int, counts binary")
+    rows = some.groupBy("slice").applyInPandas(lambda own: add("<u2", own), "slice int, counts binary").collect()  # SLICES rows, 16 MB at most
+    table = np.zeros((SLICES, width), np.uint16)
     for row in rows:
-        table[row["slice"]] = np.frombuffer(row["counts"], "<u4")
+        table[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), "<u2")
     return table.ravel()
 
 
+def _counts(table: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Counts of hashes."""
+    return table[(own & np.uint64(len(table) - 1)).astype(np.int64)]
+
+
 def _marks(nodes: DataFrame) -> np.ndarray:
     """Words of a bitmap with a bit set for the hash of each ``node``; ``MARKS`` bits, however many nodes."""
     bits = nodes.select(_slot("node").alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
@@ -121,12 +145,6 @@ def _sets_of(nodes: DataFrame, texts: DataFrame, repeated: bool, k: int) -> Data
     return sets.distinct() if repeated else sets
 
 
-def _bounds(percent: int) -> tuple[Column, Column]:
-    """Conditions on sizes ``n``, ``m``: that they can link, and the largest symmetric difference of a link, times (100 + percent)."""
-    sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    return sizes, (F.col("n") + F.col("m")) * (100 - percent)
-
-
 def _sketched(own: np.ndarray) -> bytes:
     """How many of a set's hashes fall into each cell, 255 at most."""
     return np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
@@ -147,86 +165,142 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(keep, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` with the size of their sets' overlap."""
+def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` with their sets and the sizes ``n`` and ``m`` of those."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    return both.select("a", "b", F.size("of_a").alias("n"), F.size("of_b").alias("m"), F.size(F.array_intersect("of_a", "of_b")).alias("overlap"))
+    return both.withColumns({"n": F.size("of_a"), "m": F.size("of_b")})
 
 
 def _links(compared: DataFrame, percent: int) -> DataFrame:
-    union = F.col("n") + F.col("m") - F.col("overlap")
-    return compared.filter(F.col("overlap") * 100 >= union * percent)
+    """Those of the pairs whose sets differ by ``far`` in all that are linked."""
+    return compared.filter((100 + percent) * F.col("far") <= (100 - percent) * (F.col("n") + F.col("m"))).select("a", "b")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` with the sizes of their sets and of the difference of those."""
+    return _both(pairs, sets).select("a", "b", "n", "m", (F.col("n") + F.col("m") - 2 * F.size(F.array_intersect("of_a", "of_b"))).alias("far"))
+
+
+def _pairs(rows: DataFrame, keys: list[str], percent: int, far: bool) -> DataFrame:
+    """Distinct pairs ``a``, ``b`` of the ``node`` of rows that share the ``keys`` and may link by their sizes and positions.
+
+    With ``far`` the rows are of differences to a leader, ``far`` their sizes, and
+    pairs of one ``component`` are left out.
+    """
+    own = ["node", "n", "pos", *(["far", "component"] if far else [])]
+    two = rows.select(*keys, *(F.col(c).alias(f"other_{c}") for c in own))
+    n, m, p, q = F.col("n"), F.col("other_n"), F.col("pos"), F.col("other_pos")
+    room = (n + m) * (100 - percent)
+    may = (n * 100 >= m * percent) & (m * 100 >= n * percent) & ((100 + percent) * (p + q) <= room)
+    if far:
+        lead = F.col("far") - F.col("other_far")
+        may &= (F.col("component") < F.col("other_component")) & ((100 + percent) * (2 * p - lead) <= room) & ((100 + percent) * (2 * q + lead) <= room)
+    else:
+        may &= F.col("node") < F.col("other_node")
+    return rows.join(two, keys).filter(may).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
+
+
+def _differences(led: DataFrame, sets: DataFrame, common: Broadcast, percent: int) -> DataFrame:
+    """Pairs of a set ``a`` and its leader ``b``, with ``n``, ``m``, ``far`` and the first elements of their difference.
+
+    Elements stand in an order that all followers of a leader share: by how many
+    of them have it in their difference, as the sketch tells. What the leader
+    lacks is so counted itself; what it has, by those that lack it.
+    """
+    followers = led.groupBy("b").agg(F.count("*").alias("followers"))
+    both = _both(led.join(followers, "b"), sets).select("a", "b", "n", "m", F.col("followers"), F.array_except("of_a", "of_b").alias("added"), F.array_except("of_b", "of_a").alias("removed"))
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = common.value
+        for batch in in_steps(batches, STEP):
+            far, firsts = [], []
+            for n, followers, added, removed in zip(*(batch.column(i) for i in (2, 4, 5, 6)), strict=True):
+                ours, theirs = (x.values.to_numpy().view(np.uint64) for x in (added, removed))
+                more, fewer = _counts(table, ours).astype(np.int64), _counts(table, theirs).astype(np.int64)
+                usual = max(followers.as_py(), int(np.median(fewer)) if len(fewer) else 0)
+                elements = np.concatenate([ours, theirs])
+                place = np.lexsort((elements, np.concatenate([more, np.maximum(usual - fewer, 0)])))
+                most = n.as_py() * (100 - percent) // percent + 1  # no link bears more: n + m is at most n + n * 100 / percent
+                far.append(len(elements))
+                firsts.append(elements[place[:most]].view(np.int64))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in firsts])]), pa.int32())
+            flat = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(far, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["a", "b", "n", "m", "far", "first"])
+
+    schema = T.StructType([*(both.schema[c] for c in ("a", "b", "n", "m")), T.StructField("far", T.IntegerType()), T.StructField("first", T.ArrayType(T.LongType()))])
+    return both.mapInArrow(order, schema)
+
+
+def _unconnected(differences: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of followers of a leader that are not connected and that may link by their differences to it."""
+    placed = differences.select(F.col("a").alias("node"), F.col("b").alias("leader"), "n", "far", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = lambda rows, *keys: rows.join(rows.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*keys), list(keys), "left_semi")
+    lists = several(placed, "leader").select("node", "leader", "n", "far", "component", F.posexplode("first").alias("pos", "element"))
+    lists = stored(several(lists, "leader", "element"), "shingle-differences")
+    spread = [f(c).alias(f"{low}_{c}") for c in ("n", "far", "component") for low, f in (("lo", F.min), ("hi", F.max))]
+    blocks = lists.groupBy("leader", "element", "pos").agg(*spread)
+    other = blocks.select("leader", "element", *(F.col(c).alias(f"other_{c}") for c in blocks.columns[2:]))
+    room = (F.col("hi_n") + F.col("other_hi_n")) * (100 - percent)
+    reach = (100 + percent) * (F.col("pos") + F.col("other_pos")) <= room
+    for one, two in (("", "other_"), ("other_", "")):
+        reach &= ((100 + percent) * (F.col(f"{one}lo_far") - F.col(f"{two}hi_far")) <= room) & (F.col(f"{one}hi_n") * 100 >= F.col(f"{two}lo_n") * percent)
+    apart = ~((F.col("lo_component") == F.col("hi_component")) & (F.col("other_lo_component") == F.col("other_hi_component")) & (F.col("lo_component") == F.col("other_lo_component")))
+    met = stored(blocks.join(other, ["leader", "element"]).filter(reach & apart).select("leader", "element", "pos", "other_pos"), "shingle-blocks")
+    # the rows of the blocks that reach another
+    rows = lists.join(met.select("leader", "element", "pos").distinct(), ["leader", "element", "pos"], "left_semi")
+    return _pairs(rows, ["leader", "element"], percent, True)
 
 
 def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
     """For each row of ``docs``: ``id``, ``text_hash``, ``n``, ``component`` and ``copies``."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(_sketch(texts.filter("id is not null").select("text"), k))  # of fixed size
+    common = docs.sparkSession.sparkContext.broadcast(_sketch(texts.filter("id is not null").select("text"), k))  # of bounded size
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = common.value
+        table = common.value
         for batch in in_steps(batches, STEP):
-            sizes, digests, sketches, prefixes, lengths = [], [], [], [], []
+            sizes, digests, sketches, prefixes, lengths, odd = [], [], [], [], [], []
             for own in shingle_sets(batch.column(1), k):
                 n = len(own)
+                counts = _counts(table, own)
+                first = n - required(n, percent) + 1 if n else 0
                 sizes.append(n)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
                 sketches.append(_sketched(own))
-                first = n - required(n, percent) + 1 if n else 0
-                order = np.argsort(counts[(own & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:first]
-                prefixes.append(own[order].view(np.int64))
+                odd.append(2 * int((counts <= 1).sum()) - n)
+                prefixes.append(own[np.argsort(counts, kind="stable")[:first]].view(np.int64))
                 lengths.append(first)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["id", "text_hash", "n", "digest", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(odd, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["id", "text_hash", "n", "digest", "sketch", "odd", "prefix"])
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("odd", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     rows = stored(texts.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(read, schema), "shingle-rows")
     repeated = not rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
     # one set of each class of equal sets, under the smallest id that has it
-    classes = stored(rows.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "shingle-classes")
-
-    lists = classes.select("node", "n", "prefix", F.posexplode("prefix").alias("pos", "shingle")).select("node", "n", "pos", "shingle", F.get("prefix", F.col("pos") - 1).alias("before"))
-    shared = lists.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1").select("shingle")
-    lists = stored(lists.join(shared, "shingle"), "shingle-lists")
-
-    # each set with the leaders of its lists: of each list the one that its shingle stands first in
-    able, room = _bounds(percent)
-    ahead = (100 + percent) * (F.col("pos") + F.col("other_pos")) <= room
-    leaders = lists.groupBy("shingle").agg(F.min(F.struct("pos", "n", "node")).alias("l"))
-    led = lists.join(leaders, "shingle").select("node", "n", "pos", F.col("l.node").alias("leader"), F.col("l.n").alias("m"), F.col("l.pos").alias("other_pos")).filter(able & ahead & (F.col("node") != F.col("leader")))
-    led = stored(_near(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), classes, percent), "shingle-leaders")
-
+    classes = stored(rows.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "sketch", "odd", "prefix"))), "shingle-classes")
+
+    # sizes that can link lie in one step of a geometric scale or in two neighbours: each list is cut into such doubles
+    step = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-6))) if percent < 100 else F.col("n")
+    lists = classes.select("node", "n", "odd", step.cast("int").alias("step"), F.posexplode("prefix").alias("pos", "shingle"))
+    lists = lists.withColumn("size", F.explode(F.array(F.col("step"), F.col("step") - 1)))
+    shared = lists.groupBy("shingle", "size").agg(F.count("*").alias("sets"), F.min(F.struct("odd", "node")).alias("l"), F.min("step").alias("lo"), F.max("step").alias("hi"))
+    # a list of one step alone is met as the lower half of a double; the upper half of another holds no more pairs
+    shared = shared.filter("sets > 1 and (lo < hi or lo = size)").select("shingle", "size", "sets", F.col("l.node").alias("leader"))
+    lists = stored(lists.join(shared, ["shingle", "size"]).select("shingle", "size", "sets", "node", "n", "pos", "leader"), "shingle-lists")
+
+    few = stored(_near(_pairs(lists.filter(F.col("sets") <= FEW), ["shingle", "size"], percent, False), classes, percent), "shingle-few")
+    led = stored(lists.filter((F.col("sets") > FEW) & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "shingle-leaders")
     # only the sets that are to be compared are read from the texts again
-    sets = stored(_sets_of(led.select(F.explode(F.array("a", "b")).alias("node")), texts, repeated, k), "shingle-sets")
-
-    first = stored(_verified(led, sets), "shingle-compared")
-    links = stored(_links(first, percent).select("a", "b").distinct(), "shingle-links")
-    groups = connected(links)
-
-    # what is known of each set: its component so far, its leader, and its distance to it
-    known = first.groupBy("a").agg(F.min(F.struct(F.col("b").alias("leader"), (F.col("n") + F.col("m") - 2 * F.col("overlap")).alias("far"))).alias("k")).select(F.col("a").alias("node"), "k.leader", "k.far")
-    placed = lists.join(groups, "node", "left").join(known, "node", "left").select("shingle", "pos", "before", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0)).alias("far"))
-    placed = stored(placed, "shingle-placed")
-    open_ = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
-    placed = placed.join(open_, "shingle", "left_semi")
-    blocks = placed.groupBy("shingle", "pos", F.col("component")).agg(F.min("n").alias("lo_n"), F.max("n").alias("hi_n"), F.min("far").alias("lo_far"), F.max("far").alias("hi_far"), F.count("*").alias("sets"))
-    blocks = stored(blocks, "shingle-blocks")
-    other = blocks.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("pos", "component", "lo_n", "hi_n")))
-    reachable = (F.col("component") < F.col("other_component")) & ((100 + percent) * (F.col("pos") + F.col("other_pos")) <= (F.col("hi_n") + F.col("other_hi_n")) * (100 - percent)) & (F.col("hi_n") * 100 >= F.col("other_lo_n") * percent) & (F.col("other_hi_n") * 100 >= F.col("lo_n") * percent)
-    met = blocks.join(other, "shingle").filter(reachable).select("shingle", "pos", "component", "other_pos", "other_component")
-    one = placed.select("shingle", "pos", "component", "before", "node", "n", "leader", "far")
-    two = placed.select("shingle", F.col("pos").alias("other_pos"), F.col("component").alias("other_component"), F.col("before").alias("other_before"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("leader").alias("other_leader"), F.col("far").alias("other_far"))
-    apart = F.when(F.col("leader") == F.col("other_leader"), F.abs(F.col("far") - F.col("other_far"))).when(F.col("leader") == F.col("other"), F.col("far")).when(F.col("other_leader") == F.col("node"), F.col("other_far")).otherwise(0)
-    # sets that share the shingle before as well have met in its list, where they stand further ahead
-    new = F.coalesce(F.col("before") != F.col("other_before"), F.lit(True))
-    pairs = met.join(one, ["shingle", "pos", "component"]).join(two, ["shingle", "other_pos", "other_component"]).filter(new & able & ahead & ((100 + percent) * apart <= room))
-    pairs = stored(_near(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), classes, percent), "shingle-pairs")
-    sets = stored(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, repeated, k), "shingle-sets")
-    more = _links(_verified(pairs, sets), percent).select("a", "b").distinct()
-    components = connected(links.unionByName(more))
+    ends = few.unionByName(led).select(F.explode(F.array("a", "b")).alias("node"))
+    sets = stored(_sets_of(ends, texts, repeated, k), "shingle-sets")
+
+    differences = stored(_differences(led, sets, common, percent), "shingle-compared")
+    links = stored(_links(_compared(few, sets), percent).unionByName(_links(differences, percent)).distinct(), "shingle-links")
+    pairs = stored(_near(_unconnected(differences, connected(links), percent), classes, percent), "shingle-pairs")
+    components = connected(links.unionByName(_links(_compared(pairs, sets), percent)))
 
     named = classes.select("digest", "node", "copies").join(components, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component"))
     joined = rows.select("id", "text_hash", "n", "digest").join(named, "digest", "left")

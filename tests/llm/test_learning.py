@@ -120,7 +120,7 @@ def test_jaccard_join_finds_every_component(spark, seed):
 
 def test_jaccard_join_without_a_useful_order(spark, monkeypatch):
     """The order of shingles decides the cost alone: with every counter alike the links are the same."""
-    monkeypatch.setattr(ngram_join, "_sketch", lambda docs, k: np.zeros(ngram_join.COUNTERS, np.uint32))
+    monkeypatch.setattr(ngram_join, "_sketch", lambda docs, k: np.zeros(1 << 10, np.uint16))
     rows = near_copies(4)
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_join(documents(spark, rows)).collect()} == plain_components(rows)
 
