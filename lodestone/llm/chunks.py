@@ -17,6 +17,9 @@ import pyarrow.compute as pc
 
 #: A cut: a space between two characters that aren't white space.
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: The characters of white space as CUT knows them, and strings that are empty or start or end with one.
+WHITE = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+ENDS_IN_SPACE = f"^$|^{WHITE}|{WHITE}$"
 
 
 def in_steps(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
@@ -53,7 +56,7 @@ class ChunkedBatch:
         heads = [place.setdefault(words[c], len(place)) for c in codes[firsts].tolist()]
         codes[firsts] = np.asarray(heads, np.int64) + len(words)
         self.keys += list(place)
-        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
+        odd = pc.match_substring_regex(flat.dictionary, ENDS_IN_SPACE).to_numpy(zero_copy_only=False)
         odd = np.concatenate([odd, np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in place), bool, len(place))])
         touched = np.flatnonzero(np.logical_or.reduceat(odd[codes], firsts)) if odd.any() else ()
         self.codes = codes

@@ -1,15 +1,16 @@
 """Token-id shards in a binary format, with a minimal perfect hash index.
 
-A shard is one binary value: a header, the documents' lengths and keys, and the
-raw ids, little-endian, two bytes wide where the vocabulary allows and four bytes
-otherwise. Shards lie in ascending order of the document id, written through
-Spark's Parquet writer, so that a task that is run again replaces what it wrote
-and any file system Spark knows can hold them.
+A shard is one binary value: a header, the documents' lengths and keys, and last
+the raw ids, little-endian, two bytes wide where the vocabulary allows and four
+bytes otherwise. Shards lie in ascending order of the document id, written as they
+are through Spark's Parquet writer, so that a task that is run again replaces what
+it wrote and any file system Spark knows can hold them.
 
 The index maps a document's key to its shard and offset in constant time: a key
 belongs to one bucket of about ``BUCKET_KEYS`` keys by its hash; the bucket's
 minimal perfect hash gives the key's slot, and the slot's stored fingerprint
-rejects keys that aren't there.
+rejects keys that aren't there. A document's ids are then a slice of its shard's
+bytes: no shard is decoded to read them.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from lodestone.llm.chunks import ChunkedBatch, IdCache
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC, HEADER = b"TOKSHRD1", struct.Struct("<8sBIQ")
 #: Ids of a shard, about; a document is never split.
-SHARD_IDS = 2_000_000
+SHARD_IDS = 262_144
 #: Keys of an index bucket, about; one bucket is built in one task.
 BUCKET_KEYS = 8_192
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, payload binary"
@@ -55,16 +56,41 @@ class LibraryEncoder:
     def __init__(self, path: str | None = None):
         self.tokenizer = _tokenizer(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        # a character of a byte-level entry is a byte
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def chunks(self, chunks: list[str], step: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, joined, and their numbers; in steps, so that few objects live at a time."""
         flat, lengths = [], []
         for at in range(0, len(chunks), step):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[at : at + step], add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[-1].sum())))
+            own = chunks[at : at + step]
+            found = self._together(own)
+            if found is None:
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+                found = np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+            flat.append(found[0])
+            lengths.append(found[1])
         return (np.concatenate(flat), np.concatenate(lengths)) if flat else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for one text made of all chunks; None where that text isn't cut before every chunk.
+
+        A chunk that starts with a space before other characters, after one that
+        ends in no white space, is cut off by the pre-tokenizer as in any text. The
+        bytes of the ids then tell which ids are whose.
+        """
+        if any(len(c) < 2 or c[0] != " " or c[1].isspace() or c[-1].isspace() for c in chunks):
+            return None
+        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        reached = np.cumsum(self.sizes[ids])
+        last = np.searchsorted(reached, ends)
+        if last[-1] != len(ids) - 1 or not np.array_equal(reached[last], ends):
+            return None
+        return ids, np.diff(last, prepend=-1)
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str | None) -> tuple[LibraryEncoder, IdCache]:
@@ -132,7 +158,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
         if keys:
             yield shard()
 
-    ordered.mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "zstd").parquet(out)
+    ordered.mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "uncompressed").option("parquet.block.size", 8 << 20).parquet(out)
 
 
 def directory(spark: SparkSession, out: str) -> DataFrame:
@@ -153,10 +179,15 @@ def directory(spark: SparkSession, out: str) -> DataFrame:
 
 
 def shard_starts(spark: SparkSession, out: str) -> DataFrame:
-    """For each shard the number of ids in all shards before it; a row a shard, no payloads are read."""
+    """For each shard the number of ids in all shards before it; no payloads are read.
+
+    Shards are summed within their part and parts among each other: a row for each
+    part, as many as the range partitioning had, is all that meets in one place.
+    """
     sizes = spark.read.schema(SHARD_SCHEMA).parquet(out).select("part", "seq", "n_ids")
-    before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.select("part", "seq", F.coalesce(before, F.lit(0)).alias("base"))
+    ahead = lambda window: F.coalesce(F.sum("n_ids").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", ahead(Window.orderBy("part")).alias("before"))
+    return sizes.withColumn("within", ahead(Window.partitionBy("part").orderBy("seq"))).join(F.broadcast(parts), "part").select("part", "seq", (F.col("before") + F.col("within")).alias("base"))
 
 
 def _mix(keys: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
@@ -171,9 +202,9 @@ def _mix(keys: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit hashes: hash, displace, and fill.
 
-    Groups of about four keys, the largest first, each get the first seed that
-    sends their keys to free slots; groups of one key get a free slot itself,
-    stored as its complement.
+    Groups of about four keys each get a seed that sends their keys to free slots,
+    the largest groups first; all of one size try the same seeds at once. Groups of
+    one key get a free slot itself, stored as its complement.
     """
 
     def __init__(self, seeds: np.ndarray, size: int):
@@ -184,27 +215,29 @@ class PerfectHash:
         n = len(hashes)
         groups = max(1, (n + 3) // 4)
         group = (_mix(hashes, 0) % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
         counts = np.bincount(group, minlength=groups)
-        starts = np.cumsum(counts) - counts
+        order = np.argsort(group, kind="stable")
         seeds, taken = np.zeros(groups, np.int32), np.zeros(n, bool)
-        for g in np.argsort(-counts, kind="stable").tolist():
-            size = counts[g]
-            if size <= 1:
-                break
-            own, seed = hashes[order[starts[g] : starts[g] + size]], 1
-            while True:
-                slots = _mix(np.tile(own, 16), np.repeat(np.arange(seed, seed + 16), size)).reshape(16, size) % np.uint64(n)
-                slots = slots.astype(np.int64)
-                good = ~taken[slots].any(1)
-                for row in np.flatnonzero(good).tolist():
-                    if len(set(slots[row].tolist())) == size:
-                        break
-                else:
-                    seed += 16
-                    continue
-                seeds[g], taken[slots[row]] = seed + row, True
-                break
+        for size in range(int(counts.max(initial=0)), 1, -1):
+            own = np.flatnonzero(counts == size)
+            keys = hashes[order[np.isin(group[order], own)]].reshape(-1, size)
+            seed = 1
+            while len(own):
+                many = max(1, min(64, 4_096 // keys.size))  # seeds to try at once
+                slots = np.sort((_mix(keys[None], np.arange(seed, seed + many)[:, None, None]) % np.uint64(n)).astype(np.int64), axis=2)
+                good = ~taken[slots].any(2) & (slots[:, :, 1:] != slots[:, :, :-1]).all(2)
+                first = good.argmax(0)
+                able = np.flatnonzero(good.any(0))
+                wanted = slots[first[able], able]
+                # of the groups that want a slot the first has it; a group has all its slots or none
+                _, winners = np.unique(wanted, return_index=True)
+                won = np.zeros(wanted.size, bool)
+                won[winners] = True
+                done = able[won.reshape(-1, size).all(1)]
+                seeds[own[done]] = seed + first[done]
+                taken[slots[first[done], done].ravel()] = True
+                left = np.setdiff1d(np.arange(len(own)), done, assume_unique=True)
+                keys, own, seed = keys[left], own[left], seed + many
         singles = np.flatnonzero(counts == 1)
         seeds[singles] = ~np.flatnonzero(~taken)[: len(singles)]
         return PerfectHash(seeds, n)
@@ -226,14 +259,14 @@ def key_hash() -> Column:
     return F.xxhash64("key")
 
 
-def write_index(entries: DataFrame, out: str, bucket_keys: int = BUCKET_KEYS) -> int:
-    """Write the index of a directory; returns its number of buckets.
+def write_index(entries: DataFrame, out: str, n_rows: int, bucket_keys: int = BUCKET_KEYS) -> int:
+    """Write the index of a directory of ``n_rows`` rows; returns its number of buckets.
 
     The first row of a repeated key is indexed. Null keys aren't. Keys whose
     64-bit hashes are equal are kept in their bucket in full.
     """
     firsts = entries.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("part", "seq", "offset", "n_tokens")).alias("at")).select("key", "at.*")
-    buckets = max(1, -(-entries.count() // bucket_keys))
+    buckets = max(1, -(-n_rows // bucket_keys))
 
     def build_bucket(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         twice = own["h"].duplicated(keep=False)
@@ -273,6 +306,28 @@ def look_up(keys: DataFrame, index: str, buckets: int) -> DataFrame:
     return asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(find, "key string, part int, seq int, offset long, n_tokens long")
 
 
+def read_ids(keys: DataFrame, shards: str, index: str, buckets: int) -> DataFrame:
+    """The ids of each distinct ``key`` that the index holds, with its end id: ``key``, ``n_tokens``, ``ids``.
+
+    The index gives the shard and the offset; the ids are cut from the shard's
+    bytes there. Absent and null keys have no row; of a repeated key the first
+    document is read. Files without an asked shard are pruned by its part.
+    """
+    places = look_up(keys, index, buckets)
+    payloads = keys.sparkSession.read.schema(SHARD_SCHEMA).parquet(shards)
+    width = F.conv(F.hex(F.substring("payload", len(MAGIC) + 1, 1)), 16, 10).cast("int")
+    behind = F.col("n_ids") - F.col("offset")  # ids from the document's first to the shard's last
+    raw = F.expr("substring(payload, cast(length(payload) - width * behind + 1 as int), cast(width * n_tokens as int))")
+    cut = payloads.join(places, ["part", "seq"]).select("key", "n_tokens", "payload", width.alias("width"), behind.alias("behind")).select("key", "n_tokens", "width", raw.alias("raw"))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(r.as_py(), f"<u{w.as_py()}").astype(np.int64) for w, r in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["key", "n_tokens", "ids"])
+
+    return cut.mapInArrow(unpacked, "key string, n_tokens long, ids array<long>")
+
+
 def shard_table(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """Write the shards and their index below ``out``, and read every document back.
 
@@ -280,14 +335,17 @@ def shard_table(docs: DataFrame, out: str, tokenizer: str | None = None, end_id:
     of all documents before it), ``n_tokens`` with the end id, ``ids_crc32`` (of
     the ids as little-endian unsigned 32-bit integers) and ``indexed``, whether
     the index leads from the document's key to this very place: true but for null
-    ids and later rows of a repeated id. An empty table gives an empty result.
+    ids and later rows of a repeated id. A null text has the end id only; a long
+    text is one document of one shard; other columns are ignored; an empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     write_shards(docs, f"{out}/shards", tokenizer, end_id, id_col, text_col, shard_ids)
     entries = directory(spark, f"{out}/shards")
     entries.write.parquet(f"{out}/directory")
     entries = spark.read.schema(entries.schema).parquet(f"{out}/directory")
-    buckets = write_index(entries, f"{out}/index", bucket_keys)
+    n_rows = spark.read.schema(SHARD_SCHEMA).parquet(f"{out}/shards").agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    buckets = write_index(entries, f"{out}/index", n_rows, bucket_keys)
     places = look_up(entries, f"{out}/index", buckets).withColumn("indexed", F.lit(True))
     kind = docs.schema[id_col].dataType
     return entries.join(shard_starts(spark, f"{out}/shards"), ["part", "seq"]).join(places, ["key", "part", "seq", "offset", "n_tokens"], "left").select(F.col("key").cast(kind).alias(id_col), (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", F.coalesce("indexed", F.lit(False)).alias("indexed"))

@@ -13,9 +13,10 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm import bpe, shards, token_counts
+from lodestone.llm import bpe, chunks, shards, token_counts
 from tests.llm.fixtures import documents, odd_rows
 
 
@@ -82,13 +83,44 @@ def test_shards_come_back_in_order(spark, tmp_path):
 def test_index_rejects_unknown_keys(spark, tmp_path):
     shards.write_shards(documents(spark, [(i, f"text {i}") for i in range(300)]), str(tmp_path / "s"))
     entries = shards.directory(spark, str(tmp_path / "s"))
-    buckets = shards.write_index(entries, str(tmp_path / "i"), 64)
-    asked = spark.createDataFrame([(str(i),) for i in range(250, 400)], "key string")
+    buckets = shards.write_index(entries, str(tmp_path / "i"), 300, 64)
+    asked = spark.createDataFrame([(str(i),) for i in range(250, 400)] + [(None,)], "key string")
     found = {r["key"] for r in shards.look_up(asked, str(tmp_path / "i"), buckets).collect()}
     assert found == {str(i) for i in range(250, 300)}
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 5, 100, 3_000])
+def test_keyed_reads_equal_the_library(spark, tmp_path):
+    """Ids by key against the library, over several shards: present, absent, null and repeated keys."""
+    rows = [r for r in odd_rows() if r[0] != 9]
+    shards.write_shards(documents(spark, rows), str(tmp_path / "s"), shard_ids=400)
+    entries = shards.directory(spark, str(tmp_path / "s"))
+    buckets = shards.write_index(entries, str(tmp_path / "i"), entries.count(), 16)
+    asked = spark.createDataFrame([(str(i),) for i in [*range(1, 9), *range(110, 400)]] + [("x",), (None,), ("7",)], "key string")
+    got = {r["key"]: r["ids"] for r in shards.read_ids(asked, str(tmp_path / "s"), str(tmp_path / "i"), buckets).collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(shards.VOCABULARY))
+    want = {str(i): [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows if i is not None and (i < 9 or i >= 110)}
+    assert got == want and len(got) > 50
+
+
+def test_keys_of_equal_hashes_are_told_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "key_hash", lambda: F.xxhash64(F.substring("key", 1, 2)))
+    shards.write_shards(documents(spark, [(i, f"text {i}") for i in range(1, 400)]), str(tmp_path / "s"), shard_ids=200)
+    buckets = shards.write_index(shards.directory(spark, str(tmp_path / "s")), str(tmp_path / "i"), 399, 64)
+    asked = spark.createDataFrame([(str(i),) for i in range(100, 401, 7)], "key string")
+    got = {int(r["key"]): r["ids"] for r in shards.read_ids(asked, str(tmp_path / "s"), str(tmp_path / "i"), buckets).collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(shards.VOCABULARY))
+    assert got == {i: [*tokenizer.encode(f"text {i}").ids, 2] for i in range(100, 400, 7)}
+
+
+@pytest.mark.parametrize("space", [chr(c) for c in range(0x3100) if chr(c).isspace()])
+def test_white_space_is_known_at_the_ends(space):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    assert pc.match_substring_regex(pa.array([space + "a", "a" + space, "a", f"a{space}b", "", "ā.", "\u200ba"]), chunks.ENDS_IN_SPACE).to_pylist() == [True, True, False, False, True, False, False]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 100, 3_000, 20_000])
 def test_perfect_hash_is_minimal(n):
     hashes = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
     assert sorted(shards.PerfectHash.build(hashes).slots(hashes).tolist()) == list(range(n))
