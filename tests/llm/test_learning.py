@@ -172,6 +172,25 @@ def test_nearest_vectors_of_few_and_none(spark):
     assert nearest.every_twentieth(spark.createDataFrame([(1, [1.0])], schema)).count() == 0
 
 
+@pytest.mark.parametrize("clusters", [False, True])
+def test_nearest_vectors_look_into_few_lists_where_there_are_clusters(spark, clusters):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3_000, 16))
+    x = x * 0.05 + rng.normal(size=(60, 16))[np.arange(3_000) % 60] if clusters else x
+    book = nearest.fit(spark, x, 64)
+    assert (nearest.probes_for(book, x, 20, 0.95) <= 6) == clusters
+
+
+def test_nearest_vectors_fill_the_ranks_and_prefer_small_ids(spark):
+    """Lonely queries go on to further lists until there are 20; of more equal vectors than ranks the smallest ids stay."""
+    rows = [(i, [float(i == 0), float(i > 0), 0.0, 0.0]) for i in range(500)]
+    got: dict[int, list] = {}
+    for r in nearest.every_twentieth(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == set(range(0, 500, 20)) and got[0] == list(range(1, 21))
+    assert all(v == [j for j in range(1, 22) if j != q][:20] for q, v in got.items())
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pipeline_stage_drops_near_copies_by_five_words(spark, seed):
     """The stage against brute force at five-word shingles and 0.8, with a copy that only these values link."""
