@@ -285,7 +285,8 @@ def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -
     # sizes that can link lie in one step of a geometric scale or in two neighbours: each list is cut into such doubles
     step = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-6))) if percent < 100 else F.col("n")
     lists = classes.select("node", "n", "odd", step.cast("int").alias("step"), F.posexplode("prefix").alias("pos", "shingle"))
-    lists = lists.withColumn("size", F.explode(F.array(F.col("step"), F.col("step") - 1)))
+    held = lists.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1").select("shingle")  # most shingles aren't
+    lists = stored(lists.join(held, "shingle"), "shingle-entries").withColumn("size", F.explode(F.array(F.col("step"), F.col("step") - 1)))
     shared = lists.groupBy("shingle", "size").agg(F.count("*").alias("sets"), F.min(F.struct("odd", "node")).alias("l"), F.min("step").alias("lo"), F.max("step").alias("hi"))
     # a list of one step alone is met as the lower half of a double; the upper half of another holds no more pairs
     shared = shared.filter("sets > 1 and (lo < hi or lo = size)").select("shingle", "size", "sets", F.col("l.node").alias("leader"))
