@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,28 +14,82 @@ from lodestone.plans.registry import Tables, query, rounded
 
 def _kind(value: str) -> str:
     """SQL of the kind of a value."""
-    return "CASE " + " ".join(f"WHEN regexp_matches({value}, '{rx}') THEN '{name}'" for name, rx in privacy.VALUE_FORMS.items()) + " END"
+    fits = lambda forms: " AND ".join(f"regexp_matches({value}, '{form}')" for form in forms)
+    return "CASE " + " ".join(f"WHEN {fits(forms)} THEN '{name}'" for name, forms in privacy.VALUE_FORMS) + " END"
+
 
+def _names(kinds: tuple[str, ...]) -> str:
+    return ", ".join(f"'{k}'" for k in kinds)
 
 
 TOKENS = r"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > {n})"
 
 
-@query(f"""SELECT kind, count(*) AS n FROM (SELECT {_kind("token")} AS kind FROM (SELECT regexp_replace(token, '^[,;:()<>"'']+|[.,;:()<>"'']+$', '', 'g') AS token FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+')) AS token FROM documents))) WHERE kind IS NOT NULL GROUP BY 1""")
+EDGES = r"""'^[,;:()<>"'']+|[.,;:()<>"'']+$'"""
+MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"
+PERSONAL = f"""SELECT 'c_name' AS column_name, c_name AS value FROM customer UNION ALL SELECT 'email', regexp_extract(text, '{MAIL}') FROM documents WHERE regexp_matches(text, '{MAIL}') UNION ALL SELECT 'url', url FROM pages"""
+RISKY = f"""v AS (SELECT DISTINCT column_name, value FROM ({PERSONAL}) WHERE value IS NOT NULL),
+k AS (SELECT column_name, {_kind("value")} AS kind, count(*) AS n FROM v GROUP BY 1, 2), r AS (SELECT *, n / sum(n) OVER (PARTITION BY column_name) AS rate FROM k),
+scan AS (SELECT column_name, kind, n, rate, CASE WHEN kind IN ({_names(privacy.GRAVE)}) THEN CASE WHEN rate > 0.7 THEN 'Critical' ELSE 'High' END WHEN kind IN ({_names(privacy.PLAIN)}) THEN CASE WHEN rate > 0.7 THEN 'High' ELSE 'Medium' END ELSE CASE WHEN rate > 0.7 THEN 'Medium' ELSE 'Low' END END AS risk, rate > 0.5 AS is_pii FROM r WHERE kind IS NOT NULL AND rate > 0.1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY rate DESC, kind DESC) AS place FROM scan) WHERE place = 1)"""
+
+
+def _each(t: Tables, build: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """What ``build`` finds in the columns that may hold personal data."""
+    mails = t.documents.filter(F.col("text").rlike(MAIL)).select(F.regexp_extract("text", MAIL, 0).alias("email"))
+    columns = [(t.customer.select("c_name"), ["c_name"]), (mails, ["email"]), (t.pages.select("url"), ["url"])]
+    return reduce(DataFrame.unionByName, (build(df, names) for df, names in columns))
+
+
+@query(f"""SELECT kind, count(*) AS n FROM (SELECT {_kind("token")} AS kind FROM (SELECT regexp_replace(token, {EDGES}, '', 'g') AS token FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+')) AS token FROM documents))) WHERE kind IS NOT NULL GROUP BY 1""")
 def pii_scan(t: Tables) -> DataFrame:
     return privacy.token_kinds(t.documents, "text")
 
 
-@query(f"""WITH v AS (SELECT DISTINCT 'c_name' AS column_name, c_name AS value FROM customer UNION SELECT DISTINCT 'url', url FROM pages), k AS (SELECT column_name, {_kind("value")} AS kind, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, n / sum(n) OVER (PARTITION BY column_name) AS rate FROM k)
-SELECT column_name, kind, n, round(rate, 4) AS rate, CASE WHEN kind IN ('SSN', 'CreditCard', 'BankAccount', 'Passport') THEN CASE WHEN rate > 0.7 THEN 'Critical' ELSE 'High' END WHEN kind IN ('Email', 'PhoneNumber', 'DriversLicense', 'DateOfBirth') THEN CASE WHEN rate > 0.7 THEN 'High' ELSE 'Medium' END ELSE CASE WHEN rate > 0.7 THEN 'Medium' ELSE 'Low' END END AS risk, rate > 0.5 AS is_pii FROM r WHERE kind IS NOT NULL AND rate > 0.1""")
+@query(f"WITH {RISKY} SELECT column_name, kind, n, round(rate, 4) AS rate, risk, is_pii FROM scan")
 def pii_columns(t: Tables) -> DataFrame:
-    return rounded(privacy.scan_columns(t.customer, ["c_name"]).unionByName(privacy.scan_columns(t.pages, ["url"])))
+    return rounded(_each(t, privacy.scan_columns))
+
+
+@query(f"""WITH {RISKY} SELECT c.column_name, coalesce(kind, CASE WHEN c.column_name LIKE '%email%' THEN 'Email' END) AS kind, round(coalesce(rate, 0.3), 4) AS confidence, coalesce(risk, 'Medium') AS risk, coalesce(is_pii, true) AS is_pii, kind IS NULL AS from_name
+FROM (SELECT DISTINCT column_name FROM v) c LEFT JOIN best USING (column_name) WHERE kind IS NOT NULL OR c.column_name LIKE '%email%'""")
+def pii_risk_columns(t: Tables) -> DataFrame:
+    return rounded(_each(t, privacy.columns_at_risk))
+
+
+HINTED = ("customer_email", "Phone", "filename", "name", "first_name", "shipping_street", "credit_limit", "credit_card", "ip", "zip", "licence_no", "birthday", "passport_id", "SSN")
+
+
+@query(f"""SELECT column_name, CASE WHEN n LIKE '%ssn%' THEN 'SSN' WHEN n LIKE '%credit%' AND (n LIKE '%card%' OR n LIKE '%number%') THEN 'CreditCard' WHEN n LIKE '%email%' THEN 'Email' WHEN regexp_matches(n, 'phone|mobile|cell|tel') THEN 'PhoneNumber'
+WHEN regexp_matches(n, 'addr|street') THEN 'Address' WHEN n = 'name' OR regexp_matches(n, 'first_?name|last_?name|full_name') THEN 'PersonName' WHEN n = 'ip' OR n LIKE '%ip_address%' THEN 'IPAddress' WHEN regexp_matches(n, 'dob|birth') THEN 'DateOfBirth' WHEN n LIKE '%passport%' THEN 'PassportNumber' WHEN regexp_matches(n, 'licen[cs]e|dl_') THEN 'DriversLicense' END AS kind
+FROM (SELECT column_name, lower(column_name) AS n FROM (SELECT unnest([{_names(HINTED)}]) AS column_name))""")
+def pii_names(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(n,) for n in HINTED], "column_name string").select("column_name", privacy.name_kind(F.col("column_name")).alias("kind"))
+
+
+@query(f"""WITH {RISKY} SELECT column_name, CASE risk WHEN 'Critical' THEN 'Error' WHEN 'High' THEN 'Error' WHEN 'Medium' THEN 'Warning' ELSE 'Info' END AS severity,
+'Potential ' || kind || ' detected (' || CAST(round(100 * rate) AS INTEGER) || '% confidence). Risk level: ' || risk || '. Consider masking or excluding this column.' AS message FROM best WHERE is_pii""")
+def pii_alerts(t: Tables) -> DataFrame:
+    return privacy.alerts(_each(t, privacy.columns_at_risk))
+
+
+@query(f"""WITH {RISKY}, form AS (SELECT column_name, bool_or(kind IN ('SSN', 'CreditCard', 'BankAccount')) AS grave, max(rate) AS rate FROM scan GROUP BY 1),
+uses AS (SELECT column_name, count(DISTINCT value) / count(value) AS unique_share FROM ({PERSONAL}) GROUP BY 1),
+levels AS (SELECT column_name, unique_share, greatest(CASE WHEN rate IS NULL THEN 0 WHEN grave THEN 4 WHEN rate > 0.7 THEN 3 ELSE 2 END, CASE WHEN unique_share > 0.99 THEN 3 WHEN unique_share > 0.9 THEN 2 ELSE 0 END) AS level FROM uses LEFT JOIN form USING (column_name))
+SELECT column_name, round(unique_share, 4) AS unique_share, [{_names(privacy.LEVELS)}][level + 1] AS risk, [{_names(tuple(privacy.ACTIONS[x] for x in privacy.LEVELS))}][level + 1] AS action FROM levels""")
+def pii_ensemble(t: Tables) -> DataFrame:
+    return rounded(_each(t, privacy.ensemble_risk))
 
 
-@query("""SELECT c_custkey, '***@***.' || split_part('user' || c_custkey || '@mail.example.com', '.', -1) AS email, repeat('*', greatest(length('+1 555 ' || lpad(CAST(c_custkey AS VARCHAR), 6, '0')) - 4, 0)) || right('+1 555 ' || lpad(CAST(c_custkey AS VARCHAR), 6, '0'), 4) AS phone, left(c_name, 1) || repeat('*', least(greatest(length(c_name) - 2, 3), 10)::INT) || right(c_name, 1) AS name FROM customer""")
+@query(f"""WITH tokens AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+') AS parts FROM documents)),
+bare AS (SELECT doc_id, i, part, regexp_extract(part, '^[,;:()<>"'']+') AS lead, regexp_extract(part, '[.,;:()<>"'']+$') AS tail, regexp_replace(part, {EDGES}, '', 'g') AS b FROM tokens),
+kinds AS (SELECT *, {_kind("b")} AS kind, least(2, length(b) // 2) AS seen FROM bare), stars AS (SELECT *, repeat('*', greatest(3, least(10, length(b) - 2 * seen))::INT) AS s FROM kinds),
+shown AS (SELECT doc_id, i, CASE WHEN kind IS NULL THEN part ELSE lead || CASE WHEN kind = 'Email' THEN CASE WHEN length(split_part(b, '@', 1)) > seen THEN left(split_part(b, '@', 1), seen) ELSE '' END || s || '@' || s || '.' || split_part(b, '.', -1)
+WHEN kind = 'SSN' AND contains(b, '-') THEN '***-**-' || right(b, 4) WHEN kind = 'CreditCard' THEN '**** **** **** ' || right(b, 4) WHEN kind = 'PhoneNumber' THEN '***-***-' || right(b, 4)
+ELSE CASE kind {" ".join(f"WHEN '{k}' THEN '{v} '" for k, v in privacy.LABELS.items())} ELSE '' END || left(b, seen) || s || right(b, seen) END || tail END AS part FROM stars)
+SELECT d.doc_id, coalesce(x.text, d.text) AS text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(part, '' ORDER BY i) AS text FROM shown GROUP BY doc_id) x USING (doc_id)""")
 def pii_redact(t: Tables) -> DataFrame:
-    mail, phone = F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@mail.example.com")), F.concat(F.lit("+1 555 "), F.lpad(F.col("c_custkey").cast("string"), 6, "0"))
-    return t.customer.select("c_custkey", privacy.masked(mail, F.lit("Email")).alias("email"), privacy.masked(phone, F.lit("PhoneNumber")).alias("phone"), privacy.masked(F.col("c_name"), F.lit("PersonName")).alias("name"))
+    return t.documents.select("doc_id", privacy.redact_text(F.col("text")).alias("text"))
 
 
 @query("SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_type), 'red') OR contains(lower(p_brand), 'red')")
