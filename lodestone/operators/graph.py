@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.functions.text import tokens
+from lodestone.sources.scratch import stored
 
 
 def rare_terms(docs: DataFrame, id_col: str, text: str, least_idf: float = 3.5, longer_than: int = 3) -> DataFrame:
@@ -17,16 +17,17 @@ def rare_terms(docs: DataFrame, id_col: str, text: str, least_idf: float = 3.5,
     return own.join(df, "entity").select(F.col("id").alias(id_col), "entity", "df", F.least(F.lit(0.9), 0.4 + 0.05 * F.col("idf")).alias("confidence"))
 
 
-def cooccurrence(mentions: DataFrame, unit: str, entity: str, least: int = 2, limit: int | None = 500, most_entities: int = 200) -> DataFrame:
+def cooccurrence(mentions: DataFrame, unit: str, entity: str, least: int = 2, limit: int | None = 500, block: int = 200) -> DataFrame:
     """Unordered pairs of entities that share units, the most frequent first.
 
-    A unit with more than ``most_entities`` distinct entities is a list rather than
-    a text and gives no pairs, which bounds the pairs of one unit.
+    The entities of a unit with more than ``block`` of them are dealt over blocks,
+    which meet all of the unit's entities in tasks of their own: no unit is left out.
     """
     own = mentions.select(F.col(unit).alias("u"), F.col(entity).alias("e")).distinct()
-    sized = own.groupBy("u").agg(F.array_sort(F.collect_set("e")).alias("es")).filter(F.size("es").between(2, most_entities))
-    left = sized.select("es", F.posexplode("es").alias("i", "entity_a"))
-    pairs = left.select("entity_a", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("entity_b"))
+    sized = own.join(own.groupBy("u").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n"), "u")
+    left = sized.select("u", F.pmod(F.xxhash64("e"), "blocks").cast("int").alias("block"), F.col("e").alias("entity_a"))
+    right = sized.select("u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("e").alias("entity_b"))
+    pairs = left.join(right, ["u", "block"]).filter("entity_a < entity_b")
     counts = pairs.groupBy("entity_a", "entity_b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
     return counts.orderBy(F.desc("weight"), "entity_a", "entity_b").limit(limit) if limit else counts
 
@@ -42,7 +43,7 @@ def reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     seen = start.select("node").distinct().withColumn("hops", F.lit(0))
     front = seen
     for hop in range(1, hops + 1):
-        front = front.join(links, front["node"] == links["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop))
+        front = stored(front.join(links, front["node"] == links["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)), "reached")
         seen = seen.unionByName(front)
     return seen
 
@@ -72,25 +73,60 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return degree.join(inside, "community", "left").crossJoin(total).agg(F.sum(share).alias("modularity"), F.count("*").alias("communities"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """Communities: each node takes the label with the most weight around it, ties to the smaller label."""
-    links = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    labels = links.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
-        votes = links.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
-        order = Window.partitionBy("src").orderBy(F.desc("w"), "community")
-        labels = votes.withColumn("k", F.row_number().over(order)).filter("k = 1").select(F.col("src").alias("node"), "community")
-    return labels
+def communities(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """Communities of weighted undirected edges by local moving: rounds of moves that raise the modularity.
+
+    In a round each node looks at the communities around it and may move to the one
+    where the modularity gains most, ties to the smaller one; nodes of one half move
+    in even rounds, of the other in odd ones, so that neighbours don't swap for ever.
+    It ends when two rounds in a row gain nothing, and gives the best state seen.
+    """
+    links = stored(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).filter("src <> dst"), "community-links")
+    degrees = links.groupBy("src").agg(F.sum("weight").alias("degree")).select(F.col("src").alias("node"), "degree")
+    total = degrees.agg(F.sum("degree")).first()[0]
+    labels = stored(degrees.select("node", "degree", F.col("node").alias("community")), "communities")
+    if not total:
+        return labels.select("node", "community")
+
+    def quality(labels: DataFrame) -> float:
+        inside = links.join(labels.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").filter("a = b").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+        squares = labels.groupBy("community").agg(F.sum("degree").alias("d")).agg(F.sum(F.pow(F.col("d") / F.lit(float(total)), F.lit(2)))).first()[0]
+        return float(inside) / float(total) - squares
+
+    best, idle = (quality(labels), labels), 0
+    for turn in range(most_rounds):
+        own = labels.select(F.col("node").alias("src"), F.col("community").alias("now"), "degree")
+        sizes = labels.groupBy("community").agg(F.sum("degree").alias("size"))
+        around = links.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
+        # a node's own community is an option even without a link into it
+        options = around.unionByName(own.select("src", F.col("now").alias("community"), F.lit(0).cast(around.schema["w"].dataType).alias("w"))).groupBy("src", "community").agg(F.sum("w").alias("w"))
+        rest = F.col("size") - F.when(F.col("community") == F.col("now"), F.col("degree")).otherwise(0)
+        gain = F.round(F.col("w") - F.col("degree") * rest / F.lit(float(total)), 9)
+        stay = (F.col("community") != F.col("now")).cast("int")
+        chosen = options.join(own, "src").join(sizes, "community").groupBy("src").agg(F.min_by("community", F.struct(-gain, stay, "community")).alias("next"))
+        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
+        labels = stored(labels.join(chosen, labels["node"] == chosen["src"], "left").select("node", "degree", F.when(moves, F.coalesce("next", "community")).otherwise(F.col("community")).alias("community")), "communities")
+        now = quality(labels)
+        idle = 0 if now > best[0] + 1e-9 else idle + 1
+        best = max(best, (now, labels), key=lambda x: x[0])
+        if idle == 2:
+            break
+    return best[1].select("node", "community")
 
 
-def closure(parents: DataFrame, most_depth: int = 20) -> DataFrame:
-    """All ``ancestor``, ``descendant`` pairs with their depth, from ``node`` and ``parent``; a node is its own at depth 0."""
+def closure(parents: DataFrame) -> DataFrame:
+    """All ``ancestor``, ``descendant`` pairs with their depth, from ``node`` and ``parent``; a node is its own at depth 0.
+
+    Levels are added until one is empty, however deep; a cycle is an error.
+    """
     own = parents.select("node", "parent")
     level = own.select(F.col("node").alias("ancestor"), F.col("node").alias("descendant"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most_depth + 1):
-        level = level.join(own, level["ancestor"] == own["node"]).filter("parent is not null").select(F.col("parent").alias("ancestor"), "descendant", F.lit(depth).alias("depth"))
+    out, depth = level, 0
+    while True:
+        depth += 1
+        level = stored(level.join(own, level["ancestor"] == own["node"]).filter("parent is not null").select(F.col("parent").alias("ancestor"), "descendant", F.lit(depth).alias("depth")), "closure-level")
         if level.isEmpty():
-            break
+            return out
+        if not level.filter("ancestor = descendant").isEmpty():
+            raise ValueError("a node is its own ancestor")
         out = out.unionByName(level)
-    return out

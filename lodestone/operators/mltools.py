@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.ordering import numbered, tile
 from lodestone.functions.scalars import clamp, normal_cdf, pearson
 from lodestone.functions.vectors import cosine
 from lodestone.operators.stats import per_column, rows_by_column
@@ -87,14 +88,14 @@ def feature_importance(df: DataFrame, target: str, features: Sequence[str]) -> D
 def ntile_segments(df: DataFrame, key: str, columns: Sequence[str], segments: int = 4) -> DataFrame:
     """Segments of equal size by the mean of min-max scaled columns: size, score and averages of each.
 
-    Quantile bounds come from an exact rank, which needs one global order; the rows
-    in it hold the key and the score alone.
+    Tiles come from the exact place of each row in the order of scores, ties by the key.
     """
     whole = df.filter(" and ".join(f"{c} is not null" for c in columns)).select(key, *columns)
     ends = F.broadcast(whole.agg(*(f(c).alias(f"{c}__{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max)))))  # one row
     scaled = [F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}__lo"), F.col(f"{c}__hi") - F.col(f"{c}__lo")), F.lit(0.0)) for c in columns]
     scored = whole.crossJoin(ends).withColumn("score", sum(scaled, F.lit(0.0)) / len(columns))
-    placed = scored.withColumn("segment", F.ntile(segments).over(Window.orderBy("score", key)))
+    placed = numbered(scored.select(key, "score", *columns), ["score", key])
+    placed = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("rows")))).withColumn("segment", tile(F.col("rn"), F.col("rows"), segments))
     return placed.groupBy("segment").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), *(F.avg(c).alias(f"avg_{c}") for c in columns))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import shape, shape_regex
+from lodestone.operators.ordering import before, middle, numbered
 from lodestone.operators.stats import rows_by_column
 
 #: Forms of text that columns are tested for.
@@ -66,18 +67,22 @@ def trend_by_date(df: DataFrame, date: str, value: str) -> DataFrame:
     return fit.withColumn("direction", F.when(F.col("slope") > 0.001, "Increasing").when(F.col("slope") < -0.001, "Decreasing").otherwise("Stable")).withColumn("reported", (F.col("r_squared") > 0.3) | (F.abs("slope") > 0.001))
 
 
-def trend_by_order(df: DataFrame, order: str, value: str, rows: int = 10_000) -> DataFrame:
-    """Least squares of a value on its place among the first ``rows`` rows in an order."""
-    head = df.filter(F.col(value).isNotNull()).orderBy(order).limit(rows)
-    placed = head.select(F.col(value).cast("double").alias("y"), F.row_number().over(Window.orderBy(order)).cast("double").alias("x"))
+def _head(df: DataFrame, order: list[str], rows: int | None) -> DataFrame:
+    return df.orderBy(*order).limit(rows) if rows else df
+
+
+def trend_by_order(df: DataFrame, order: str, value: str, rows: int | None = None) -> DataFrame:
+    """Least squares of a value on its place in an order; of the first ``rows`` rows alone if that is given."""
+    head = _head(df.filter(F.col(value).isNotNull()).select(order, value), [order], rows)
+    placed = numbered(head, [order]).select(F.col(value).cast("double").alias("y"), F.col("rn").cast("double").alias("x"))
     return placed.agg(F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r_squared"), F.count("*").alias("n"))
 
 
-def granularity(df: DataFrame, ts: str, rows: int = 1_000) -> DataFrame:
-    """Median positive gap in seconds of the first ``rows`` times, and its name."""
-    head = df.filter(F.col(ts).isNotNull()).select(F.col(ts).cast("timestamp").alias("ts")).orderBy("ts").limit(rows)
-    gap = F.unix_timestamp("ts") - F.lag(F.unix_timestamp("ts")).over(Window.orderBy("ts"))
-    out = head.select(gap.alias("gap")).filter("gap > 0").agg(F.percentile("gap", F.lit(0.5)).alias("median_gap"))
+def granularity(df: DataFrame, ts: str, rows: int | None = None) -> DataFrame:
+    """Median positive gap in seconds between times (the first ``rows`` if that is given), and its name."""
+    head = _head(df.filter(F.col(ts).isNotNull()).select(F.unix_timestamp(F.col(ts).cast("timestamp")).alias("t")), ["t"], rows)
+    gaps = before(numbered(head, ["t"]), "t", "last").select((F.col("t") - F.col("last")).alias("gap")).filter("gap > 0")
+    out = middle(gaps, "gap", [0.5]).agg(F.max("value").alias("median_gap"))
     g = F.col("median_gap")
     # fixed values: seconds at which the next coarser name starts
     name = F.when(g < 120, "Minute").when(g < 7_200, "Hourly").when(g < 172_800, "Daily").when(g < 864_000, "Weekly").when(g < 5_184_000, "Monthly").when(g < 15_552_000, "Quarterly").otherwise("Yearly")
@@ -98,11 +103,9 @@ def weekday_seasonality(df: DataFrame, ts: str) -> DataFrame:
     return counts.agg(F.count("*").alias("days"), (F.stddev_samp("n") / F.avg("n")).alias("variation")).withColumn("seasonal", (F.col("days") >= 5) & (F.col("variation") > 0.3))
 
 
-def autocorrelation(df: DataFrame, order: list[str], value: str, rows: int = 500, lags: int = 60) -> DataFrame:
-    """Autocorrelation of the first ``rows`` values in an order at lags from 1."""
-    head = df.filter(F.col(value).isNotNull()).orderBy(*order).limit(rows)
-    # at most `rows` rows from here on
-    placed = head.select(F.col(value).cast("double").alias("v"), F.row_number().over(Window.orderBy(*order)).alias("rn"))
+def autocorrelation(df: DataFrame, order: list[str], value: str, rows: int | None = None, lags: int = 60) -> DataFrame:
+    """Autocorrelation of values in an order at lags from 1; of the first ``rows`` alone if that is given."""
+    placed = numbered(_head(df.filter(F.col(value).isNotNull()).select(*order, value), order, rows), order).select(F.col(value).cast("double").alias("v"), "rn")
     centred = placed.crossJoin(F.broadcast(placed.agg(F.avg("v").alias("m")))).select("rn", (F.col("v") - F.col("m")).alias("c"))
     total = F.broadcast(centred.agg(F.sum(F.col("c") * F.col("c")).alias("total")))
     ahead = centred.select(F.col("c").alias("later"), "rn", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")).select("later", "lag", (F.col("rn") - F.col("lag")).alias("rn"))
@@ -125,8 +128,9 @@ def key_overlap(child: DataFrame, child_col: str, parent: DataFrame, parent_col:
     return own.join(other, "v", "left").agg(F.count("*").alias("distinct_values"), F.count("there").alias("found"), (F.count("there") / F.count("*")).alias("overlap")).select(F.lit(child_col).alias("child"), F.lit(parent_col).alias("parent"), "*").withColumn("is_key", F.col("overlap") > 0.9)
 
 
-def monotonic_share(df: DataFrame, order: str, value: str, rows: int = 10_000) -> DataFrame:
-    """Shares of rising and falling steps among the first ``rows`` values in an order."""
-    head = df.filter(F.col(value).isNotNull()).orderBy(order).limit(rows)
-    step = F.col(value) - F.lag(value).over(Window.orderBy(order))
-    return head.select(step.alias("step")).filter("step is not null").agg(F.avg((F.col("step") > 0).cast("double")).alias("rising"), F.avg((F.col("step") < 0).cast("double")).alias("falling"))
+def monotonic_share(df: DataFrame, order: str, value: str, rows: int | None = None) -> DataFrame:
+    """Shares of rising and falling steps among values in an order (the first ``rows`` if that is given), and the verdict above 0.95."""
+    head = _head(df.filter(F.col(value).isNotNull()).select(order, value), [order], rows)
+    step = before(numbered(head, [order]), value, "last").select((F.col(value) - F.col("last")).alias("step"))
+    shares = step.agg(F.avg((F.col("step") > 0).cast("double")).alias("rising"), F.avg((F.col("step") < 0).cast("double")).alias("falling"))
+    return shares.withColumn("verdict", F.when(F.col("rising") > 0.95, "Increasing").when(F.col("falling") > 0.95, "Decreasing").otherwise("None"))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import tokens
+from lodestone.sources.scratch import stored
 
 
 def term_counts(docs: DataFrame, id_col: str, text: str, longer_than: int = 1) -> DataFrame:
@@ -116,25 +117,22 @@ def hash_embedding(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def mmr(candidates: DataFrame, group: str, id_col: str, relevance: str, vector: str, k: int = 5, weight: float = 0.7) -> DataFrame:
     """Maximal marginal relevance: in each group ``k`` rows that are relevant and unlike each other.
 
-    Rows are picked one by one, so a group is held in one task; it is cut to its
-    most relevant ``20 * k`` rows first.
+    Each of ``k`` rounds picks the best row of every group in one aggregation, and
+    the others remember how near they are to what has been picked; ties go to the
+    more relevant row and then to the smaller id. A group may be of any size.
     """
-    order = Window.partitionBy(group).orderBy(F.desc(relevance), id_col)
-    head = candidates.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= 20 * k).select(group, id_col, relevance, vector)
-
-    def pick(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([relevance, id_col], ascending=[False, True]).reset_index(drop=True)
-        x = np.array(own[vector].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        chosen: list[int] = []
-        while len(chosen) < min(k, len(own)):
-            near = (x @ x[chosen].T).max(1) if chosen else np.zeros(len(own))
-            gain = weight * own[relevance].to_numpy() - (1 - weight) * near
-            gain[chosen] = -np.inf
-            chosen.append(int(gain.argmax()))
-        return pd.DataFrame({group: own[group].iloc[0], id_col: own[id_col].iloc[chosen].to_numpy(), "place": range(1, len(chosen) + 1)})
-
-    return head.groupBy(group).applyInPandas(pick, head.select(group, id_col).schema.add("place", T.IntegerType()))
+    norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.transform(F.col(vector), lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
+    rows = stored(candidates.select(group, id_col, F.col(relevance).cast("double").alias("__r"), unit.alias("__v"), F.lit(None).cast("double").alias("__near")), "mmr-rows")
+    gain = weight * F.col("__r") - (1 - weight) * F.coalesce("__near", F.lit(0.0))
+    picks = []
+    for place in range(1, k + 1):
+        best = stored(rows.groupBy(group).agg(F.min_by(F.struct(id_col, "__v"), F.struct(-gain, -F.col("__r"), F.col(id_col))).alias("b")).select(group, F.col(f"b.{id_col}").alias("__id"), F.col("b.__v").alias("__p")), "mmr-picks")
+        picks.append(best.select(group, F.col("__id").alias(id_col), F.lit(place).alias("place")))
+        if place < k:
+            near = F.aggregate(F.zip_with("__v", "__p", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+            rows = stored(rows.join(best, group).filter(F.col(id_col) != F.col("__id")).select(group, id_col, "__r", "__v", F.greatest("__near", near).alias("__near")), "mmr-rows")
+    return reduce(DataFrame.unionByName, picks)
 
 
 def links(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -120,9 +120,19 @@ def _starts(prefix: str) -> Callable[[Column], Column]:
     return lambda t: t.startswith(prefix)
 
 
-def site_search(df: DataFrame, text: str, column: str) -> DataFrame:
-    """Rows whose text has all terms, phrases and prefixes of a site search and none that it excludes."""
+def site_search(df: DataFrame, text: str, column: str, category: str | None = None, date: str | None = None) -> DataFrame:
+    """Rows whose text has all terms, phrases and prefixes of a site search and none that it excludes.
+
+    ``category:`` compares the ``category`` column, case aside; ``after:`` and ``before:`` the day of ``date``, its bound
+    included for ``after:``. A filter whose column isn't named is an error rather than passed over.
+    """
     query, low, own = parse_site_query(text), F.lower(column), tokens(F.col(column), 0)
     found = [F.array_contains(own, t) for t in query.terms] + [F.contains(low, F.lit(p)) for p in query.phrases]
     found += [~F.array_contains(own, t) for t in query.excluded] + [F.size(F.filter(own, _starts(p))) > 0 for p in query.prefixes]
+    for name, value in query.filters.items():
+        place = category if name == "category" else date
+        if place is None:
+            raise ValueError(f"no column for {name}:")
+        day = F.to_date(F.col(place))
+        found.append(F.lower(place) == value.lower() if name == "category" else day >= F.to_date(F.lit(value)) if name == "after" else day < F.to_date(F.lit(value)))
     return df.filter(reduce(lambda a, b: a & b, found)) if found else df

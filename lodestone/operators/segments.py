@@ -73,11 +73,15 @@ def recommend(interests: DataFrame, items: DataFrame, seen: DataFrame, user: str
     """The ``k`` best unseen items of each user by interest in their categories, ties to the smaller item.
 
     ``interests`` has user, category and weight; ``items`` item, category and
-    popularity from 0 to 1. Only each category's ``5 * k`` most popular items are
-    joined, which bounds what one user meets.
+    popularity from 0 to 1. Within a category only popularity tells items apart: a
+    user meets its ``k`` most popular items and as many more as they have seen there.
     """
-    best = items.withColumn("__place", F.row_number().over(Window.partitionBy(category).orderBy(F.desc("popularity"), item))).filter(F.col("__place") <= 5 * k)
-    met = interests.join(best, category).join(seen.select(user, item).distinct(), [user, item], "left_anti")
+    best = items.withColumn("__place", F.row_number().over(Window.partitionBy(category).orderBy(F.desc("popularity"), item)))
+    had = seen.select(user, item).distinct()
+    counts = had.join(items.select(item, category), item).groupBy(user, category).agg(F.count("*").alias("__seen"))
+    asked = interests.join(counts, [user, category], "left").withColumn("__most", k + F.coalesce("__seen", F.lit(0)))
+    bound = asked.groupBy(category).agg(F.max("__most").alias("__bound"))
+    met = asked.join(best.join(bound, category).filter(F.col("__place") <= F.col("__bound")), category).filter(F.col("__place") <= F.col("__most")).join(had, [user, item], "left_anti")
     scored = met.withColumn("score", 0.8 * F.col("weight") + 0.2 * F.col("popularity"))
     order = Window.partitionBy(user).orderBy(F.desc("score"), item)
     return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(user, item, "score", "place")

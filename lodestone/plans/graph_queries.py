@@ -72,12 +72,12 @@ def modularity(t: Tables) -> DataFrame:
 
 @query()
 def community_labels(t: Tables) -> DataFrame:
-    return graph.label_propagation(_nation_edges(t))
+    return graph.communities(_nation_edges(t))
 
 
-@query("WITH RECURSIVE c AS (SELECT c_custkey AS ancestor, c_custkey AS descendant, 0 AS depth FROM customer WHERE c_custkey BETWEEN 1 AND 500 UNION ALL SELECT ancestor // 10, descendant, depth + 1 FROM c WHERE ancestor // 10 >= 1) SELECT * FROM c")
+@query("WITH RECURSIVE c AS (SELECT c_custkey AS ancestor, c_custkey AS descendant, 0 AS depth FROM customer WHERE c_custkey > 0 UNION ALL SELECT ancestor // 10, descendant, depth + 1 FROM c WHERE ancestor // 10 >= 1) SELECT * FROM c")
 def comment_closure(t: Tables) -> DataFrame:
-    parents = t.customer.filter("c_custkey between 1 and 500").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") >= 10, F.floor(F.col("c_custkey") / 10)).alias("parent"))
+    parents = t.customer.filter("c_custkey > 0").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") >= 10, F.floor(F.col("c_custkey") / 10)).alias("parent"))
     return graph.closure(parents)
 
 
@@ -124,8 +124,8 @@ def _shop(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 @query("""WITH l AS (SELECT o_custkey, p_brand, p_partkey, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), i AS (SELECT o_custkey, p_brand, sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY o_custkey) AS weight FROM l GROUP BY 1, 2), s AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1),
-a AS (SELECT p_partkey, p_brand, coalesce(n, 0) / (SELECT max(n) FROM s) AS popularity FROM part LEFT JOIN s ON p_partkey = l_partkey), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY popularity DESC, p_partkey) AS k FROM a) WHERE k <= 15),
-m AS (SELECT o_custkey, p_partkey, 0.8 * weight + 0.2 * popularity AS score FROM i JOIN b USING (p_brand) WHERE (o_custkey, p_partkey) NOT IN (SELECT o_custkey, p_partkey FROM l))
+a AS (SELECT p_partkey, p_brand, coalesce(n, 0) / (SELECT max(n) FROM s) AS popularity FROM part LEFT JOIN s ON p_partkey = l_partkey),
+m AS (SELECT o_custkey, p_partkey, 0.8 * weight + 0.2 * popularity AS score FROM i JOIN a USING (p_brand) WHERE (o_custkey, p_partkey) NOT IN (SELECT o_custkey, p_partkey FROM l))
 SELECT o_custkey, p_partkey, round(score, 4) AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, p_partkey) AS place FROM m) WHERE place <= 3""")
 def recommend_topk(t: Tables) -> DataFrame:
     interests, items, seen = _shop(t)

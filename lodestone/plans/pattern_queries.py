@@ -102,13 +102,13 @@ def trend_by_date(t: Tables) -> DataFrame:
     return rounded(patterns.trend_by_date(t.orders, "o_orderdate", "o_totalprice"), 6)
 
 
-@query("""SELECT round(regr_slope(value, rn), 6) AS slope, round(regr_r2(value, rn), 6) AS r_squared, count(*) AS n FROM (SELECT value, CAST(row_number() OVER (ORDER BY event_id) AS DOUBLE) AS rn FROM (SELECT * FROM events WHERE value IS NOT NULL ORDER BY event_id LIMIT 10000))""")
+@query("""SELECT round(regr_slope(value, rn), 6) AS slope, round(regr_r2(value, rn), 6) AS r_squared, count(*) AS n FROM (SELECT value, CAST(row_number() OVER (ORDER BY event_id) AS DOUBLE) AS rn FROM events WHERE value IS NOT NULL)""")
 def trend_row_order(t: Tables) -> DataFrame:
     return rounded(patterns.trend_by_order(t.events, "event_id", "value"), 6)
 
 
 @query("""SELECT round(g, 4) AS median_gap, CASE WHEN g < 120 THEN 'Minute' WHEN g < 7200 THEN 'Hourly' WHEN g < 172800 THEN 'Daily' WHEN g < 864000 THEN 'Weekly' WHEN g < 5184000 THEN 'Monthly' WHEN g < 15552000 THEN 'Quarterly' ELSE 'Yearly' END AS granularity FROM (
-SELECT quantile_cont(gap, 0.5) AS g FROM (SELECT CAST(floor(epoch(ts)) AS BIGINT) - lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (ORDER BY ts) AS gap FROM (SELECT ts FROM events WHERE ts IS NOT NULL ORDER BY ts LIMIT 1000)) WHERE gap > 0)""")
+SELECT quantile_cont(gap, 0.5) AS g FROM (SELECT CAST(floor(epoch(ts)) AS BIGINT) - lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (ORDER BY ts) AS gap FROM events WHERE ts IS NOT NULL) WHERE gap > 0)""")
 def granularity(t: Tables) -> DataFrame:
     return rounded(patterns.granularity(t.events, "ts"))
 
@@ -123,7 +123,7 @@ def seasonality_dow(t: Tables) -> DataFrame:
     return rounded(patterns.weekday_seasonality(t.events, "ts"))
 
 
-ACF = """WITH h AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) AS rn FROM (SELECT * FROM events WHERE value IS NOT NULL ORDER BY ts, event_id LIMIT 500)), c AS (SELECT rn, value - (SELECT avg(value) FROM h) AS c FROM h),
+ACF = """WITH h AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events WHERE value IS NOT NULL), c AS (SELECT rn, value - (SELECT avg(value) FROM h) AS c FROM h),
 a AS (SELECT CAST(k AS INTEGER) AS lag, sum(x.c * y.c) / (SELECT sum(c * c) FROM c) AS acf FROM range(1, 61) r(k) JOIN c AS x ON true JOIN c AS y ON y.rn = x.rn + k GROUP BY k)"""
 
 
@@ -133,9 +133,9 @@ def autocorrelation(t: Tables) -> DataFrame:
 
 
 @query(ACF + """ SELECT lag, round(acf, 4) AS acf, CASE WHEN lag = 7 THEN 'weekly' WHEN lag = 12 THEN 'monthly over a year' WHEN lag = 14 THEN 'fortnightly' WHEN lag = 24 THEN 'hourly over a day' WHEN lag IN (30, 31) THEN 'monthly' WHEN lag = 52 THEN 'weekly over a year' WHEN lag <= 3 THEN 'very short' WHEN lag <= 10 THEN 'short' ELSE 'long' END AS period
-FROM (SELECT *, lag(acf) OVER (ORDER BY lag) AS b, lead(acf) OVER (ORDER BY lag) AS n FROM a) WHERE acf > 0.05 AND acf > b AND acf > n""")
+FROM (SELECT *, lag(acf) OVER (ORDER BY lag) AS b, lead(acf) OVER (ORDER BY lag) AS n FROM a) WHERE acf > 0.02 AND acf > b AND acf > n""")
 def acf_peaks(t: Tables) -> DataFrame:
-    return rounded(patterns.acf_peaks(patterns.autocorrelation(t.events, ["ts", "event_id"], "value"), least=0.05))
+    return rounded(patterns.acf_peaks(patterns.autocorrelation(t.events, ["ts", "event_id"], "value"), least=0.02))
 
 
 @query("""SELECT 'o_custkey' AS child, 'c_custkey' AS parent, count(*) AS distinct_values, count(c) AS found, round(count(c) / count(*), 4) AS overlap, count(c) / count(*) > 0.9 AS is_key FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders WHERE o_custkey IS NOT NULL) LEFT JOIN (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS c FROM customer) ON v = c""")
@@ -143,6 +143,6 @@ def fk_overlap(t: Tables) -> DataFrame:
     return rounded(patterns.key_overlap(t.orders, "o_custkey", t.customer, "c_custkey"))
 
 
-@query("""SELECT round(avg(CASE WHEN step > 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS rising, round(avg(CASE WHEN step < 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS falling FROM (SELECT value - lag(value) OVER (ORDER BY event_id) AS step FROM (SELECT * FROM events WHERE value IS NOT NULL ORDER BY event_id LIMIT 10000)) WHERE step IS NOT NULL""")
+@query("""SELECT *, CASE WHEN rising > 0.95 THEN 'Increasing' WHEN falling > 0.95 THEN 'Decreasing' ELSE 'None' END AS verdict FROM (SELECT round(avg(CASE WHEN step > 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS rising, round(avg(CASE WHEN step < 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS falling FROM (SELECT value - lag(value) OVER (ORDER BY event_id) AS step FROM events WHERE value IS NOT NULL) WHERE step IS NOT NULL)""")
 def monotonic_share(t: Tables) -> DataFrame:
     return rounded(patterns.monotonic_share(t.events, "event_id", "value"))

@@ -136,9 +136,9 @@ def rrf_fusion(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH w AS (SELECT doc_id, {TOKENS.format(c='text', n=2)} AS t FROM documents), e AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM w), c AS (SELECT doc_id, length, term, count(*) AS tf FROM e GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
-s AS (SELECT doc_id, term, tf / length * ln((SELECT count(*) FROM documents) / df) AS weight FROM c JOIN f USING (term)) SELECT doc_id, term, round(weight, 5) AS weight FROM s WHERE doc_id < 20""")
+s AS (SELECT doc_id, term, tf / length * ln((SELECT count(*) FROM documents) / df) AS weight FROM c JOIN f USING (term)) SELECT doc_id, term, round(weight, 5) AS weight FROM s""")
 def tfidf_terms(t: Tables) -> DataFrame:
-    return rounded(retrieval.tf_idf(t.documents).filter("doc_id < 20"), 5)
+    return rounded(retrieval.tf_idf(t.documents), 5)
 
 
 @query(f"""WITH c AS (SELECT DISTINCT doc_id, unnest({TOKENS.format(c='text', n=2)}) AS term FROM documents), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1)

@@ -14,6 +14,10 @@ from lodestone.sources import logs
 ENDINGS = {".csv": "csv", ".tsv": "csv", ".parquet": "parquet", ".json": "json", ".ndjson": "ndjson", ".jsonl": "ndjson", ".avro": "avro", ".orc": "orc", ".xlsx": "excel", ".xls": "excel", ".log": "log", ".sqlite": "sqlite", ".db": "sqlite"}
 
 
+#: Column that holds the text of rows that don't parse.
+CORRUPT = "_corrupt_record"
+
+
 @dataclass(frozen=True)
 class SourceSpec:
     """A kind of source, where it is, a table or sheet in it, and options of its reader."""
@@ -49,10 +53,13 @@ def parse_source(text: str) -> SourceSpec:
 
 
 def _csv(spark: SparkSession, spec: SourceSpec) -> DataFrame:
-    """Rows of a CSV file; if some don't parse, those that do, as the reader's mode says."""
+    """Rows of a CSV file; the text of a row that doesn't parse is kept in ``_corrupt_record``, which other rows have null."""
     sep = "\t" if spec.path.lower().endswith(".tsv") else ","
-    options = {"header": "true", "inferSchema": "true", "sep": sep, "mode": "DROPMALFORMED"} | spec.options
-    return spark.read.options(**options).csv(spec.path)
+    options = {"header": "true", "inferSchema": "true", "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT} | spec.options
+    plain = spark.read.options(**options).csv(spec.path)
+    if options["mode"] != "PERMISSIVE" or CORRUPT in plain.columns:
+        return plain
+    return spark.read.options(**options).schema(plain.schema.add(CORRUPT, "string")).csv(spec.path)
 
 
 def _jdbc(spark: SparkSession, spec: SourceSpec) -> DataFrame:

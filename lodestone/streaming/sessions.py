@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from lodestone.sources.scratch import scratch_path
+
 #: What a signal of each kind weighs; others weigh ``OTHER``.
 SIGNALS = {"purchase": 1.0, "add_to_cart": 0.35, "click": 0.1, "view": 0.05}
 OTHER = 0.05
@@ -91,8 +91,7 @@ def complete_result(stream: DataFrame, name: str) -> DataFrame:
     stream that fails raises its own error.
     """
     spark = stream.sparkSession
-    # the fallback only where the session names no shared folder, as in local tests
-    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
 
     def replace(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows")
