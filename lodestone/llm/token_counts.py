@@ -1,12 +1,15 @@
-"""Exact token counts at every prefix of a text.
-
-A text is a sequence of words, each a run of spaces with the characters that
-follow it. No piece of the vocabulary reaches across a word's start, so the count
-at a word's end is the count before it plus the word's own: one pass over distinct
-words gives the count at every word boundary. Inside a word a second dynamic
-programme finds the last piece of every prefix: it is the one piece that ends
-there and stands beside the last piece of the prefix before it. Truncation and
-budget questions are then look-ups; nothing is encoded again.
+"""Exact token counts at every prefix of a text, by dynamic programming.
+
+The model gives a table of pieces with their ranks, and of pairs of pieces that may
+stand side by side: those that merging leaves apart. A prefix of a word ends in one
+piece only, the one that ends there and may stand beside the last piece of the
+prefix before it; so the count at a prefix is the count at that earlier prefix and
+one. The programme fills in last pieces and counts from the left, each word once.
+
+A text is a sequence of words, each a run of spaces with the characters that follow
+it. No piece reaches across a word's start, so the count at a word's end is the
+count before it plus the word's own. Counts at all word ends are stored, and
+questions of truncation and budget are look-ups in them: nothing is encoded again.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,28 +43,24 @@ def counter(path: str | None) -> PrefixCounter:
 
 
 class PrefixCounter:
-    """Counts of the sentencepiece library at the prefixes of texts."""
+    """Counts at the prefixes of texts, as the sentencepiece library gives them for the whole prefix."""
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL))
-        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size()) if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i))]
-        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+        model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL))
+        own = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+        # the better a piece's score, the earlier it is merged
+        self.ranks = {model.id_to_piece(i): -model.get_score(i) for i in own}
+        if any(SPACE in p.lstrip(SPACE) for p in self.ranks):
             raise ValueError("a piece of this vocabulary reaches across words")
-        self.pieces = set(pieces)
-        self.longest = max(map(len, self.pieces))
-        self.lone = len(self.library.encode("a ")) - len(self.library.encode("a"))  # of a space with no word
+        self.longest = max(map(len, self.ranks))
         self.beside: dict[tuple[str, str], bool] = {}
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Count of each word; a word starts with the space before it, which the library adds itself."""
-        counts = np.fromiter(map(len, self.library.encode([w[1:] for w in words], num_threads=1)), np.int64, len(words))
-        for i, w in enumerate(words):
-            if w == " ":
-                counts[i] = self.lone
-        return counts
+        """Count of each word; a word starts with the spaces before it."""
+        return np.fromiter((self.last(w) for w in words), np.int64, len(words))
 
     def chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nothing, and the count of each chunk of a text; a text's first chunk has no space before it."""
@@ -71,33 +70,46 @@ class PrefixCounter:
         ends = np.cumsum([len(own) for own in split]) if split else np.zeros(0, np.int64)
         return np.zeros(0, np.uint32), np.diff(total[np.concatenate([[0], ends])])
 
+    def _merged(self, left: str, right: str) -> bool:
+        """Whether merging the characters of two pieces, side by side, leaves those two pieces."""
+        parts = list(left + right)
+        while len(parts) > 1:
+            ranked = [(self.ranks.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            rank, at = min(ranked)
+            if rank == np.inf:
+                break
+            parts[at : at + 2] = ["".join(parts[at : at + 2])]
+        return parts == [left, right]
+
     def _fits(self, left: str, right: str) -> bool:
-        """Whether the two pieces stay as they are side by side."""
+        """The same from the table of pairs, which grows with the pairs that are met."""
         known = self.beside.get((left, right))
         if known is None:
             if len(self.beside) > 500_000:
                 self.beside.clear()
-            # a line feed is no piece: nothing merges with it, and it keeps the library's own space away
-            known = self.library.encode(f"\n{left}{right}", out_type=str)[2:] == self._spelt(left) + self._spelt(right)
-            self.beside[left, right] = known
+            known = self.beside[left, right] = self._merged(left, right)
         return known
 
-    def _spelt(self, piece: str) -> list[str]:
-        return [piece] if piece in self.pieces else [f"<0x{b:02X}>" for b in piece.encode()]
-
     def inside(self, word: str) -> list[int]:
         """Counts at the prefixes of a word: of its first character, its first two, and so on."""
         word = word.replace(" ", SPACE)
+        ranks, beside, longest = self.ranks, self.beside, self.longest
         counts, lasts = [0], [""]
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - longest), end):
                 piece = word[start:end]
-                if (piece in self.pieces or start == end - 1) and (not start or self._fits(lasts[start], piece)):
-                    counts.append(counts[start] + len(self._spelt(piece)))
+                alone = start == end - 1
+                if (piece in ranks or alone) and (not start or (beside.get((lasts[start], piece)) or self._fits(lasts[start], piece))):
+                    # a character that is no piece is spelt in bytes
+                    counts.append(counts[start] + (1 if piece in ranks else len(piece.encode())))
                     lasts.append(piece)
                     break
         return counts[1:]
 
+    def last(self, word: str) -> int:
+        """The count at a word's end."""
+        return 1 if word.replace(" ", SPACE) in self.ranks and len(word) == 1 else self.inside(word)[-1]
+
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of ``text[:0]``, ``text[:1]``, up to the whole text."""
         out, before = [0], 0
@@ -128,12 +140,13 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096, id
     Returns a row for each row of ``docs``: its id, ``n_bytes`` (UTF-8),
     ``n_tokens``, ``over_limit`` and ``kept_chars``, the characters of the longest
     prefix within the budget. A null text counts as an empty one, with no tokens.
+    Whole texts are counted, however long. Repeated rows give repeated results,
+    other columns are ignored, an empty table gives none.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("kept_chars", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
-        cache = IdCache(own.chunks)
+        own, cache = _counter(path)
         for batch in in_steps(batches):
             chunked = ChunkedBatch(_spaced(batch.column(1)))
             slots = cache.slots(chunked.keys)
@@ -148,6 +161,44 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096, id
     return docs.select(F.col(id_col), text.alias("t"), F.octet_length(text).cast("long").alias("b"), F.length(text).cast("long").alias("c")).mapInArrow(count, schema)
 
 
+def prefix_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored programme: for each row its id, and the ``ends`` of its words (in characters) with the ``counts`` there.
+
+    A null or empty text has no words. ``longest_within`` answers budgets from these arrays alone.
+    """
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = _counter(path)
+        known: dict[str, int] = {}
+        for batch in in_steps(batches, 200):
+            if len(known) > 500_000:
+                known.clear()
+            ends, counts = [], []
+            for text in batch.column(1).to_pylist():
+                words = split_words(text or "")
+                new = [w for w in dict.fromkeys(words) if w not in known]
+                known |= zip(new, own.words(new).tolist(), strict=True)
+                ends.append(np.cumsum([len(w) for w in words], dtype=np.int64) - 1)
+                counts.append(np.cumsum([known[w] for w in words], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.astype(np.int32) for e in ends], pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=schema.names)
+
+    return docs.select(id_col, text_col).mapInArrow(fill, schema)
+
+
+def longest_within(counts: Column, ends: Column, limit: int) -> Column:
+    """Characters of the longest prefix of whole words that has at most ``limit`` tokens, from ``prefix_counts``."""
+    kept = F.size(F.filter(counts, lambda c: c <= limit))  # counts rise from word to word
+    return F.when(kept == 0, 0).otherwise(F.element_at(ends, F.greatest(kept, F.lit(1))))
+
+
+@lru_cache(maxsize=2)
+def _counter(path: str | None) -> tuple[PrefixCounter, IdCache]:
+    """The programme and the words it has met; kept by a Python worker from task to task."""
+    own = counter(path)
+    return own, IdCache(own.chunks, 900_000)
+
+
 def _spaced(texts: pa.Array) -> pa.Array:
     """Texts with written space signs as spaces. One that starts with a space gets the library's own space
     already here, so that every chunk with a space in front holds all its spaces."""

@@ -128,14 +128,39 @@ def test_perfect_hash_is_minimal(n):
 
 def test_counts_at_every_prefix_equal_the_library():
     counter, rng = token_counts.PrefixCounter(), random.Random(4)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_counts.MODEL))
     for _ in range(150):
         text = "".join(rng.choice("aab the\n  \t'sé🙂ßñ1 23.,-_/▁　") for _ in range(rng.choice([0, 1, 3, 10, 40])))
-        want = [len(counter.library.encode(text[:i])) for i in range(len(text) + 1)]
+        want = [len(library.encode(text[:i])) for i in range(len(text) + 1)]
         assert counter.prefixes(text).tolist() == want
         for limit in (0, 1, 4, 9):
             assert counter.longest_prefix(text, limit) == max(i for i, n in enumerate(want) if n <= limit)
 
 
+def test_counts_of_real_words_equal_the_library(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_counts.MODEL))
+    counter, words = token_counts.PrefixCounter(), set()
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        words |= set((r["text"] or "").split())
+    words = sorted(words)
+    assert counter.words([" " + w for w in words]).tolist() == [len(x) for x in library.encode(words)]
+
+
+def test_stored_prefixes_answer_budgets(spark):
+    """Counts at word ends, and the prefix of whole words for several budgets, against the library."""
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_counts.MODEL))
+    rows = [(i, t) for i, t in odd_rows() if i != 9 and len(t or "") < 400]
+    table = token_counts.prefix_counts(documents(spark, rows))
+    texts = dict(rows)
+    for r in table.filter("doc_id is not null").collect():
+        text = texts[r["doc_id"]] or ""
+        assert r["counts"] == [len(library.encode(text[:e])) for e in r["ends"]] and (r["ends"] or [0])[-1] == len(text)
+    for limit in (0, 3, 12):
+        for r in table.filter("doc_id is not null").withColumn("kept", token_counts.longest_within(F.col("counts"), F.col("ends"), limit)).collect():
+            assert r["kept"] == max([e for e, c in zip(r["ends"], r["counts"], strict=True) if c <= limit], default=0)
+    assert table.count() == len(rows)
+
+
 def test_token_counts_rows(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_counts.MODEL))
     rows = odd_rows()
