@@ -55,13 +55,9 @@ class PrefixCounter:
         self.ranks = {model.id_to_piece(i): -model.get_score(i) for i in own}
         if any(SPACE in p.lstrip(SPACE) for p in self.ranks):
             raise ValueError("a piece of this vocabulary reaches across words")
-        self.longest = max(map(len, self.ranks))
+        self.tails = {p[i:] for p in self.ranks for i in range(len(p))}
         self.beside: dict[tuple[str, str], bool] = {}
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Count of each word; a word starts with the spaces before it."""
-        return np.fromiter((self.last(w) for w in words), np.int64, len(words))
-
     def chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nothing, and the count of each chunk of a text; a text's first chunk has no space before it."""
         split = [WORD.findall(c if c[:1] == " " else " " + c) for c in chunks]
@@ -90,25 +86,50 @@ class PrefixCounter:
             known = self.beside[left, right] = self._merged(left, right)
         return known
 
-    def inside(self, word: str) -> list[int]:
-        """Counts at the prefixes of a word: of its first character, its first two, and so on."""
-        word = word.replace(" ", SPACE)
-        ranks, beside, longest = self.ranks, self.beside, self.longest
-        counts, lasts = [0], [""]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
+    def _fill(self, word: str, counts: list[int], lasts: list[str]) -> None:
+        """Go on from the prefixes filled in so far to the whole word."""
+        ranks, beside, tails = self.ranks, self.beside, self.tails
+        for end in range(len(counts), len(word) + 1):
+            start, piece, found = end - 1, word[end - 1], []
+            while piece in tails:
+                if piece in ranks:
+                    found.append((start, piece))
+                if not start:
+                    break
+                start -= 1
                 piece = word[start:end]
-                alone = start == end - 1
-                if (piece in ranks or alone) and (not start or (beside.get((lasts[start], piece)) or self._fits(lasts[start], piece))):
-                    # a character that is no piece is spelt in bytes
-                    counts.append(counts[start] + (1 if piece in ranks else len(piece.encode())))
+            for start, piece in reversed(found):
+                if not start or beside.get((lasts[start], piece)) or self._fits(lasts[start], piece):
+                    counts.append(counts[start] + 1)
                     lasts.append(piece)
                     break
+            else:  # a character that is no piece is spelt in bytes
+                counts.append(counts[end - 1] + len(word[end - 1].encode()))
+                lasts.append(word[end - 1])
+
+    def inside(self, word: str) -> list[int]:
+        """Counts at the prefixes of a word: of its first character, its first two, and so on."""
+        counts, lasts = [0], [""]
+        self._fill(word.replace(" ", SPACE), counts, lasts)
         return counts[1:]
 
-    def last(self, word: str) -> int:
-        """The count at a word's end."""
-        return 1 if word.replace(" ", SPACE) in self.ranks and len(word) == 1 else self.inside(word)[-1]
+    def words(self, words: list[str]) -> np.ndarray:
+        """Count of each word; a word starts with the spaces before it.
+
+        Words are taken in order, and each goes on from the prefix that it shares with the one before.
+        """
+        own = [w.replace(" ", SPACE) for w in words]
+        out, last, counts, lasts = np.zeros(len(own), np.int64), "", [0], [""]
+        for i in sorted(range(len(own)), key=own.__getitem__):
+            word, same = own[i], 0
+            for x, y in zip(word, last):
+                if x != y:
+                    break
+                same += 1
+            del counts[same + 1 :], lasts[same + 1 :]
+            self._fill(word, counts, lasts)
+            out[i], last = counts[-1], word
+        return out
 
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of ``text[:0]``, ``text[:1]``, up to the whole text."""
