@@ -5,8 +5,8 @@ the set of its shingles, each with its place. A document holds a window only if
 holds all its shingles, so the rarest one is a prefix that suffices to find it:
 shingles are ordered by how often all documents hold them, only the rarest of each
 window is joined, and bounds on position and length discard what can't be a whole
-window. Runs of neighbouring shingles on the diagonals that are left verify the
-windows word by word.
+window. A candidate then looks up its other shingles at the few places where they
+must stand, and nowhere else. A window that several items share is looked for once.
 """
 
 from __future__ import annotations
@@ -40,47 +40,51 @@ def shingles(own: Column, k: int) -> Column:
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` (id, ``row``, ``n_words``), and those with windows: ``row``, ``n_hit``, ``items``."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), row_key(item_id, item_text).alias("item_row"), words(F.col(item_text)).alias("w")).dropDuplicates(["item_row"]).filter(F.size("w") > 0).select("item", "item_row", "w", F.least(F.size("w"), F.lit(window)).alias("length"), F.least(F.size("w"), F.lit(k)).alias("k"))
-    # one of at most k sizes for each item: k for all but items of fewer words
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("w")).filter(F.size("w") > 0).withColumn("length", F.least(F.size("w"), F.lit(window)))
+    held = items.select("item", "length", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1), lambda i: F.array_join(F.slice("w", i, F.col("length")), " "))).alias("window"))
+    held = stored(held.select("item", "length", F.concat_ws(":", F.xxhash64("window"), F.xxhash64(F.lit(1), "window")).alias("wid"), "window").distinct(), "benchmark-windows")
+    # one of at most k sizes for each window: k for all but windows of fewer words
+    cut = held.select("wid", "length", F.split("window", " ").alias("w"), F.least("length", F.lit(k)).alias("k")).dropDuplicates(["wid"])
     own = F.lit(None).cast("array<string>")
     for size in range(1, k + 1):
         own = F.when(F.col("k") == size, shingles(F.col("w"), size)).otherwise(own)
-    runs = stored(items.select("item", "item_row", "length", "k", F.posexplode(own).alias("at", "shingle")), "benchmark-shingles")
-    sizes = sorted(r["k"] for r in runs.select("k").distinct().collect())
+    runs = stored(cut.select("wid", "length", "k", (F.col("length") - F.col("k") + 1).alias("need"), F.posexplode(own).alias("at", "shingle")), "benchmark-shingles")
+    sizes = sorted(r["k"] for r in runs.select("k").distinct().collect())  # k of them at most
     distinct = runs.select("shingle", "k").distinct()
-    small = runs.count() <= BROADCAST_SHINGLES
-    sized = F.broadcast if small else (lambda table: table)
+    small = distinct.count() <= BROADCAST_SHINGLES
 
-    # an empty shingle stands before the others of a document, and keeps a row for it
     read = docs.select(F.col(id_col), row_key(id_col, text_col).alias("row"), words(F.col(text_col)).alias("w"))
-    listed = read.select(id_col, "row", F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), *(shingles(F.col("w"), size) for size in sizes))).alias("place", "shingle"))
-    kept = distinct.unionByName(docs.sparkSession.createDataFrame([("", 0)], "shingle string, k int"))
-    before = F.lit(1)
+    rows = F.array(F.lit("")) if small else F.array().cast("array<string>")
+    listed = read.select(id_col, "row", F.size("w").alias("n_words"), F.posexplode(F.concat(rows, *(shingles(F.col("w"), size) for size in sizes))).alias("place", "shingle"))
+    before = F.lit(int(small))
     for size in sizes:  # where the shingles of each size start
         before = before + F.when(F.col("k") > size, F.greatest(F.col("n_words") - (size - 1), F.lit(0))).otherwise(0)
-    met = stored(listed.join(sized(kept), "shingle").select(id_col, "row", "n_words", "shingle", F.when(F.col("k") > 0, F.col("place") - before).alias("pos")), "benchmark-meetings")
+    columns = [id_col, "row", "n_words", "shingle", F.when(F.col("k") > 0, F.col("place") - before).alias("pos")]
+    if small:  # an empty shingle stands before the others of a document, and keeps a row for it
+        kept = distinct.unionByName(docs.sparkSession.createDataFrame([("", 0)], "shingle string, k int"))
+        met = stored(listed.join(F.broadcast(kept), "shingle").select(columns), "benchmark-meetings")
+        every = met.filter(F.col("pos").isNull())
+    else:
+        met = stored(listed.join(distinct, "shingle").select(columns), "benchmark-meetings")
+        every = read.select(id_col, "row", F.size("w").alias("n_words"))
     hits = met.filter(F.col("pos").isNotNull()).select("row", "n_words", "shingle", "pos").distinct()
 
     rarity = hits.groupBy("shingle").agg(F.count("*").alias("freq"))
-    counted = runs.join(rarity, "shingle", "left")
-    ahead = Window.partitionBy("item_row").orderBy("at").rowsBetween(0, window - k)
-    need = F.col("length") - F.col("k") + 1
-    rarest = F.min(F.struct("freq", "shingle", "at")).over(ahead)
     # a window some shingle of which no document holds can't occur
-    whole = (F.count("*").over(ahead) >= need) & (F.count("freq").over(ahead) >= need)
-    prefixes = counted.select("item_row", "length", F.when(whole, rarest).alias("first"), F.col("at").alias("start")).filter("first is not null").select("item_row", "length", "start", "first.shingle", "first.at")
-    diagonal = F.col("pos") - F.col("at")
-    bounded = (diagonal + F.col("start") >= 0) & (diagonal + F.col("start") + F.col("length") <= F.col("n_words"))
-    candidates = hits.join(sized(prefixes), "shingle").filter(bounded).select("row", "item_row", diagonal.alias("diagonal")).distinct()
-
-    meetings = hits.join(sized(runs), "shingle").select("row", "item", "item_row", "k", need.alias("need"), "pos", diagonal.alias("diagonal"))
-    checked = meetings.join(candidates, ["row", "item_row", "diagonal"], "left_semi")
-    along = Window.partitionBy("row", "item_row", "diagonal").orderBy("pos")
-    island = checked.withColumn("island", F.col("pos") - F.row_number().over(along))
-    spans = island.groupBy("row", "item", "item_row", "diagonal", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("last"), F.first("k").alias("k"), F.first("need").alias("need"), F.count("*").alias("n")).filter("n >= need")
-    inside = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("last") + F.col("k") - 1))))
-    found = spans.groupBy("row").agg(F.size(inside).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    return met.filter(F.col("pos").isNull()).select(id_col, "row", F.col("n_words").cast("long").alias("n_words")), found
+    prefixes = runs.join(rarity, "shingle", "left").groupBy("wid", "length", "need").agg(F.min(F.struct("freq", "shingle", "at")).alias("first"), F.count("freq").alias("there")).filter("there = need").select("wid", "length", "need", "first.shingle", "first.at")
+    start = F.col("pos") - F.col("at")
+    candidates = stored(hits.join(prefixes, "shingle").filter((start >= 0) & (start + F.col("length") <= F.col("n_words"))).select("row", "wid", "length", "need", start.alias("start"), F.col("at").alias("first_at")), "benchmark-candidates")
+    # each other shingle of a candidate at the one place where it must stand
+    others = candidates.join(runs.select("wid", "at", "shingle"), "wid").filter("at <> first_at").select("row", "wid", "length", "need", "start", "shingle", (F.col("start") + F.col("at")).alias("pos"))
+    whole = others.join(hits.select("row", "shingle", "pos"), ["row", "shingle", "pos"], "left_semi").groupBy("row", "wid", "length", "need", "start").agg(F.count("*").alias("n")).filter("n = need - 1")
+    found = stored(whole.select("row", "wid", "length", "start").unionByName(candidates.filter("need = 1").select("row", "wid", "length", "start")), "benchmark-found")
+
+    # words inside are counted over merged stretches, however many windows overlap
+    along = Window.partitionBy("row").orderBy("start", "end")
+    stretches = found.select("row", "start", (F.col("start") + F.col("length")).alias("end")).distinct().withColumn("reach", F.coalesce(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    hit = stretches.groupBy("row").agg(F.sum(F.greatest(F.col("end") - F.greatest("start", "reach"), F.lit(0))).cast("long").alias("n_hit"))
+    names = found.select("row", "wid").distinct().join(held.select("wid", "item"), "wid").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return every.select(id_col, "row", F.col("n_words").cast("long").alias("n_words")), hit.join(names, "row", "left")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
@@ -90,9 +94,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     words, but not none, is one window. Returns a row for each row of ``docs``: its
     id, ``n_words``, ``n_hit`` (words inside any occurrence), ``n_items`` (items
     with occurring windows), ``items_sha256`` (of their ids, as strings in order,
-    joined by commas) and ``contaminated``. A null text has no words; repeated
-    documents give repeated results, repeated items count once; words that only
-    items with a null id mark count as hit, but those items don't count.
+    joined by commas) and ``contaminated``. A null text has no words; whole texts
+    are read, however long; repeated documents give repeated results, repeated
+    items count once; words that only items with a null id mark count as hit, but
+    those items don't count. Other columns are ignored. Without items nothing is
+    hit, without documents there are no rows.
     """
     rows, found = find_windows(docs, benchmark, id_col=id_col, **options)
     none = F.array().cast("array<string>")

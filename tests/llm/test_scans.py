@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, licenses, pii, secrets
+from lodestone.llm import decontaminate, licenses, pii, queries, secrets
 from tests.llm.fixtures import documents, odd_rows
 
 LOWER = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
@@ -146,8 +146,10 @@ def plain_contamination(text: str | None, items: list[tuple]) -> tuple[int, int,
     return len(own), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_contamination(spark, seed):
+@pytest.mark.parametrize(("seed", "small"), [(1, True), (2, True), (2, False)])
+def test_contamination(spark, seed, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 0)
     rng = random.Random(seed)
     vocabulary = ["A", "b", "c", "Dé"]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 9, 10, 11, 14])))) for i in range(12)] + [(50, None), (51, ""), (None, "a b c a b c a b c a"), (52, "two words"), (52, "two words")]
@@ -162,6 +164,16 @@ def test_contamination(spark, seed):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter((i, t) for i, t in rows if not plain_contamination(t, items)[1])
 
 
+def test_contamination_against_its_sql(spark):
+    import duckdb
+
+    directory = "/root/testdata/sf0.01"
+    duckdb.sql(f"CREATE VIEW documents AS SELECT * FROM '{directory}/documents.parquet'; CREATE VIEW benchmark AS SELECT * FROM '{directory}/benchmark.parquet'")
+    want = duckdb.sql(queries.ORACLES["op8_decontamination"])
+    got = queries.QUERIES["op8_decontamination"](spark, directory)
+    assert Counter(map(tuple, got.select(want.columns).collect())) == Counter(want.fetchall())
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = [(1, "some text"), (2, None)]
