@@ -3,8 +3,10 @@
 Fixed forms give the base spans. Those are also the seeds of a bootstrap: the words
 around seeds are patterns, patterns and the strings they surround form a graph, and
 scores flow over it. A pattern is trusted as far as the strings it surrounds are, a
-string as far as its patterns are; trusted patterns discover identifiers of forms
-that nobody listed.
+string as far as its patterns are; a string that is all but certain counts as a
+seed in the next round, and rounds go on until the scores settle. Trusted patterns
+so discover identifiers of other forms: any run of letters and digits with a digit
+in it, also in groups. Words without a digit, such as names, are no candidates.
 """
 
 from __future__ import annotations
@@ -25,15 +27,21 @@ FORMS = (
     r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
-    r"(?<![A-Za-z0-9._%+@-])[A-Za-z]{0,6}+[-_#]?+[0-9]{5,20}+(?![A-Za-z0-9@])",
+    r"(?<![A-Za-z0-9._%+@#-])(?=[A-Za-z0-9_#/.-]{4})(?=[A-Za-z_#/.-]{0,40}[0-9])[#]?[A-Za-z0-9]++(?:[-_#/.][A-Za-z0-9]++)*+(?:\x20[0-9]{2,4}+(?![A-Za-z0-9.,@-]))*+(?![A-Za-z0-9@])",
 )
 #: A text without this part of a form holds no match of it.
 SIGNS = ("@", ".", "", "+", "")
+#: Characters that a discovered identifier has at least.
+LEAST_LENGTH = 4
+#: Score from which a discovered string counts as a seed, and what no discovered string exceeds.
+CERTAIN, MOST = 0.95, 0.99
 #: Of a card's 16 to 19 digits and a phone's 8 to 15.
 CARD_DIGITS, PHONE_DIGITS = (16, 19), (8, 15)
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 LEFT = r"(\p{L}+)[^\p{L}0-9]{1,3}(\p{L}+)[^\p{L}0-9]{0,3}$"
 RIGHT = r"^[^\p{L}0-9]{0,3}(\p{L}+)"
+#: A word that names what follows it.
+LABEL = r"(\p{L}{2,})[\x20]?[:=#][\x20]?$"
 
 
 def _entries(text: Column, kind: int) -> Column:
@@ -66,21 +74,26 @@ def _stands(kind: Column, match: Column) -> Column:
     """Whether a match meets its form's conditions."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     n = F.length(digits)
-    return F.when(kind == 1, match.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")).when(kind == 2, F.when(n.between(*CARD_DIGITS), luhn(digits)).otherwise(False)).when(kind == 3, n.between(*PHONE_DIGITS)).otherwise(True)
+    return F.when(kind == 1, match.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")).when(kind == 2, F.when(n.between(*CARD_DIGITS), luhn(digits)).otherwise(False)).when(kind == 3, n.between(*PHONE_DIGITS)).when(kind == 4, F.length(match) >= LEAST_LENGTH).otherwise(True)
 
 
 def _trusted(edges: DataFrame, rounds: int, least_seeds: int, least_trust: float) -> DataFrame:
-    """Strings that patterns vouch for: distinct ``instance`` of the unlisted ones."""
-    scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    """Strings that patterns vouch for: distinct ``instance`` of the unlisted ones. Rounds end once the scores settle."""
+    scores = stored(edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score")), "pii-scores")
+    last = None
     for _ in range(rounds):
         scored = edges.select("pattern", "instance").join(scores, "instance")
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("trust"), F.sum((F.col("score") == 1).cast("int")).alias("seeds")).filter((F.col("seeds") >= least_seeds) & (F.col("trust") >= least_trust))
+        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("trust"), F.sum((F.col("score") >= CERTAIN).cast("int")).alias("seeds")).filter((F.col("seeds") >= least_seeds) & (F.col("trust") >= least_trust))
         raised = edges.filter(~F.col("seed")).select("pattern", "instance").join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("raised"))
-        scores = stored(scores.join(raised, "instance", "left").select("instance", F.greatest("score", F.least(F.coalesce("raised", F.lit(0.0)), F.lit(0.99))).alias("score")), "pii-scores")
+        scores = stored(scores.join(raised, "instance", "left").select("instance", F.greatest("score", F.least(F.coalesce("raised", F.lit(0.0)), F.lit(MOST))).alias("score")), "pii-scores")
+        total = scores.agg(F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 3)).first()[0]
+        if total == last:
+            break
+        last = total
     return scores.filter((F.col("score") >= least_trust) & (F.col("score") < 1)).select("instance")
 
 
-def find_spans(docs: DataFrame, rounds: int = 2, least_seeds: int = 3, least_trust: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def find_spans(docs: DataFrame, rounds: int = 8, least_seeds: int = 3, least_trust: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` (id and ``row``), and spans: ``row``, ``kind`` (its place in KINDS), ``start``, ``end``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit("").alias("match"), F.lit("").alias("left"), F.lit("").alias("right"))
@@ -101,7 +114,8 @@ def find_spans(docs: DataFrame, rounds: int = 2, least_seeds: int = 3, least_tru
 
     words = lambda i: F.regexp_extract("left", LEFT, i)
     after = F.regexp_extract("right", RIGHT, 1)
-    patterns = F.array(F.when(words(2) != "", F.concat(words(1), F.lit(" "), words(2), F.lit(" _"))), F.when((words(2) != "") & (after != ""), F.concat(words(2), F.lit(" _ "), after)))
+    label = F.regexp_extract("left", LABEL, 1)
+    patterns = F.array(F.when(label != "", F.concat(label, F.lit(": _"))), F.when(words(2) != "", F.concat(words(1), F.lit(" "), words(2), F.lit(" _"))), F.when((words(2) != "") & (after != ""), F.concat(words(2), F.lit(" _ "), after)))
     edges = spans.select(F.explode(patterns).alias("pattern"), "instance", is_base.alias("seed")).filter("pattern is not null").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     trusted = _trusted(stored(edges, "pii-graph"), rounds, least_seeds, least_trust)
     found = spans.filter(is_base).unionByName(spans.filter(~is_base).join(trusted, "instance", "left_semi").select(spans.columns))
@@ -120,8 +134,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     ``n_card`` and ``n_phone``, the numbers of base spans; ``base_sha256``, of the
     base spans as kind:start:end by kind and start, joined by commas; ``spans``,
     all spans so written; and ``n_context``, those the bootstrap discovered.
-    Offsets are code points, ends exclusive. A null text is an empty text; repeated
-    rows give repeated results.
+    Offsets are code points, ends exclusive. Whole texts are read, however long. A
+    null text is an empty text; repeated rows give repeated results; other columns
+    are ignored; an empty table gives none.
     """
     rows, spans = find_spans(docs, id_col=id_col, text_col=text_col, **bootstrap)
     listed = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("all"))

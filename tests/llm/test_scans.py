@@ -126,6 +126,50 @@ def test_contexts_discover_other_identifiers(spark):
     assert got[101]["n_context"] == 0
 
 
+def plain_bootstrap(edges: set[tuple[str, str, bool]], rounds: int, least_seeds: int, least_trust: float) -> set[str]:
+    """The scores of patterns and instances, round by round, in plain loops."""
+    seeds = {i for _, i, s in edges if s}
+    score = {i: float(i in seeds) for _, i, _ in edges}
+    for _ in range(rounds):
+        trust = {}
+        for p in {p for p, _, _ in edges}:
+            own = [score[i] for q, i, _ in edges if q == p]
+            if sum(x >= pii.CERTAIN for x in own) >= least_seeds and sum(own) / (len(own) + 1) >= least_trust:
+                trust[p] = sum(own) / (len(own) + 1)
+        for i in set(score) - seeds:
+            doubt = 1.0
+            for p in {p for p, j, _ in edges if j == i and p in trust}:
+                doubt *= 1 - trust[p]
+            score[i] = max(score[i], min(1 - doubt, pii.MOST))
+    return {i for i, x in score.items() if least_trust <= x < 1}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bootstrap_equals_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    instances = [(f"i{n}", n < 25) for n in range(60)]
+    edges = {(f"p{rng.randrange(12)}", *rng.choice(instances[: rng.choice([25, 30, 60])])) for _ in range(300)}
+    table = spark.createDataFrame(list(edges), "pattern string, instance string, seed boolean")
+    got = {r["instance"] for r in pii._trusted(table, 5, 3, 0.6).collect()}
+    assert got == plain_bootstrap(edges, 5, 3, 0.6) and got
+
+
+def test_identifiers_of_several_forms_are_discovered(spark):
+    """Recall and precision on planted strings: forms that no rule lists, in contexts of seeds and out of them."""
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    forms = [lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"AB{digits(2)}CD{digits(3)}", lambda: digits(4), lambda: f"GB{digits(2)} {digits(4)} {digits(4)} {digits(4)}", lambda: f"user_{digits(3)}x", lambda: f"#{digits(6)}"]
+    contexts = ["Contact: {} as agreed", "please write to {} today", "reach the owner {} soon"]
+    rows = [(i, rng.choice(contexts).format(f"user{i}@mail{i}.com")) for i in range(150)]
+    planted = {1_000 + i: (rng.choice(contexts), rng.choice(forms)()) for i in range(30)}
+    rows += [(i, c.format(x)) for i, (c, x) in planted.items()]
+    rows += [(2_000 + i, rng.choice(["in chapter {} we saw", "about {} apples", "Total: {} units"]).format(rng.choice(forms)())) for i in range(60)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(documents(spark, rows)).collect()}
+    found = sum(f"context:{c.index('{')}:{c.index('{') + len(x)}" in got[i] for i, (c, x) in planted.items())
+    assert found / len(planted) >= 0.9
+    assert not any("context" in got[2_000 + i] for i in range(60))
+
+
 def test_redact(spark):
     rows = [(1, "mail é🙂 a@b.com or +1 555 555 1234."), (2, "clean"), (3, None), (3, "a@b.com a@b.com"), (4, "at the end 10.0.0.1")]
     got = pii.redact(documents(spark, rows))
