@@ -48,13 +48,15 @@ def _entries(text: Column, kind: int) -> Column:
     """Matches of a form with what stands before and after each; what is before it is kept by its length."""
     form = FORMS[kind]
     pieces, matches = F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0))
+    # side by side, so that the text is cut once and not for every match
+    beside = F.arrays_zip(matches, F.slice(pieces, F.lit(1), F.size(matches)), F.slice(pieces, F.lit(2), F.size(matches)))
 
     def entry(match: Column, i: Column) -> Column:
-        before, after = F.get(pieces, i), F.get(pieces, i + 1)
+        before, after = match.getField("1"), match.getField("2")
         # no span is so long that 80 characters of context reach past the words next to it
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(before).alias("gap"), match.alias("match"), F.substring(before, -80, 80).alias("left"), F.substring(after, 1, 40).alias("right"))
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(before).alias("gap"), match.getField("0").alias("match"), F.substring(before, -80, 80).alias("left"), F.substring(after, 1, 40).alias("right"))
 
-    found = F.transform(matches, entry)
+    found = F.transform(beside, entry)
     there = text.rlike(form) if not SIGNS[kind] else text.contains(SIGNS[kind]) & text.rlike(form)
     return F.when(there, found).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,match:string,left:string,right:string>>"))
 
