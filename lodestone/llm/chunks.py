@@ -155,8 +155,10 @@ class WordedBatch:
     def __init__(self, texts: pa.Array, table: bytes = WORD_BYTES):
         texts = pc.fill_null(texts.cast(pa.string()), "")
         _, places, data = texts.buffers()
-        if data is not None:
-            texts = pa.Array.from_buffers(pa.string(), len(texts), [None, places, pa.py_buffer(data.to_pybytes().translate(table))], offset=texts.offset)
+        if data is not None and len(texts):  # the bytes of these texts alone, not of the whole batch that they are a slice of
+            at = np.frombuffer(places, np.int32, len(texts) + 1, 4 * texts.offset)
+            own = data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes().translate(table)
+            texts = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(own)])
         parts = pc.ascii_split_whitespace(texts)
         flat = parts.flatten().dictionary_encode()
         self.words: list[str] = flat.dictionary.to_pylist()

@@ -55,7 +55,7 @@ FEW = 8
 #: Cells of a set's own sketch, a byte each.
 CELLS = 64
 #: Texts that are cut into shingles at a time.
-STEP = 500
+STEP = 250
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -84,13 +84,14 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     width = cells // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, np.int32)
+        counts = np.zeros(cells, np.uint8)
         for batch in in_steps(batches, STEP):
             sets = list(shingle_sets(batch.column(0), k))
             if sets:
-                np.add.at(counts, (np.concatenate(sets) & np.uint64(cells - 1)).astype(np.int64), 1)
-        # a task's count of a cell stops at 255: what is so common comes last anyhow
-        parts = [zlib.compress(p.tobytes(), 1) for p in np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, width)]
+                at, n = np.unique((np.concatenate(sets) & np.uint64(cells - 1)).astype(np.int32), return_counts=True)
+                # a task's count of a cell stops at 255: what is so common comes last anyhow
+                counts[at] = np.minimum(counts[at] + n, 255)
+        parts = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(SLICES, width)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
     def add(kind: str, own: pd.DataFrame) -> pd.DataFrame:
