@@ -67,8 +67,9 @@ def ask(df: DataFrame, question: str) -> DataFrame:
             column = F.col(names[name.lower()])
             found.append(column > float(value) if word.lower() in ("over", "above") else column < float(value))
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    for text in re.findall(r"\b(?:containing|named|called)\s+('[^']*'|\w+)", question, re.IGNORECASE):
-        found.append(reduce(lambda a, b: a | b, (contains(c, text.strip("'")) for c in texts)))
+    for several in re.findall(r"\b(?:containing|named|called)\s+((?:'[^']*'|\w+)(?:\s+or\s+(?:'[^']*'|\w+))*)", question, re.IGNORECASE):
+        wanted = [w.strip("'") for w in re.split(r"\s+or\s+", several, flags=re.IGNORECASE)]
+        found.append(reduce(lambda a, b: a | b, (contains(c, w) for c in texts for w in wanted)))
     return df.filter(reduce(lambda a, b: a & b, found)) if found else df
 
 
