@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from lodestone.operators.ordering import numbered, tile
 from lodestone.functions.scalars import clamp, normal_cdf, pearson
 from lodestone.functions.vectors import cosine
-from lodestone.operators.stats import per_column, rows_by_column
+from lodestone.operators.stats import per_column, rows_by_column, quantiles
 
 #: Class names that stand for the outcome of interest, the first that occurs counts.
 POSITIVE = ("1", "true", "yes", "y", "churn", "exited", "fraud", "late", "bad")
@@ -101,8 +101,10 @@ def ntile_segments(df: DataFrame, key: str, columns: Sequence[str], segments: in
 
 def anomalies(df: DataFrame, columns: Sequence[str], method: str = "zscore", threshold: float = 3.0) -> DataFrame:
     """Values beyond ``threshold`` deviations of the mean, or interquartile ranges of the quartiles."""
-    first: dict[str, object] = {"a": lambda c: F.avg(c.cast("double")), "b": lambda c: F.stddev_samp(c.cast("double"))} if method == "zscore" else {"a": lambda c: F.percentile(c.cast("double"), F.lit(0.25)), "b": lambda c: F.percentile(c.cast("double"), F.lit(0.75))}
-    wide = df.agg(*(f(F.col(c)).alias(f"{c}__{n}") for c in columns for n, f in first.items()))
+    if method == "zscore":
+        wide = df.agg(*(f(F.col(c).cast("double")).alias(f"{c}__{n}") for c in columns for n, f in (("a", F.avg), ("b", F.stddev_samp))))
+    else:
+        wide = quantiles(df, columns, {"a": 0.25, "b": 0.75})
     both = df.select(*columns).crossJoin(F.broadcast(wide))  # one row
     aggs = []
     for c in columns:

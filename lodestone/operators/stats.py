@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lodestone.operators.ordering import middle
 from lodestone.functions.scalars import pearson, strength
 
 
@@ -41,22 +42,34 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_form(df, columns).distinct().groupBy("column_name").agg(F.count("*").alias("distinct_count"))
 
 
+#: Names of the quartiles.
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Count, nulls, distinct values, range, mean, sample deviation and quartiles of numeric columns.
 
     With ``exact=False`` distinct counts and quartiles are sketched in the same
-    single pass; exact quartiles keep a count for each distinct value.
+    single pass; exact quartiles count equal values together and order those.
     """
     columns = list(columns or numeric_columns(df))
-    quartile = (lambda p: lambda c: F.percentile(c.cast("double"), F.lit(p))) if exact else (lambda p: lambda c: F.percentile_approx(c.cast("double"), F.lit(p), F.lit(10_000)))
     stats: dict[str, object] = {
         "row_count": lambda c: F.count(F.lit(1)), "null_count": lambda c: F.count_if(c.isNull()), "min": lambda c: F.min(c.cast("double")), "max": lambda c: F.max(c.cast("double")),
-        "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double")), "q25": quartile(0.25), "median": quartile(0.5), "q75": quartile(0.75),
+        "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double")),
     }
     if not exact:
-        stats["distinct_count"] = lambda c: F.approx_count_distinct(c)
-        return per_column(df, columns, stats)
-    return per_column(df, columns, stats).join(distinct_counts(df, columns), "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+        sketched = lambda p: lambda c: F.percentile_approx(c.cast("double"), F.lit(p), F.lit(10_000))
+        return per_column(df, columns, stats | {"q25": sketched(0.25), "median": sketched(0.5), "q75": sketched(0.75), "distinct_count": lambda c: F.approx_count_distinct(c)})
+    points = middle(long_form(df, columns, "double"), "value", list(QUARTILES.values()), ["column_name"])
+    quartiles = points.groupBy("column_name").agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(n) for n, p in QUARTILES.items()))
+    out = per_column(df, columns, stats).join(F.broadcast(quartiles), "column_name", "left").join(F.broadcast(distinct_counts(df, columns)), "column_name", "left")  # a row a column each
+    return out.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], shares: dict[str, float]) -> DataFrame:
+    """One row of exact percentiles, ``<column>__<name>`` each, by running counts over ranges of the values."""
+    points = middle(long_form(df, columns, "double"), "value", list(shares.values()), ["column_name"])
+    return points.agg(*(F.max(F.when((F.col("column_name") == c) & (F.col("share") == p), F.col("value"))).alias(f"{c}__{n}") for c in columns for n, p in shares.items()))
 
 
 def skew_kurtosis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -72,8 +85,7 @@ def skew_kurtosis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 def outliers_and_zeros(df: DataFrame, columns: Sequence[str] | None = None, fence: float = 1.5) -> DataFrame:
     """Values outside the quartiles by more than ``fence`` interquartile ranges, and zeros."""
     columns = list(columns or numeric_columns(df))
-    first = df.agg(*(F.percentile(F.col(c).cast("double"), F.lit(p)).alias(f"{c}__{n}") for c in columns for n, p in (("q25", 0.25), ("q75", 0.75))))
-    wide = df.select(*columns).crossJoin(F.broadcast(first))  # one row
+    wide = df.select(*columns).crossJoin(F.broadcast(quantiles(df, columns, {"q25": 0.25, "q75": 0.75})))  # one row
 
     def outside(c: str) -> Column:
         iqr = F.col(f"{c}__q75") - F.col(f"{c}__q25")
@@ -85,9 +97,9 @@ def outliers_and_zeros(df: DataFrame, columns: Sequence[str] | None = None, fenc
 
 def mad(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median absolute deviation from the median, over all rows."""
-    first = df.agg(*(F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"{c}__med") for c in columns))
-    wide = df.select(*columns).crossJoin(F.broadcast(first))  # one row
-    return rows_by_column(wide.agg(*(F.percentile(F.abs(F.col(c) - F.col(f"{c}__med")), F.lit(0.5)).alias(f"{c}__mad") for c in columns)), columns, ["mad"])
+    wide = df.select(*columns).crossJoin(F.broadcast(quantiles(df, columns, {"med": 0.5})))  # one row
+    away = wide.select(*(F.abs(F.col(c) - F.col(f"{c}__med")).alias(c) for c in columns))
+    return rows_by_column(quantiles(away, columns, {"mad": 0.5}), columns, ["mad"])
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
