@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import drop_stored, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,8 +34,9 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     current = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "stars")
     state = _state(current)
     for _ in range(most_rounds):
-        current = stored(_star(_star(current, True), False), "stars")
+        before, current = current, stored(_star(_star(current, True), False), "stars")
         state, last = _state(current), state
+        drop_stored(before)
         if state == last:
             return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     raise RuntimeError("components did not settle")

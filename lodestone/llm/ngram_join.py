@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.chunks import LOWER_BYTES, WordedBatch, in_steps, rolling
-from lodestone.llm.common import stored
+from lodestone.llm.common import drop_stored, stored
 from lodestone.llm.components import connected
 
 SHINGLE = 3
@@ -303,6 +303,7 @@ def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -
     links = stored(_links(_compared(few, sets), percent).unionByName(_links(differences, percent)).distinct(), "shingle-links")
     pairs = stored(_near(_unconnected(differences, connected(links), percent), classes, percent), "shingle-pairs")
     components = connected(links.unionByName(_links(_compared(pairs, sets), percent)))
+    drop_stored(lists, few, led, sets, differences, links, pairs)
 
     named = classes.select("digest", "node", "copies").join(components, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component"))
     joined = rows.select("id", "text_hash", "n", "digest").join(named, "digest", "left")

@@ -81,7 +81,7 @@ class PrefixCounter:
         """The same from the table of pairs, which grows with the pairs that are met."""
         known = self.beside.get((left, right))
         if known is None:
-            if len(self.beside) > 500_000:
+            if len(self.beside) > 250_000:
                 self.beside.clear()
             known = self.beside[left, right] = self._merged(left, right)
         return known
@@ -217,7 +217,7 @@ def longest_within(counts: Column, ends: Column, limit: int) -> Column:
 def _counter(path: str | None) -> tuple[PrefixCounter, IdCache]:
     """The programme and the words it has met; kept by a Python worker from task to task."""
     own = counter(path)
-    return own, IdCache(own.chunks, 900_000)
+    return own, IdCache(own.chunks, 250_000)
 
 
 def _spaced(texts: pa.Array) -> pa.Array:
