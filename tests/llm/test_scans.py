@@ -60,6 +60,21 @@ def test_novel_strings_in_a_sensitive_context(spark):
     assert got[2]["n_novel"] == 0 and got[3]["n_novel"] == 0
 
 
+def test_novelty_on_planted_strings(spark):
+    """Recall on keys of several alphabets, single and repeated nearby; words, names of the corpus and paths stay."""
+    rng = random.Random(8)
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    full, base32, upper_hex = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF"
+    planted = [key(a, n) for a in (full, base32, upper_hex) for n in (24, 40, 64, 120) for _ in range(3)]
+    rows = [(i, f"session_key: {k} and more words" if i % 2 else f"session_key: {k}\nsession_key: {k}\n") for i, k in enumerate(planted)]
+    common = ["render_page_header_twice", "load-user-profile-data", "parseConfigurationFileNow"]
+    rows += [(1_000 + i, f"client key: {common[i % 3]}2 here {common[i % 3]}") for i in range(30)]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(documents(spark, rows)).collect()}
+    found = sum(got[i]["n_novel"] == (1 if i % 2 else 2) for i in range(len(planted)))
+    assert found / len(planted) >= 0.9
+    assert sum(got[1_000 + i]["n_novel"] for i in range(30)) == 0
+
+
 def test_licenses(spark):
     rows = odd_rows() + random_rows(["cc ", "by ", "CC-BY\n", "general ", "public ", "license ", "all rights ", "reserved. ", "é "], 2)
     got = licenses.find_licenses(documents(spark, rows))
