@@ -41,6 +41,8 @@ TEMPLATES = {
 }
 #: Words of a run; a shorter template is one run.
 RUN = 3
+#: Runs of templates up to which their table is broadcast: some 10 MB.
+BROADCAST_RUNS = 100_000
 
 
 def words(text: str) -> list[str]:
@@ -72,8 +74,13 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrase
     start of a phrase, null if none), ``base_labels``, ``labels`` (with those of
     templates of which one merged diagonal covers ``least_cover``) and ``score``
     (the best cover of any template or phrase, 0 to 1). Diagonals no more than
-    ``near`` apart are merged. A null text has no words. Repeated rows give
-    repeated results; other columns of ``docs`` are ignored.
+    ``near`` apart are merged. A null text has no words; whole texts are read,
+    however long. Repeated rows give repeated results; other columns of ``docs`` are
+    ignored; an empty table gives none.
+
+    Runs that no template has leave before the join, in the task that makes them (a
+    semi-join on the sorted hashes of the templates); those left are joined by hash
+    and words.
     """
     spark = docs.sparkSession
     runs = template_runs(templates, phrases, k)
@@ -104,7 +111,8 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrase
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(own.offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), struct)], names=schema.names)
 
     rolled = stored(docs.select(id_col, row_key(id_col, text_col).alias("row"), text_col).mapInArrow(roll, schema), "license-runs")
-    table = F.broadcast(spark.createDataFrame(runs))
+    table = spark.createDataFrame(runs)
+    table = F.broadcast(table) if len(runs) <= BROADCAST_RUNS else table
     hits = rolled.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.*").distinct().join(table, ["run", "run_words"])
     votes = hits.groupBy("row", "base", "template", "label", "template_words", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set(F.struct("at", "size")).alias("runs"))
     order = Window.partitionBy("row", "base", "template").orderBy("diagonal")

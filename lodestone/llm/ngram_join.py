@@ -319,7 +319,8 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = SHINGLE, id_col: s
     (the smallest id that links reach, its own included) and ``n_copies`` (rows
     with an equal set, itself included). A null or empty text has an empty set and
     links with nothing. Rows with a null id take no part in links and have a null
-    component. Rows that repeat an id are joined each by its own text.
+    component. Rows that repeat an id are joined each by its own text. Whole texts
+    are compared, however long; other columns are ignored; an empty table gives none.
     """
     joined = _joined(docs, percent, k, id_col, text_col)
     return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.col("copies").alias("n_copies"))

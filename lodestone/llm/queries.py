@@ -21,42 +21,52 @@ from lodestone.sources.tables import read_table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document. Null and empty texts get the bias's score; without labels all are alike; repeated rows repeat."""
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and set size of every document at three words and 0.9. Null, empty and wordless texts stand alone; null ids have no component."""
     return jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from shards of token ids. A null text has the end id only; null ids come first; repeated ids are all kept."""
     return shard_table(read_table(spark, sf_dir, "documents"), scratch_path(spark, "token-shards"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the bytes they decode to. A null text is an empty one."""
     return encode_decode(read_table(spark, sf_dir, "documents"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. A null text has none; repeated rows repeat."""
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document. A null text has none; no text is too long."""
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates of every document. A null text has no words."""
     return find_licenses(read_table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items. Null texts and items have no words."""
     return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, by fixed forms and by context. A null text has none."""
     return find_pii(read_table(spark, sf_dir, "documents"))
 
 
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest vectors of every twentieth. Null, zero and non-finite vectors take no part; ties go to the smaller id."""
     return every_twentieth(read_table(spark, sf_dir, "embeddings"))
 
 

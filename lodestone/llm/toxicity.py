@@ -126,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
     labels are not looked at. The class prior is the toxic share of all admitted
     labels. Features that set toxic texts apart at more than three standard errors
     are kept, the ``max_features`` strongest. Rows with a null label or id don't
-    count. Without a toxic row, or features, the model scores every text alike.
+    count. Without a toxic row, or features, the model scores every text alike, below
+    one half.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").alias("toxic")).filter("id is not null and toxic is not null")
@@ -134,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     prior = min(max(n_toxic / n, 1e-4), 0.9) if n else 0.5
-    constant = ToxicityModel({}, float(np.log(prior / (1 - prior))) if n_toxic else -5.0)
+    # nothing tells texts apart then, and none is called toxic
+    constant = ToxicityModel({}, min(float(np.log(prior / (1 - prior))), -0.01) if n_toxic else -5.0)
     if not n_toxic:
         return constant
     draw = F.xxhash64("id", F.lit(seed))
@@ -209,7 +211,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Train on the labels outside the held-out fold and score every text.
 
     Returns a row for each row of ``docs``: the id, ``held_out``, ``score`` and
-    ``predicted``. Repeated rows get the same score; an empty table gives none.
+    ``predicted``. Repeated rows get the same score; whole texts are scored, however
+    long; other columns are ignored; an empty table gives none.
     """
     model = train(docs, labels, ~held_out(F.col("id")), id_col, text_col)
     scored = score(docs.select(F.col(id_col), F.col(text_col)), model, text_col)

@@ -214,6 +214,22 @@ def test_pipeline_stage_drops_near_copies_by_five_words(spark, seed):
     assert sorted(kept) == [i for i in ids if least[i] == i] and 1 in kept and 2 not in kept
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null texts and ids, repeated rows, extra columns and long texts go through every stage; empty tables too."""
+    rows = odd_rows()
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (8, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r["doc_id"] for r in out]
+    assert {i for i in range(1, 8)} <= set(ids) and ids.count(8) <= 1 and ids.count(None) == 2
+    none = tmp_path / "none"
+    documents(spark, []).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{none}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(none)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on planted cases: toxic texts, near copies, benchmark passages and personal data."""
     rows, labels = toxic_rows(200)
