@@ -103,8 +103,3 @@ def schema_hash(df: DataFrame) -> Column:
     """A literal that depends on the names and types of the columns only."""
     text = "|".join(sorted(f"{f.name.lower()}:{f.dataType.simpleString()}" for f in df.schema.fields))
     return F.xxhash64(F.lit(text))
-
-
-def content_hash(df: DataFrame) -> DataFrame:
-    """One row: a hash that doesn't depend on the order of the rows."""
-    return df.agg(F.bit_xor(F.xxhash64(*df.columns)).alias("content_hash"), F.count("*").alias("n"))

@@ -123,8 +123,10 @@ def monthly_trend(df: DataFrame, ts: str, value: str) -> DataFrame:
     return fit.withColumn("direction", F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing").otherwise("stable"))
 
 
-def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
-    """The centroid of largest cosine for each vector; centroids are few, one a cluster."""
+def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_col: str, vector: str, label: str, most: int = 10_000) -> DataFrame:
+    """The centroid of largest cosine for each vector; of more than ``most`` centroids, which are broadcast, an error is raised."""
+    if centroids.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} centroids: cluster them first")
     pairs = vectors.select(id_col, vector).crossJoin(F.broadcast(centroids.select(F.col(label).alias("nearest"), F.col("centroid"))))
     near = pairs.select(id_col, "nearest", cosine(F.col(vector), F.col("centroid")).alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("nearest")).alias("m")))

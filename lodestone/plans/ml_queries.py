@@ -97,9 +97,15 @@ def psi_js_drift(t: Tables) -> DataFrame:
     return rounded(drift.categorical_drift(*_years(t), ["l_returnflag", "l_linestatus"]))
 
 
-@query(BOTH + " SELECT column_name, value, round(100 * (coalesce(q, 0) - coalesce(p, 0)), 4) AS points, p IS NULL AS is_new, q IS NULL AS is_removed FROM f WHERE abs(100 * (coalesce(q, 0) - coalesce(p, 0))) >= 5")
+SHIFT = """WITH o AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS value, o_orderdate < TIMESTAMP '1995-10-01' AS early FROM orders), f AS (SELECT value, count(*) FILTER (WHERE early) / (SELECT count(*) FROM o WHERE early) AS p, count(*) FILTER (WHERE NOT early) / (SELECT count(*) FROM o WHERE NOT early) AS q FROM o GROUP BY 1)
+SELECT 'year' AS column_name, value, round(100 * (q - p), 4) AS points, p = 0 AS is_new, q = 0 AS is_removed FROM f WHERE abs(100 * (q - p)) >= 5"""
+
+
+@query(SHIFT)
 def category_shifts(t: Tables) -> DataFrame:
-    return rounded(drift.category_shifts(*_years(t), ["l_returnflag", "l_linestatus"]))
+    own = t.orders.withColumn("year", F.year("o_orderdate").cast("string"))
+    bound = F.lit("1995-10-01").cast("timestamp_ntz")
+    return rounded(drift.category_shifts(own.filter(F.col("o_orderdate") < bound), own.filter(F.col("o_orderdate") >= bound), ["year"]))
 
 
 NUM = "SELECT '{c}' AS column_name, avg({c}) AS m, stddev_samp({c}) AS s, quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.5) AS b, quantile_cont({c}, 0.75) AS d FROM lineitem WHERE {w}"
