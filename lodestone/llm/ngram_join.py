@@ -50,8 +50,8 @@ COUNTERS, SLICES = (1 << 20, 1 << 23), 64
 BYTES_A_COUNTER = 64
 #: Bits of the table that tells which texts are to be read again; 4 MB, whatever the input. A clash costs time only.
 MARKS = 1 << 25
-#: Sets of a list up to which it is compared pair by pair: 28 pairs at most.
-FEW = 8
+#: Sets of a list up to which it is compared pair by pair: 15 pairs at most.
+FEW = 6
 #: Cells of a set's own sketch, a byte each.
 CELLS = 64
 #: Texts that are cut into shingles at a time.
