@@ -1,5 +1,5 @@
 """Training-data operators.
 
-Ten operators a training-data pipeline needs, each a function from DataFrames to
+Thirteen operators a training-data pipeline needs, each a function from DataFrames to
 DataFrames. Nothing else in the library imports this subpackage.
 """

@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bpe import encode_decode
+from lodestone.llm.chat import format_and_read
 from lodestone.llm.common import scratch_path
 from lodestone.llm.decontaminate import find_contamination
 from lodestone.llm.licenses import find_licenses
 from lodestone.llm.nearest import every_twentieth
 from lodestone.llm.ngram_join import jaccard_join
+from lodestone.llm.phrases import mine_phrases
 from lodestone.llm.pii import find_pii
 from lodestone.llm.secrets import find_secrets
 from lodestone.llm.shards import shard_table
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.toxicity import score_toxicity
+from lodestone.llm.whitening import whiten
 from lodestone.sources.tables import read_table
 
 
@@ -70,6 +73,21 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every_twentieth(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened coordinates of every vector. Null and non-finite vectors are dropped; a component without variance has none."""
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 leading phrases of each language. Null texts have no words; a null language is und."""
+    return mine_phrases(read_table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from its files. A null text is an empty one."""
+    return format_and_read(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
@@ -81,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_nearest_vectors": op10_nearest_vectors,
+    "op11_whitening": op11_whitening,
+    "op12_phrases": op12_phrases,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLES: dict[str, str] = {
@@ -111,5 +132,53 @@ WITH words AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)
+""",
+    "op12_phrases": r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+), worded AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k) GROUP BY ALL
+), total AS (
+  SELECT lang, sum(f)::HUGEINT AS n FROM grams WHERE k = 1 GROUP BY 1
+), candidates AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE f >= 100 AND k > 1
+), subs AS (
+  SELECT lang, a AS longer, array_to_string(w[i : i + j - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM candidates))
+), absorbing AS (
+  SELECT lang, phrase, max(longer) AS longer FROM subs GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN absorbing USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+), cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(w[1 : c], ' ') AS head, array_to_string(w[c + 1 : k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, c, h.f AS l, t.f AS r, n, (1000 * a::HUGEINT * n) // (h.f::HUGEINT * t.f::HUGEINT) AS score
+  FROM cuts JOIN grams h ON h.lang = cuts.lang AND h.phrase = head JOIN grams t ON t.lang = cuts.lang AND t.phrase = rest JOIN total ON total.lang = cuts.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000
+""",
+    "op13_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), escaped AS (
+  SELECT *, length(regexp_replace(regexp_replace(replace(text, '\', '\\'), '\[(/?(?:INST|SYS|ROLE|TURN)\])', '[\\\1', 'g'), '<(/?s>)', '<\\\1', 'g')) AS chars,
+    length(regexp_replace(regexp_replace(replace(role, '\', '\\'), '\[(/?(?:INST|SYS|ROLE|TURN)\])', '[\\\1', 'g'), '<(/?s>)', '<\\\1', 'g')) AS role_chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(chars + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 4 ELSE 19 + role_chars END))::BIGINT AS formatted_chars,
+  false AS rewritten
+FROM escaped GROUP BY conv_id
 """,
 }
