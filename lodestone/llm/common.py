@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.scratch import scratch_path, shared_dir, stored
+from lodestone.sources.scratch import drop_stored, scratch_path, shared_dir, stored
 
-__all__ = ["drop_stored", "row_key", "scratch_path", "shared_dir", "stored"]
+__all__ = ["drop_stored", "fresh", "row_key", "scratch_path", "shared_dir", "stored"]
 
 
-def drop_stored(*tables: DataFrame) -> None:
-    """Delete the files of ``stored`` tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def row_key(id_col: str, text_col: str) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import row_key, stored
+from lodestone.llm.common import fresh, row_key, stored
 
 #: What stands between words once A-Z are lowered.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,6 +106,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no window of a benchmark item."""
+    """The rows of ``docs``, with all their columns, whatever their names, that hold no window of a benchmark item."""
     _, found = find_windows(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    return docs.withColumn("__row", row_key(id_col, text_col)).join(found.select(F.col("row").alias("__row")), "__row", "left_anti").select(docs.columns)
+    own = fresh(docs, "own_row")
+    return docs.withColumn(own, row_key(id_col, text_col)).join(found.select(F.col("row").alias(own)), own, "left_anti").select(docs.columns)

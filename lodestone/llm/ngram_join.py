@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.chunks import LOWER_BYTES, WordedBatch, in_steps, rolling
-from lodestone.llm.common import drop_stored, stored
+from lodestone.llm.common import drop_stored, fresh, stored
 from lodestone.llm.components import connected
 
 SHINGLE = 3
@@ -183,22 +183,25 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _both(pairs, sets).select("a", "b", "n", "m", (F.col("n") + F.col("m") - 2 * F.size(F.array_intersect("of_a", "of_b"))).alias("far"))
 
 
+def _several(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows of those keys under which nodes of more than one ``component`` meet."""
+    kept = rows.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*keys)
+    return rows.join(kept, list(keys), "left_semi")
+
+
 def _pairs(rows: DataFrame, keys: list[str], percent: int, far: bool) -> DataFrame:
-    """Distinct pairs ``a``, ``b`` of the ``node`` of rows that share the ``keys`` and may link by their sizes and positions.
+    """Distinct pairs ``a``, ``b`` of the ``node`` of rows that share the ``keys``, are of two ``component`` and may link by their sizes and positions.
 
-    With ``far`` the rows are of differences to a leader, ``far`` their sizes, and
-    pairs of one ``component`` are left out.
+    With ``far`` the rows are of differences to a leader, and ``far`` their sizes.
     """
-    own = ["node", "n", "pos", *(["far", "component"] if far else [])]
+    own = ["node", "n", "pos", "component", *(["far"] if far else [])]
     two = rows.select(*keys, *(F.col(c).alias(f"other_{c}") for c in own))
     n, m, p, q = F.col("n"), F.col("other_n"), F.col("pos"), F.col("other_pos")
     room = (n + m) * (100 - percent)
-    may = (n * 100 >= m * percent) & (m * 100 >= n * percent) & ((100 + percent) * (p + q) <= room)
+    may = (F.col("component") < F.col("other_component")) & (n * 100 >= m * percent) & (m * 100 >= n * percent) & ((100 + percent) * (p + q) <= room)
     if far:
         lead = F.col("far") - F.col("other_far")
-        may &= (F.col("component") < F.col("other_component")) & ((100 + percent) * (2 * p - lead) <= room) & ((100 + percent) * (2 * q + lead) <= room)
-    else:
-        may &= F.col("node") < F.col("other_node")
+        may &= ((100 + percent) * (2 * p - lead) <= room) & ((100 + percent) * (2 * q + lead) <= room)
     return rows.join(two, keys).filter(may).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
 
 
@@ -236,9 +239,8 @@ def _differences(led: DataFrame, sets: DataFrame, common: Broadcast, percent: in
 def _unconnected(differences: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` of followers of a leader that are not connected and that may link by their differences to it."""
     placed = differences.select(F.col("a").alias("node"), F.col("b").alias("leader"), "n", "far", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = lambda rows, *keys: rows.join(rows.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*keys), list(keys), "left_semi")
-    lists = several(placed, "leader").select("node", "leader", "n", "far", "component", F.posexplode("first").alias("pos", "element"))
-    lists = stored(several(lists, "leader", "element"), "shingle-differences")
+    lists = _several(placed, "leader").select("node", "leader", "n", "far", "component", F.posexplode("first").alias("pos", "element"))
+    lists = stored(_several(lists, "leader", "element"), "shingle-differences")
     spread = [f(c).alias(f"{low}_{c}") for c in ("n", "far", "component") for low, f in (("lo", F.min), ("hi", F.max))]
     blocks = lists.groupBy("leader", "element", "pos").agg(*spread)
     other = blocks.select("leader", "element", *(F.col(c).alias(f"other_{c}") for c in blocks.columns[2:]))
@@ -293,17 +295,20 @@ def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -
     shared = shared.filter("sets > 1 and (lo < hi or lo = size)").select("shingle", "size", "sets", F.col("l.node").alias("leader"))
     lists = stored(lists.join(shared, ["shingle", "size"]).select("shingle", "size", "sets", "node", "n", "pos", "leader"), "shingle-lists")
 
-    few = stored(_near(_pairs(lists.filter(F.col("sets") <= FEW), ["shingle", "size"], percent, False), classes, percent), "shingle-few")
     led = stored(lists.filter((F.col("sets") > FEW) & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "shingle-leaders")
     # only the sets that are to be compared are read from the texts again
-    ends = few.unionByName(led).select(F.explode(F.array("a", "b")).alias("node"))
-    sets = stored(_sets_of(ends, texts, repeated, k), "shingle-sets")
-
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = stored(_sets_of(ends(led), texts, repeated, k), "shingle-sets")
     differences = stored(_differences(led, sets, common, percent), "shingle-compared")
-    links = stored(_links(_compared(few, sets), percent).unionByName(_links(differences, percent)).distinct(), "shingle-links")
-    pairs = stored(_near(_unconnected(differences, connected(links), percent), classes, percent), "shingle-pairs")
-    components = connected(links.unionByName(_links(_compared(pairs, sets), percent)))
-    drop_stored(lists, few, led, sets, differences, links, pairs)
+    links = stored(_links(differences, percent).distinct(), "shingle-links")
+    # a short list matters where the long ones have left sets of it unconnected
+    short = lists.filter(F.col("sets") <= FEW).join(connected(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    few = stored(_near(_pairs(_several(short, "shingle", "size"), ["shingle", "size"], percent, False), classes, percent), "shingle-few")
+    few_sets = stored(_sets_of(ends(few), texts, repeated, k), "shingle-sets")
+    more = stored(links.unionByName(_links(_compared(few, few_sets), percent)), "shingle-links")
+    pairs = stored(_near(_unconnected(differences, connected(more), percent), classes, percent), "shingle-pairs")
+    components = connected(more.unionByName(_links(_compared(pairs, sets), percent)))
+    drop_stored(lists, led, sets, differences, links, few, few_sets, more, pairs)
 
     named = classes.select("digest", "node", "copies").join(components, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component"))
     joined = rows.select("id", "text_hash", "n", "digest").join(named, "digest", "left")
@@ -329,13 +334,15 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = SHINGLE, id_col: s
 def one_of_each(docs: DataFrame, percent: int = 90, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, less those linked with a row of a smaller id.
 
-    Of rows that repeat an id and a text one stays. Rows with a null id stay.
+    Of rows that repeat an id and a text one stays. Rows with a null id stay. Columns may
+    have any names.
     """
-    joined = stored(_joined(docs, percent, k, id_col, text_col).filter("id is not null").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "component"), "shingle-components")
-    keyed = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)})
-    kept = keyed.join(joined.filter("__id <> component").select("__id", "__hash"), ["__id", "__hash"], "left_anti")
-    repeated = joined.groupBy("__id", "__hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("__id", "__hash")
+    own = fresh(docs, "own_id"), fresh(docs, "own_hash")
+    joined = stored(_joined(docs, percent, k, id_col, text_col).filter("id is not null").select(F.col("id").alias(own[0]), F.col("text_hash").alias(own[1]), F.col("component").alias("component")), "shingle-components")
+    keyed = docs.withColumns({own[0]: F.col(id_col), own[1]: F.xxhash64(text_col)})
+    kept = keyed.join(joined.filter(F.col(own[0]) != F.col("component")).select(*own), [*own], "left_anti")
+    repeated = joined.groupBy(*own).agg(F.count("*").alias("rows")).filter("rows > 1").select(*own)
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    once = kept.join(repeated, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
-    return kept.join(repeated, ["__id", "__hash"], "left_anti").unionByName(once).select(docs.columns)
+    once = kept.join(repeated, [*own], "left_semi").dropDuplicates([*own])
+    return kept.join(repeated, [*own], "left_anti").unionByName(once).select(docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import row_key, stored
+from lodestone.llm.common import drop_stored, fresh, row_key, stored
 
 #: Kinds of base spans in the order they are listed, and of the spans that are discovered.
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -35,6 +35,8 @@ SIGNS = ("@", ".", "", "+", "")
 LEAST_LENGTH = 4
 #: Score from which a discovered string counts as a seed, and what no discovered string exceeds.
 CERTAIN, MOST = 0.95, 0.99
+#: A rise of a score that no longer counts.
+SETTLED = 0.001
 #: Of a card's 16 to 19 digits and a phone's 8 to 15.
 CARD_DIGITS, PHONE_DIGITS = (16, 19), (8, 15)
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -79,23 +81,25 @@ def _stands(kind: Column, match: Column) -> Column:
     return F.when(kind == 1, match.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")).when(kind == 2, F.when(n.between(*CARD_DIGITS), luhn(digits)).otherwise(False)).when(kind == 3, n.between(*PHONE_DIGITS)).when(kind == 4, F.length(match) >= LEAST_LENGTH).otherwise(True)
 
 
-def _trusted(edges: DataFrame, rounds: int, least_seeds: int, least_trust: float) -> DataFrame:
-    """Strings that patterns vouch for: distinct ``instance`` of the unlisted ones. Rounds end once the scores settle."""
+def _trusted(edges: DataFrame, least_seeds: int, least_trust: float) -> DataFrame:
+    """Strings that patterns vouch for: distinct ``instance`` of the unlisted ones.
+
+    Scores only ever rise, and are bounded; rounds go on until none rises by more than ``SETTLED``.
+    """
     scores = stored(edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score")), "pii-scores")
-    last = None
-    for _ in range(rounds):
+    while True:
         scored = edges.select("pattern", "instance").join(scores, "instance")
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("trust"), F.sum((F.col("score") >= CERTAIN).cast("int")).alias("seeds")).filter((F.col("seeds") >= least_seeds) & (F.col("trust") >= least_trust))
         raised = edges.filter(~F.col("seed")).select("pattern", "instance").join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("raised"))
-        scores = stored(scores.join(raised, "instance", "left").select("instance", F.greatest("score", F.least(F.coalesce("raised", F.lit(0.0)), F.lit(MOST))).alias("score")), "pii-scores")
-        total = scores.agg(F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 3)).first()[0]
-        if total == last:
-            break
-        last = total
-    return scores.filter((F.col("score") >= least_trust) & (F.col("score") < 1)).select("instance")
+        before = scores
+        after = F.greatest("score", F.least(F.coalesce("raised", F.lit(0.0)), F.lit(MOST)))
+        scores = stored(before.join(raised, "instance", "left").select("instance", after.alias("score"), (after - F.col("score") > SETTLED).alias("rose")), "pii-scores")
+        drop_stored(before)
+        if scores.filter("rose").isEmpty():
+            return scores.filter((F.col("score") >= least_trust) & (F.col("score") < 1)).select("instance")
 
 
-def find_spans(docs: DataFrame, rounds: int = 8, least_seeds: int = 3, least_trust: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def find_spans(docs: DataFrame, least_seeds: int = 3, least_trust: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` (id and ``row``), and spans: ``row``, ``kind`` (its place in KINDS), ``start``, ``end``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit("").alias("match"), F.lit("").alias("left"), F.lit("").alias("right"))
@@ -119,7 +123,7 @@ def find_spans(docs: DataFrame, rounds: int = 8, least_seeds: int = 3, least_tru
     label = F.regexp_extract("left", LABEL, 1)
     patterns = F.array(F.when(label != "", F.concat(label, F.lit(": _"))), F.when(words(2) != "", F.concat(words(1), F.lit(" "), words(2), F.lit(" _"))), F.when((words(2) != "") & (after != ""), F.concat(words(2), F.lit(" _ "), after)))
     edges = spans.select(F.explode(patterns).alias("pattern"), "instance", is_base.alias("seed")).filter("pattern is not null").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    trusted = _trusted(stored(edges, "pii-graph"), rounds, least_seeds, least_trust)
+    trusted = _trusted(stored(edges, "pii-graph"), least_seeds, least_trust)
     found = spans.filter(is_base).unionByName(spans.filter(~is_base).join(trusted, "instance", "left_semi").select(spans.columns))
     return met.filter("kind < 0").select(id_col, "row"), found.select("row", "kind", "start", "end")
 
@@ -151,7 +155,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bootstrap: float) -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in brackets.
 
-    All columns stay; only the text changes, and only where there are spans.
+    All columns stay, whatever their names; only the text changes, and only where there are spans.
     Spans that overlap are replaced as one, named after the first.
     """
     _, spans = find_spans(docs, id_col=id_col, text_col=text_col, **bootstrap)
@@ -160,7 +164,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bo
     merged = spans.withColumn("group", F.sum(apart.cast("int")).over(sides)).groupBy("row", "group").agg(F.min(F.struct("start", "kind")).alias("first"), F.max("end").alias("end"))
     cuts = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias("cuts"))
     names = F.array(*(F.lit(f"[{name.upper()}]") for name in KINDS))
-    text, parts = F.col(text_col), F.col("__cuts")
+    own, at = fresh(docs, "own_row"), fresh(docs, "own_cuts")
+    text, parts = F.col(text_col), F.col(at)
 
     def part(cut: Column, i: Column) -> Column:
         since = F.when(i == 0, F.lit(0)).otherwise(F.get(parts, i - 1)["end"])
@@ -168,5 +173,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bo
 
     rest = F.substring(text, (F.element_at(parts, -1)["end"] + 1).cast("int"), F.length(text))
     cleaned = F.when(parts.isNull(), text).otherwise(F.concat(F.array_join(F.transform(parts, part), ""), rest))
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    return keyed.join(cuts.withColumnRenamed("row", "__row").withColumnRenamed("cuts", "__cuts"), "__row", "left").select(*(cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    keyed = docs.withColumn(own, row_key(id_col, text_col))
+    return keyed.join(cuts.select(F.col("row").alias(own), F.col("cuts").alias(at)), own, "left").select(*(cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.chunks import in_steps
-from lodestone.llm.common import stored
+from lodestone.llm.common import fresh, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside whole words.
@@ -220,6 +220,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the classifier doesn't call toxic."""
+    """The rows of ``docs``, with all their columns, whatever their names, that the classifier doesn't call toxic."""
     model = train(docs, labels, ~held_out(F.col("id")), id_col, text_col)
-    return score(docs, model, text_col, ("__score", "__predicted")).filter("__predicted = 0").select(docs.columns)
+    names = fresh(docs, "own_score"), fresh(docs, "own_prediction")
+    return score(docs, model, text_col, names).filter(F.col(names[1]) == 0).select(docs.columns)

@@ -6,12 +6,12 @@ import random
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, kind int, pos long, n int, key string, part int, score double, predicted int, component string, node long, digest binary"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, kind int, pos long, n int, key string, part int, score double, predicted int, component string, node long, digest binary, own_id long, own_row string, own_cuts string, own_hash long, own_score double, own_prediction int, __row string, __id long"
 
 
 def documents(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """A table of ids and texts, with columns whose names operators might use."""
-    return spark.createDataFrame([(i, t, None, "s", len(t or ""), "x", 1, 2, 3, "k", 4, 0.5, 1, "c", 9, None) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None, "s", len(t or ""), "x", 1, 2, 3, "k", 4, 0.5, 1, "c", 9, None, 1, "r", "c", 2, 0.1, 3, "q", 4) for i, t in rows], SCHEMA)
 
 
 def odd_rows(seed: int = 3) -> list[tuple]:

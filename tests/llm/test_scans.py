@@ -141,22 +141,28 @@ def test_contexts_discover_other_identifiers(spark):
     assert got[101]["n_context"] == 0
 
 
-def plain_bootstrap(edges: set[tuple[str, str, bool]], rounds: int, least_seeds: int, least_trust: float) -> set[str]:
-    """The scores of patterns and instances, round by round, in plain loops."""
+def plain_bootstrap(edges: set[tuple[str, str, bool]], least_seeds: int, least_trust: float) -> tuple[set[str], int]:
+    """The scores of patterns and instances, round by round, in plain loops until none rises; and the rounds."""
     seeds = {i for _, i, s in edges if s}
     score = {i: float(i in seeds) for _, i, _ in edges}
-    for _ in range(rounds):
-        trust = {}
-        for p in {p for p, _, _ in edges}:
-            own = [score[i] for q, i, _ in edges if q == p]
+    of, around = {}, {}
+    for p, i, _ in edges:
+        of.setdefault(p, []).append(i)
+        around.setdefault(i, []).append(p)
+    rounds, rose = 0, True
+    while rose:
+        rounds, rose, trust = rounds + 1, False, {}
+        for p, own in of.items():
+            own = [score[i] for i in own]
             if sum(x >= pii.CERTAIN for x in own) >= least_seeds and sum(own) / (len(own) + 1) >= least_trust:
                 trust[p] = sum(own) / (len(own) + 1)
         for i in set(score) - seeds:
             doubt = 1.0
-            for p in {p for p, j, _ in edges if j == i and p in trust}:
-                doubt *= 1 - trust[p]
-            score[i] = max(score[i], min(1 - doubt, pii.MOST))
-    return {i for i, x in score.items() if least_trust <= x < 1}
+            for p in around[i]:
+                doubt *= 1 - trust.get(p, 0.0)
+            new = max(score[i], min(1 - doubt, pii.MOST))
+            rose, score[i] = rose or new - score[i] > pii.SETTLED, new
+    return {i for i, x in score.items() if least_trust <= x < 1}, rounds
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -165,8 +171,19 @@ def test_bootstrap_equals_plain_loops(spark, seed):
     instances = [(f"i{n}", n < 25) for n in range(60)]
     edges = {(f"p{rng.randrange(12)}", *rng.choice(instances[: rng.choice([25, 30, 60])])) for _ in range(300)}
     table = spark.createDataFrame(list(edges), "pattern string, instance string, seed boolean")
-    got = {r["instance"] for r in pii._trusted(table, 5, 3, 0.6).collect()}
-    assert got == plain_bootstrap(edges, 5, 3, 0.6) and got
+    got = {r["instance"] for r in pii._trusted(table, 3, 0.6).collect()}
+    assert got == plain_bootstrap(edges, 3, 0.6)[0] and got
+
+
+def test_bootstrap_goes_on_until_it_settles(spark):
+    """Each level of strings is vouched for by the level before it alone, so every level takes a round."""
+    levels = [[f"l{k}-{n}" for n in range(30)] for k in range(12)]
+    edges = {(f"p{k}{ab}", i, k == 0 and own is levels[0]) for k in range(11) for ab in "abc" for own in (levels[k], levels[k + 1][:8] if k < 10 else levels[k + 1]) for i in own}
+    edges |= {(f"q{k}{ab}", i, k == 0) for k in range(11) for ab in "abc" for i in levels[k]} | {(f"q{k}{ab}", i, False) for k in range(11) for ab in "abc" for i in levels[k + 1][8 + 7 * "abc".index(ab) : 22 + 7 * "abc".index(ab)]}
+    want, rounds = plain_bootstrap(edges, 3, 0.6)
+    assert rounds > 8 and any(i.startswith("l11") for i in want)
+    table = spark.createDataFrame(list(edges), "pattern string, instance string, seed boolean")
+    assert {r["instance"] for r in pii._trusted(table, 3, 0.6).collect()} == want
 
 
 def test_identifiers_of_several_forms_are_discovered(spark):
