@@ -16,6 +16,7 @@ counting those drops it. So hashes save work and never decide.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,9 +243,26 @@ def extended_lists(lists: DataFrame, size: int, marks: np.ndarray) -> DataFrame:
 
 
 def frequencies(lists: DataFrame, least: int) -> DataFrame:
-    """Exact frequency of each listed phrase: the lengths of its lists added up."""
-    each = lists.select("lang", F.explode(F.arrays_zip("phrases", "lens")).alias("p")).select("lang", F.col("p.phrases").alias("phrase"), F.col("p.lens").cast("long").alias("n"))
-    return each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    """Exact frequency of each listed phrase: the lengths of its lists added up, first within each task."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, str]] = Counter()
+
+        def handed() -> pa.RecordBatch:
+            langs, phrases = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(held.values(), pa.int64())], names=["lang", "phrase", "n"])
+
+        for batch in batches:
+            for lang, phrases, lens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for phrase, n in zip(phrases, lens, strict=True):
+                    held[lang, phrase] += n
+                if len(held) >= HELD // 4:
+                    yield handed()
+                    held.clear()
+        if held:
+            yield handed()
+
+    return lists.select("lang", "phrases", "lens").mapInArrow(add, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
 
 
 def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, absorbed: int = 100, top: int | None = 2_000, lang_col: str = "lang", text_col: str = "text", no_lang: str = "und") -> DataFrame:
