@@ -35,3 +35,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
+
+
+def list_done(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path`` that Spark has finished writing."""
+    files, own = _files(spark, path)
+    if not files.exists(own):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(own) if s.isDirectory()]
+    jvm = spark.sparkContext._jvm
+    return sorted(n for n in names if files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    files, own = _files(spark, path)
+    files.delete(own, True)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_path(df.sparkSession, folder)
