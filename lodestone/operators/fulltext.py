@@ -50,10 +50,13 @@ def text_index(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     if len(fields) > FIELDS:
         raise ValueError(f"no more than {FIELDS} fields")
     own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *(F.coalesce(tokens(F.col(f).cast("string"), 0), F.array().cast("array<string>")).alias(f"f{i}") for i, f in enumerate(fields)))
+
+    def placed(field: int, start: Column) -> Column:
+        return F.transform(f"f{field}", lambda w, at: F.struct(w.alias("term"), ((at + start).cast("long") * FIELDS + field).alias("place")))
+
     before, parts = F.lit(0), []
     for i in range(len(fields)):
-        start = before
-        parts.append(F.transform(f"f{i}", lambda w, at, start=start, i=i: F.struct(w.alias("term"), ((at + start).cast("long") * FIELDS + i).alias("place"))))
+        parts.append(placed(i, before))
         before = before + F.size(f"f{i}") + 1
     words = own.select("id", F.explode(F.concat(*parts)).alias("w")).select("id", "w.*")
     return words.groupBy("term", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
@@ -61,10 +64,13 @@ def text_index(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 
 def _occurrences(held: Column, wanted: Wanted) -> Column:
     """Places at which a phrase starts: those of its first word that the others follow."""
-    none = F.array().cast("array<long>")
-    found = F.coalesce(held[wanted.words[0]], none)
+
+    def ahead(word: str, k: int) -> Column:
+        return F.transform(F.coalesce(held[word], F.array().cast("array<long>")), lambda p: p - k * FIELDS)
+
+    found = ahead(wanted.words[0], 0)
     for k, word in enumerate(wanted.words[1:], 1):
-        found = F.array_intersect(found, F.transform(F.coalesce(held[word], none), lambda p, k=k: p - k * FIELDS))
+        found = F.array_intersect(found, ahead(word, k))
     return found
 
 
@@ -91,9 +97,13 @@ def search_text(index: DataFrame, query: str, weights: list[float]) -> DataFrame
             one = one & (F.size(f"e{e}") > 0)
         fits = one if fits is None else fits | one
     weight = F.array(*(F.lit(1.0 / w) for w in weights))
-    # occurrences by their ends: last and first word, whose, length, and 1 / weight
-    each = [F.transform(f"e{i}", lambda p, i=i, e=e: F.struct((F.floor(p / FIELDS) + len(e) - 1).alias("q"), F.floor(p / FIELDS).alias("p"), F.lit(i).alias("own"), F.lit(len(e)).alias("size"), F.element_at(weight, (p % FIELDS).cast("int") + 1).alias("inverse"))) for i, e in enumerate(elements)]
-    entries = F.array_sort(F.concat(*each))
+
+    def ended(i: int) -> Column:
+        """Occurrences of an element by their ends: last and first word, whose, length, and 1 / weight."""
+        size = len(elements[i])
+        return F.transform(f"e{i}", lambda p: F.struct((F.floor(p / FIELDS) + size - 1).alias("q"), F.floor(p / FIELDS).alias("p"), F.lit(i).alias("own"), F.lit(size).alias("size"), F.element_at(weight, (p % FIELDS).cast("int") + 1).alias("inverse")))
+
+    entries = F.array_sort(F.concat(*map(ended, range(len(elements)))))
     return whole.filter(fits).select("id", _cover_density(entries, needs, len(elements)).alias("rank"))
 
 

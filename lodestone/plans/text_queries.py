@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import lexicon, privacy, retrieval, search
+from lodestone.operators import fulltext, lexicon, privacy, retrieval, search
 from lodestone.plans.registry import Tables, query, rounded
 
 def _kind(value: str) -> str:
@@ -221,3 +221,22 @@ def page_links(t: Tables) -> DataFrame:
 @query()
 def page_main_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", retrieval.page_text(F.col("html")).alias("text"))
+
+
+#: Words, a phrase, an exclusion and an alternative.
+WEBSEARCH = '"of the" ndin -thand OR hehely'
+INDEXED = r"""w AS (SELECT doc_id, f, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, 0 AS f, regexp_extract_all(lower(source), '[\p{L}\p{N}_]+') AS w FROM documents UNION ALL SELECT doc_id, 1, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') FROM documents)),
+lens AS (SELECT doc_id, coalesce(len(regexp_extract_all(lower(source), '[\p{L}\p{N}_]+')), 0) + 1 AS shift FROM documents), t AS (SELECT doc_id, f, w, i + CASE f WHEN 0 THEN 0 ELSE shift END AS p, CASE f WHEN 0 THEN 1.0 ELSE 0.1 END::DOUBLE AS weight FROM w JOIN lens USING (doc_id) WHERE w IN ('of', 'the', 'ndin', 'thand', 'hehely'))"""
+
+
+@query(f"""WITH {INDEXED}, e AS (SELECT a.doc_id, a.p, a.p + 1 AS q, 0 AS own, 2 AS size, a.weight FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.f = b.f AND b.p = a.p + 1 AND a.w = 'of' AND b.w = 'the' UNION ALL SELECT doc_id, p, p, 1, 1, weight FROM t WHERE w = 'ndin' UNION ALL SELECT doc_id, p, p, 2, 1, weight FROM t WHERE w = 'hehely'),
+h AS (SELECT doc_id, bool_or(own = 0) AND bool_or(own = 1) AND doc_id NOT IN (SELECT doc_id FROM t WHERE w = 'thand') AS one, bool_or(own = 2) AS two FROM e GROUP BY 1), o AS (SELECT e.*, one, two, row_number() OVER (PARTITION BY doc_id ORDER BY q, p, own) AS n FROM e JOIN h USING (doc_id) WHERE one OR two),
+l AS (SELECT *, sum(1 / weight) OVER s AS inv, sum(size) OVER s AS words, {', '.join(f"max(CASE own WHEN {k} THEN n END) OVER s AS n{k}" for k in range(3))} FROM o WINDOW s AS (PARTITION BY doc_id ORDER BY n)),
+s AS (SELECT l.*, {', '.join(f"x{k}.p AS p{k}" for k in range(3))} FROM l {' '.join(f"LEFT JOIN o x{k} ON x{k}.doc_id = l.doc_id AND x{k}.n = l.n{k}" for k in range(3))}),
+b AS (SELECT *, greatest(CASE WHEN one AND n0 IS NOT NULL AND n1 IS NOT NULL THEN least({{p: p0, n: n0}}, {{p: p1, n: n1}}) END, CASE WHEN two AND n2 IS NOT NULL THEN {{p: p2, n: n2}} END) AS start FROM s),
+c AS (SELECT *, lag(start.n) OVER (PARTITION BY doc_id ORDER BY n) AS last FROM b), d AS (SELECT c.*, f.inv - 1 / f.weight AS inv0, f.words - f.size AS words0 FROM c JOIN l f ON f.doc_id = c.doc_id AND f.n = c.start.n WHERE last IS NULL OR c.start.n > last)
+SELECT doc_id, round(sum((n - start.n + 1) / (inv - inv0) / (1 + greatest(q - start.p + 1 - (words - words0), 0))), 5) AS rank FROM d GROUP BY 1""")
+def fulltext_rank(t: Tables) -> DataFrame:
+    """Documents that a search finds, by how densely they cover it; the source weighs ten times the text."""
+    index = fulltext.text_index(t.documents, "doc_id", ["source", "text"])
+    return rounded(fulltext.search_text(index, WEBSEARCH, [1.0, 0.1]).withColumnRenamed("id", "doc_id"), 5)
