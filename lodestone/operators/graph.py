@@ -73,13 +73,14 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return degree.join(inside, "community", "left").crossJoin(total).agg(F.sum(share).alias("modularity"), F.count("*").alias("communities"))
 
 
-def communities(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def communities(edges: DataFrame, most_rounds: int = 500) -> DataFrame:
     """Communities of weighted undirected edges by local moving: rounds of moves that raise the modularity.
 
     In a round each node looks at the communities around it and may move to the one
     where the modularity gains most, ties to the smaller one; nodes of one half move
     in even rounds, of the other in odd ones, so that neighbours don't swap for ever.
-    It ends when two rounds in a row gain nothing, and gives the best state seen.
+    It ends when two rounds in a row gain nothing, and gives the best state seen; not to
+    end within ``most_rounds`` is an error.
     """
     links = stored(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).filter("src <> dst"), "community-links")
     degrees = links.groupBy("src").agg(F.sum("weight").alias("degree")).select(F.col("src").alias("node"), "degree")
@@ -110,8 +111,8 @@ def communities(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         idle = 0 if now > best[0] + 1e-9 else idle + 1
         best = max(best, (now, labels), key=lambda x: x[0])
         if idle == 2:
-            break
-    return best[1].select("node", "community")
+            return best[1].select("node", "community")
+    raise RuntimeError("communities did not settle")
 
 
 def closure(parents: DataFrame) -> DataFrame:

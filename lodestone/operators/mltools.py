@@ -39,15 +39,14 @@ def numeric_effects(df: DataFrame, flag: Column, columns: Sequence[str], least_r
     return rows.select("column_name", F.col("m1").alias("mean_with"), F.col("m0").alias("mean_without"), F.try_divide(F.col("m1") - F.col("m0"), pooled).alias("cohens_d"), F.col("n1").alias("n_with"), F.col("n0").alias("n_without"))
 
 
-def categorical_effects(df: DataFrame, flag: Column, columns: Sequence[str], least_rows: int = 10, limit: int = 50) -> DataFrame:
-    """The value of each column whose rate of ``flag`` is furthest from the overall rate."""
+def categorical_effects(df: DataFrame, flag: Column, columns: Sequence[str], least_rows: int = 10) -> DataFrame:
+    """The value of each column, of all that ``least_rows`` rows have, whose rate of ``flag`` is furthest from the overall rate."""
     own = df.select(flag.cast("int").alias("flag"), F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns))).alias("p")).filter("flag is not null and p.value is not null")
     groups = own.groupBy("p.column_name", "p.value").agg(F.count("*").alias("n"), F.avg("flag").alias("rate")).filter(F.col("n") >= least_rows)
     base = F.broadcast(df.agg(F.avg(flag.cast("int")).alias("base_rate")))  # one row
-    largest = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    furthest = Window.partitionBy("column_name").orderBy(F.desc(F.abs("delta")), F.desc("n"), "value")
-    kept = groups.withColumn("place", F.row_number().over(largest)).filter(F.col("place") <= limit).crossJoin(base).withColumn("delta", F.col("rate") - F.col("base_rate"))
-    return kept.withColumn("place", F.row_number().over(furthest)).filter("place = 1").select("column_name", "value", "n", "rate", "base_rate", "delta")
+    kept = groups.crossJoin(base).withColumn("delta", F.col("rate") - F.col("base_rate"))
+    furthest = F.min(F.struct((-F.round(F.abs("delta"), 9)).alias("near"), (-F.col("n")).alias("less"), "value", "n", "rate", "base_rate", "delta"))
+    return kept.groupBy("column_name").agg(furthest.alias("f")).select("column_name", "f.value", "f.n", "f.rate", "f.base_rate", "f.delta")
 
 
 def ranked_effects(effects: DataFrame, magnitude: str, support: str, total: int, limit: int = 8) -> DataFrame:
@@ -124,10 +123,19 @@ def monthly_trend(df: DataFrame, ts: str, value: str) -> DataFrame:
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_col: str, vector: str, label: str, most: int = 10_000) -> DataFrame:
-    """The centroid of largest cosine for each vector; of more than ``most`` centroids, which are broadcast, an error is raised."""
-    if centroids.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} centroids: cluster them first")
-    pairs = vectors.select(id_col, vector).crossJoin(F.broadcast(centroids.select(F.col(label).alias("nearest"), F.col("centroid"))))
+    """The centroid of largest cosine for each vector, ties to the smaller label.
+
+    Up to ``most`` centroids are broadcast; more are dealt into blocks of about so many,
+    which vectors meet block by block.
+    """
+    named = centroids.select(F.col(label).alias("nearest"), F.col("centroid"))
+    n = named.count()
+    if n <= most:
+        pairs = vectors.select(id_col, vector).crossJoin(F.broadcast(named))
+    else:
+        blocks = -(-n // most)
+        left = vectors.select(id_col, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        pairs = left.join(named.withColumn("block", F.pmod(F.xxhash64("nearest"), F.lit(blocks)).cast("int")), "block")
     near = pairs.select(id_col, "nearest", cosine(F.col(vector), F.col("centroid")).alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("nearest")).alias("m")))
     return near.groupBy(id_col).agg(best.alias("b")).select(id_col, (-F.col("b.m")).alias("nearest"), F.col("b.similarity").alias("similarity"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import shape, shape_regex
-from lodestone.operators.ordering import before, middle, numbered
+from lodestone.operators.ordering import before, in_blocks, middle, numbered
 from lodestone.operators.stats import rows_by_column
 
 #: Forms of text that columns are tested for.
@@ -104,12 +105,23 @@ def weekday_seasonality(df: DataFrame, ts: str) -> DataFrame:
 
 
 def autocorrelation(df: DataFrame, order: list[str], value: str, rows: int | None = None, lags: int = 60) -> DataFrame:
-    """Autocorrelation of values in an order at lags from 1; of the first ``rows`` alone if that is given."""
+    """Autocorrelation of values in an order at lags from 1; of the first ``rows`` alone if that is given.
+
+    Rows go into blocks with copies of the ``lags`` rows before them; products of
+    neighbours are added up within each, a few sums a block.
+    """
     placed = numbered(_head(df.filter(F.col(value).isNotNull()).select(*order, value), order, rows), order).select(F.col(value).cast("double").alias("v"), "rn")
-    centred = placed.crossJoin(F.broadcast(placed.agg(F.avg("v").alias("m")))).select("rn", (F.col("v") - F.col("m")).alias("c"))
-    total = F.broadcast(centred.agg(F.sum(F.col("c") * F.col("c")).alias("total")))
-    ahead = centred.select(F.col("c").alias("later"), "rn", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")).select("later", "lag", (F.col("rn") - F.col("lag")).alias("rn"))
-    return centred.join(ahead, "rn").groupBy("lag").agg(F.sum(F.col("c") * F.col("later")).alias("s")).crossJoin(total).select("lag", F.try_divide(F.col("s"), F.col("total")).alias("acf"))
+    mean, n = placed.agg(F.avg("v"), F.count("*")).first()
+
+    def products(block: pd.DataFrame) -> pd.DataFrame:
+        own = block.sort_values("rn")
+        c, copies = own["v"].to_numpy() - mean, int(own["__copy"].sum())
+        sums = [float(c[copies:] @ c[copies:])] + [float(c[max(copies, k) :] @ c[max(copies, k) - k : len(c) - k]) if len(c) > k else 0.0 for k in range(1, lags + 1)]
+        return pd.DataFrame({"lag": range(lags + 1), "s": sums})
+
+    sums = in_blocks(placed, lags).groupBy("__block").applyInPandas(products, "lag int, s double").groupBy("lag").agg(F.sum("s").alias("s"))
+    total = F.broadcast(sums.filter("lag = 0").select(F.col("s").alias("total")))  # one row
+    return sums.filter(F.col("lag").between(1, max(n - 1, 0))).crossJoin(total).select("lag", F.try_divide(F.col("s"), F.col("total")).alias("acf"))
 
 
 def acf_peaks(acf: DataFrame, least: float = 0.2) -> DataFrame:

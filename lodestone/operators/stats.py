@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.operators.ordering import middle
+from lodestone.operators.ordering import percentiles
 from lodestone.functions.scalars import pearson, strength
 
 
@@ -50,7 +50,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact:
     """Count, nulls, distinct values, range, mean, sample deviation and quartiles of numeric columns.
 
     With ``exact=False`` distinct counts and quartiles are sketched in the same
-    single pass; exact quartiles count equal values together and order those.
+    single pass; exact quartiles order the values near them alone.
     """
     columns = list(columns or numeric_columns(df))
     stats: dict[str, object] = {
@@ -60,15 +60,15 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact:
     if not exact:
         sketched = lambda p: lambda c: F.percentile_approx(c.cast("double"), F.lit(p), F.lit(10_000))
         return per_column(df, columns, stats | {"q25": sketched(0.25), "median": sketched(0.5), "q75": sketched(0.75), "distinct_count": lambda c: F.approx_count_distinct(c)})
-    points = middle(long_form(df, columns, "double"), "value", list(QUARTILES.values()), ["column_name"])
+    points = percentiles(df, columns, list(QUARTILES.values()))
     quartiles = points.groupBy("column_name").agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(n) for n, p in QUARTILES.items()))
     out = per_column(df, columns, stats).join(F.broadcast(quartiles), "column_name", "left").join(F.broadcast(distinct_counts(df, columns)), "column_name", "left")  # a row a column each
     return out.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: dict[str, float]) -> DataFrame:
-    """One row of exact percentiles, ``<column>__<name>`` each, by running counts over ranges of the values."""
-    points = middle(long_form(df, columns, "double"), "value", list(shares.values()), ["column_name"])
+    """One row of exact percentiles, ``<column>__<name>`` each."""
+    points = percentiles(df, columns, list(shares.values()))
     return points.agg(*(F.max(F.when((F.col("column_name") == c) & (F.col("share") == p), F.col("value"))).alias(f"{c}__{n}") for c in columns for n, p in shares.items()))
 
 
@@ -127,10 +127,16 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
 
 def entropy_imbalance(df: DataFrame, columns: Sequence[str], k: int | None = 10) -> DataFrame:
     """Shannon entropy of the top ``k`` shares (all for None), imbalance, mode, and the rows of other values."""
-    top = top_values(df, columns, k or 2**31 - 1)
-    share = F.col("percent") / 100
     rows = df.count()
-    out = top.groupBy("column_name").agg(F.sum(-share * F.log2(share)).alias("entropy"), F.max_by("value", -F.col("rank")).alias("mode"), (F.max("percent") / (100.0 / F.max("distinct_count"))).alias("imbalance_ratio"), (F.lit(rows) - F.sum("n")).alias("other_count"))
+    if k is None:  # nothing needs to be ranked
+        counts = long_form(df, columns).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+        totals = F.broadcast(counts.groupBy("column_name").agg(F.sum("n").alias("total"), F.count("*").alias("distinct_count")))  # a row a column
+        top = counts.join(totals, "column_name").withColumn("percent", 100.0 * F.col("n") / F.col("total"))
+    else:
+        top = top_values(df, columns, k)
+    share = F.col("percent") / 100
+    mode = F.min(F.struct((-F.col("n")).alias("less"), "value"))["value"]
+    out = top.groupBy("column_name").agg(F.sum(-share * F.log2(share)).alias("entropy"), mode.alias("mode"), (F.max("percent") / (100.0 / F.max("distinct_count"))).alias("imbalance_ratio"), (F.lit(rows) - F.sum("n")).alias("other_count"))
     return out.withColumn("other_percent", F.try_divide(100.0 * F.col("other_count"), F.lit(rows)))
 
 

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions.scalars import normal_cdf, pearson
 from lodestone.operators.drift import categorical_drift, numeric_drift
-from lodestone.operators.stats import histogram, top_values
+from lodestone.operators.stats import histogram
 
 
 def generation_policy(name: Column, kind: Column, unique_percent: Column, distinct: Column) -> Column:
@@ -34,17 +35,27 @@ def drawn_number(df: DataFrame, column: str, draw: Column, bins: int = 20) -> Co
     return value
 
 
-def drawn_category(df: DataFrame, column: str, draw: Column, least: int = 5, most: int = 50) -> Column:
-    """A value of the column that at least ``least`` rows have, in proportion; of the ``most`` most frequent."""
-    rows = [r for r in top_values(df, [column], most).filter(F.col("n") >= least).orderBy("rank").collect()]
-    total, end, value = sum(r["n"] for r in rows), 0, F.lit(None).cast("string")
-    ends = []
-    for r in rows:
-        end += r["n"]
-        ends.append((end / total, r["value"]))
-    for share, v in reversed(ends):
-        value = F.when(draw <= share, v).otherwise(value)
-    return value
+#: Parts of the unit interval in which a draw looks for its value.
+CELLS = 1_024
+
+
+def with_category(base: DataFrame, df: DataFrame, column: str, draw: str, least: int = 5) -> DataFrame:
+    """``base`` with a value of the column for each ``draw`` between 0 and 1: of all values that at least ``least`` rows have, in proportion.
+
+    Values stand in intervals of the draw, in an order by shares of the values' hashes; draws and
+    values meet in the cells of those intervals, so there may be any number of values.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    shared = counts.withColumn("share", F.pmod(F.xxhash64("value"), F.lit(64)))
+    sizes = shared.groupBy("share").agg(F.sum("n").alias("size"))
+    before = F.broadcast(sizes.select("share", F.coalesce(F.sum("size").over(Window.orderBy("share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("size").over(Window.orderBy("share").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total")))  # 64 rows
+    end = F.col("before") + F.sum("n").over(Window.partitionBy("share").orderBy("value"))
+    placed = shared.join(before, "share").withColumn("end", end).select("value", ((F.col("end") - F.col("n")) / F.col("total")).alias("low"), (F.col("end") / F.col("total")).alias("high"))
+    cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
+    cells = placed.withColumn("__cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    drawn = base.withColumn("__cell", cell(F.col(draw)))
+    met = drawn.join(cells, (drawn["__cell"] == cells["__cell"]) & (drawn[draw] >= cells["low"]) & (drawn[draw] < cells["high"]), "left").drop("__cell", "low", "high")
+    return met.withColumnRenamed("value", f"__made_{column}")
 
 
 def synthesize(df: DataFrame, rows: int, numbers: Sequence[str], categories: Sequence[str], key: str | None = None, seed: int = 42) -> DataFrame:
@@ -66,8 +77,9 @@ def synthesize(df: DataFrame, rows: int, numbers: Sequence[str], categories: Seq
     for i, c in enumerate(numbers):
         z = sum((F.lit(float(factor[i, j])) * F.col(f"__z{j}") for j in range(i + 1)), F.lit(0.0))
         out.append(drawn_number(df, c, normal_cdf(z)).alias(c))
-    out += [drawn_category(df, c, F.col(f"__u{i}")).alias(c) for i, c in enumerate(categories)]
-    return base.select(*out)
+    for i, c in enumerate(categories):
+        base = with_category(base, df, c, f"__u{i}")
+    return base.select(*out, *(F.col(f"__made_{c}").alias(c) for c in categories))
 
 
 def fidelity(real: DataFrame, made: DataFrame, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:

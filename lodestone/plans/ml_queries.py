@@ -21,7 +21,7 @@ def target_effects_numeric(t: Tables) -> DataFrame:
 
 @query("""WITH j AS (SELECT lang, source, quality = 1 AS f FROM documents JOIN labels USING (doc_id)), b AS (SELECT avg(f::INT) AS base FROM j),
 g AS (SELECT 'lang' AS column_name, lang AS value, count(*) AS n, avg(f::INT) AS rate FROM j WHERE lang IS NOT NULL GROUP BY 2 HAVING count(*) >= 10 UNION ALL SELECT 'source', source, count(*), avg(f::INT) FROM j WHERE source IS NOT NULL GROUP BY 2 HAVING count(*) >= 10),
-r AS (SELECT *, rate - base AS delta, row_number() OVER (PARTITION BY column_name ORDER BY round(abs(rate - base), 9) DESC, n DESC, value) AS k FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS p FROM g), b WHERE p <= 50)
+r AS (SELECT *, rate - base AS delta, row_number() OVER (PARTITION BY column_name ORDER BY round(abs(rate - base), 9) DESC, n DESC, value) AS k FROM g, b)
 SELECT column_name, value, n, round(rate, 4) AS rate, round(base, 4) AS base_rate, round(delta, 4) AS delta FROM r WHERE k = 1""")
 def target_effects_categorical(t: Tables) -> DataFrame:
     return rounded(mltools.categorical_effects(t.documents.join(t.labels, "doc_id"), F.col("quality") == 1, ["lang", "source"]))

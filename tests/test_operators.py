@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from itertools import combinations
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, history, ordering, privacy, retrieval, search, segments
+from lodestone.operators import graph, history, mltools, ordering, patterns, privacy, retrieval, search, segments, synth
 from lodestone.sources import spec
 
 
@@ -103,3 +104,56 @@ def test_values_keep_their_kind_when_masked(spark):
     got = [r["m"] for r in spark.createDataFrame(rows, "v string, k string").select("*", privacy.value_kind(F.col("v")).alias("found"), privacy.masked(F.col("v"), F.col("k")).alias("m")).collect()]
     assert got == ["a.**********@**********.com", "***-**-6789", "**** **** **** 1111", "<IP> 10****.1", "plain"]
     assert [r["found"] for r in spark.createDataFrame(rows, "v string, k string").select(privacy.value_kind(F.col("v")).alias("found")).collect()] == ["Email", "SSN", "CreditCard", "IPAddress", None]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_percentiles_are_exact(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.gauss(0, 1), float(rng.randrange(3)), rng.choice([None, 1e300, -1e300, 0.1]), None, rng.paretovariate(0.5)) for _ in range([1, 2, 999, 20_000][seed])]
+    df = spark.createDataFrame(rows, "a double, b double, c double, none double, `odd name` double").repartition(7)
+    shares = [0.0, 0.25, 0.5, 0.9, 0.9999, 1.0]
+    got = {(r["column_name"], r["share"]): r["value"] for r in ordering.percentiles(df, df.columns, shares).collect()}
+    want = {}
+    for i, c in enumerate(df.columns):
+        own = sorted(r[i] for r in rows if r[i] is not None)
+        for s in shares if own else ():
+            at = s * (len(own) - 1)
+            lo, hi = own[int(at)], own[-int(-at // 1)]
+            want[c, s] = lo + (at - int(at)) * (hi - lo)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-300) for k in want)
+    # a bracket that is off is noticed and made up for
+    odd = ordering.percentiles(df, ["a"], [0.5], slack=-0.2, accuracy=2)
+    assert math.isclose(odd.first()["value"], want["a", 0.5], rel_tol=1e-12)
+
+
+def test_lags_and_rows_before_across_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    values = [rng.gauss(0, 1) + (i % 7) for i in range(1_000)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double").repartition(9)
+    monkeypatch.setattr(ordering.in_blocks, "__defaults__", ("rn", 64))
+    got = {r["lag"]: r["acf"] for r in patterns.autocorrelation(df, ["i"], "v", lags=100).collect()}
+    mean = sum(values) / len(values)
+    c = [v - mean for v in values]
+    assert set(got) == set(range(1, 101))
+    assert all(math.isclose(got[k], sum(a * b for a, b in zip(c, c[k:], strict=False)) / sum(a * a for a in c), abs_tol=1e-9) for k in got)
+    near = {r["i"]: r["last"] for r in ordering.before(ordering.numbered(df, ["i"]), "v", "last").collect()}
+    assert near == {i: values[i - 1] for i in range(1, 1_000)}
+    assert patterns.autocorrelation(df.limit(0), ["i"], "v").count() == 0
+
+
+def test_effects_and_made_rows_know_rare_values(spark):
+    rows = [(f"common{i % 60}", 0) for i in range(60 * 40)] + [("rare", 1)] * 12
+    df = spark.createDataFrame(rows, "c string, f int")
+    assert mltools.categorical_effects(df, F.col("f") == 1, ["c"]).first()["value"] == "rare"
+    made = synth.synthesize(df, 20_000, [], ["c"]).groupBy("c").count().collect()
+    assert {r["c"] for r in made} == {r[0] for r in rows}
+    assert sum(r["count"] for r in made) == 20_000 and abs(next(r["count"] for r in made if r["c"] == "rare") - 20_000 * 12 / len(rows)) < 60
+
+
+def test_more_centroids_than_are_broadcast(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(50)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>")
+    centroids = spark.createDataFrame(rows[:30], "label long, centroid array<double>")
+    few, many = ({tuple(r)[:2] for r in mltools.nearest_centroid(vectors, centroids, "id", "v", "label", most=m).collect()} for m in (100, 7))
+    assert few == many and len(few) == 50
