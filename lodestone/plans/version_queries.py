@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from lodestone.operators import segment_profiles as sp
 from lodestone.operators import versions
 from lodestone.plans.ml_queries import _years
 from lodestone.plans.registry import Tables, query, rounded
+from lodestone.sources.profile_store import ProfileStore
+from lodestone.sources.scratch import scratch_path
 
 SEGMENTS = """o AS (SELECT c_mktsegment AS segment, c_acctbal AS x, CAST(c_nationkey AS VARCHAR) AS v FROM customer WHERE c_mktsegment IS NOT NULL), w AS (SELECT segment, count(*) AS rows FROM o GROUP BY 1),
 m AS (SELECT segment, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS lo, max(x) AS hi, count(x) AS given, count(DISTINCT x) AS d FROM o GROUP BY 1), k AS (SELECT segment, avg(power((x - mean) / std, 3)) AS skewness FROM o JOIN m USING (segment) GROUP BY 1),
@@ -78,3 +82,16 @@ UNION ALL SELECT 'l_returnflag', round(sum(a * ln(a / ((a + b) / 2)) + b * ln(b
 def weighted_drift(t: Tables) -> DataFrame:
     """How far each kind of column of the lines shipped since a date has drifted, and how much it weighs."""
     return rounded(versions.weighted_drift(*_years(t), ["l_quantity"], ["l_returnflag"], ["l_partkey"], ["l_orderkey"]), 6)
+
+
+@query("""WITH y AS (SELECT year(o_orderdate) AS y, count(*) AS rows, row_number() OVER (ORDER BY year(o_orderdate) DESC) AS k FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1)
+SELECT 'orders of ' || y AS source, rows, 6 AS columns, y = (SELECT min(y) + 1 FROM y) AS is_baseline, y = (SELECT min(y) + 1 FROM y) AS pinned FROM y WHERE k <= 2 OR y = (SELECT min(y) + 1 FROM y)""")
+def profile_history(t: Tables) -> DataFrame:
+    """Profiles of the orders of each year, stored; the second is pinned, the last year's stored twice, and all but two pruned."""
+    store = ProfileStore(t.spark, scratch_path(t.spark, "profile-store"))
+    years = [r["y"] for r in t.orders.select(F.year("o_orderdate").alias("y")).distinct().filter("y is not null").orderBy("y").collect()]  # a few years
+    ids = [store.store(t.orders.filter(F.year("o_orderdate") == y), f"orders of {y}", datetime.datetime(y, 12, 31), ["o_totalprice"], ["o_orderstatus"]) for y in [*years, years[-1]]]
+    store.pin(ids[1], datetime.datetime(years[-1] + 1, 1, 1))
+    store.prune(datetime.datetime(years[-1] + 1, 1, 2), 2)
+    chosen = F.broadcast(store.baselines().select("id", F.lit(True).alias("is_baseline")))  # a row a schema
+    return store.entries().join(chosen, "id", "left").select("source", "rows", "columns", F.coalesce("is_baseline", F.lit(False)).alias("is_baseline"), "pinned")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 import random
+import shutil
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import segment_profiles as sp
 from lodestone.operators import versions
+from lodestone.sources.profile_store import ProfileStore
 
 
 def normal(mean: float, deviation: float, n: int, seed: int) -> list[float]:
@@ -55,3 +60,40 @@ def test_sketched_versions_are_near_exact_ones(spark):
 @pytest.mark.parametrize(("delta", "score"), [(None, 0), (0.0, 0), (-0.02, 0.1), (0.07, 0.3), (-0.15, 0.6), (0.2, 1), (-9.0, 1)])
 def test_step_scores(spark, delta, score):
     assert spark.range(1).select(versions.step_score(F.lit(delta).cast("double")).alias("s")).first()["s"] == score
+
+
+def test_the_store_keeps_history_baselines_and_pins(spark, tmp_path):
+    store, day = ProfileStore(spark, f"file://{tmp_path}/store"), lambda d: datetime.datetime(2024, 1, d)
+    table = lambda n, seed, name="v": spark.createDataFrame([(i, x) for i, x in enumerate(normal(seed * 10.0, 1, n, seed))], f"id long, {name} double")
+    assert store.entries().count() == 0 and store.baseline(table(5, 1)) is None and store.load("none") is None and not store.delete("none", day(1))
+    ids = [store.store(table(20 + d, d), f"t{d}", day(d), ["v"]) for d in (1, 2, 3, 4)]
+    other = store.store(table(9, 1, "w"), "other", day(2), ["w"])
+    assert len({*ids, other}) == 5 and store.store(table(22, 2).orderBy(F.desc("id")), "again", day(9), ["v"]) == ids[1]
+    assert [r["source"] for r in store.history(table(1, 1)).collect()] == ["t4", "t3", "t2", "t1"] and [r["source"] for r in store.history(table(1, 1), 2).collect()] == ["t4", "t3"]
+    assert store.find_content(table(23, 3))["source"] == "t3" and store.find_content(table(24, 3)) is None
+    assert store.baseline(table(1, 1))["source"] == "t1" and store.baseline(table(1, 1, "w"))["source"] == "other" and store.baseline(table(1, 1, "x")) is None
+    near = [r["source"] for r in store.nearest(store.entries().filter("source = 't3'").first()["vector"]).collect()]
+    assert near[0] == "t3" and len(near) == 5 and store.nearest([0.0], within=1e-6).count() == 0
+    store.exclude(ids[0], day(10))
+    assert store.baseline(table(1, 1))["source"] == "t2"
+    store.pin(ids[2], day(11))
+    assert store.baseline(table(1, 1))["source"] == "t3"
+    assert sorted(store.prune(day(12), 1)) == sorted([ids[0], ids[1]]) and {r["source"] for r in store.entries().collect()} == {"t3", "t4", "other"}
+    assert store.load(ids[0]) is None and store.load(ids[3]).filter("column_name = 'v'").first()["rows"] == 24
+    store.pin(ids[2], day(13), on=False)
+    assert store.delete(ids[2], day(14)) and store.store(table(23, 3), "t3 anew", day(15), ["v"]) == ids[2] and store.load(ids[2]) is not None
+
+
+def test_the_store_survives_two_writers_and_a_broken_write(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    one, two = ProfileStore(spark, path), ProfileStore(spark, path)
+    table = lambda seed: spark.createDataFrame([(x,) for x in normal(seed, 1, 30, seed)], "v double")
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda seed: (one, two)[seed % 2].store(table(seed % 4), f"t{seed % 4}", datetime.datetime(2024, 1, 1 + seed), ["v"]), range(8)))
+    assert len(set(ids)) == 4 and {r["id"] for r in one.entries().collect()} == set(ids) == {r["id"] for r in two.entries().collect()}
+    broken = Path(tmp_path) / "store" / "log" / "0broken"  # a record whose writer was lost before it was done
+    shutil.copytree(next(p for p in broken.parent.iterdir() if p.is_dir()), broken)
+    (broken / "_SUCCESS").unlink()
+    half = Path(tmp_path) / "store" / "profiles" / ids[0] / "0half"
+    half.mkdir()
+    assert one.entries().count() == 4 and one.load(ids[0]).count() == 1
