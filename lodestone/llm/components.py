@@ -40,3 +40,16 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == last:
             return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     raise RuntimeError("components did not settle")
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that links ``a``, ``b`` make of components already known: again ``node`` and ``component``.
+
+    Only the graph of components is searched: links within one leave before, and the
+    nodes of a component follow its smallest.
+    """
+    of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}"))
+    ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    roots = stored(connected(ends.filter("a <> b").distinct()), "star-roots")
+    moved = groups.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return moved.unionByName(roots)

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.chunks import LOWER_BYTES, WordedBatch, in_steps, rolling
 from lodestone.llm.common import drop_stored, fresh, stored
-from lodestone.llm.components import connected
+from lodestone.llm.components import connected, merged
 
 SHINGLE = 3
 #: Counters of the sketch that orders shingles: from the first to the second number of them, by the bytes of the
@@ -301,14 +301,15 @@ def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -
     sets = stored(_sets_of(ends(led), texts, repeated, k), "shingle-sets")
     differences = stored(_differences(led, sets, common, percent), "shingle-compared")
     links = stored(_links(differences, percent).distinct(), "shingle-links")
+    groups = stored(connected(links), "shingle-groups")
     # a short list matters where the long ones have left sets of it unconnected
-    short = lists.filter(F.col("sets") <= FEW).join(connected(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    short = lists.filter(F.col("sets") <= FEW).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     few = stored(_near(_pairs(_several(short, "shingle", "size"), ["shingle", "size"], percent, False), classes, percent), "shingle-few")
     few_sets = stored(_sets_of(ends(few), texts, repeated, k), "shingle-sets")
-    more = stored(links.unionByName(_links(_compared(few, few_sets), percent)), "shingle-links")
-    pairs = stored(_near(_unconnected(differences, connected(more), percent), classes, percent), "shingle-pairs")
-    components = connected(more.unionByName(_links(_compared(pairs, sets), percent)))
-    drop_stored(lists, led, sets, differences, links, few, few_sets, more, pairs)
+    more = stored(merged(groups, _links(_compared(few, few_sets), percent)), "shingle-groups")
+    pairs = stored(_near(_unconnected(differences, more, percent), classes, percent), "shingle-pairs")
+    components = stored(merged(more, _links(_compared(pairs, sets), percent)), "shingle-groups")
+    drop_stored(lists, led, sets, differences, links, groups, few, few_sets, more, pairs)
 
     named = classes.select("digest", "node", "copies").join(components, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component"))
     joined = rows.select("id", "text_hash", "n", "digest").join(named, "digest", "left")
