@@ -16,11 +16,11 @@ FORMS = {
     "Email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
     "Url": r"^https?://[^\s]+$",
     "Uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "Phone": r"^[+]?[(]?[0-9]{1,4}[)]?[-\s.]?[0-9]{1,4}[-\s.]?[0-9]{1,9}$",
-    "IpAddress": r"^([0-9]{1,3}\.){3}[0-9]{1,3}$",
-    "CreditCard": r"^[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}$",
-    "Percentage": r"^-?[0-9]+(\.[0-9]+)?%$",
-    "Currency": r"^[$€£¥]-?[0-9,]+(\.[0-9]{2})?$",
+    "Phone": r"^[\+]?[(]?[0-9]{1,3}[)]?[-\s\.]?[0-9]{3}[-\s\.]?[0-9]{4,6}$",
+    "IpAddress": r"^(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$",
+    "CreditCard": r"^[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{1,7}$",
+    "Percentage": r"^-?[0-9]+\.?[0-9]*\s*%$",
+    "Currency": r"^[$£€¥][0-9,]+\.?[0-9]*$",
 }
 
 
