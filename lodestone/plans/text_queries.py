@@ -203,12 +203,14 @@ def mmr_summary(t: Tables) -> DataFrame:
     return retrieval.mmr(rows, "label", "vec_id", "relevance", "embedding")
 
 
-@query()
+@query(r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk, c[i] AS text FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, list_reduce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''),
+lambda acc, x: CASE WHEN len(acc) > 0 AND length(acc[-1]) + length(x) < 2048 THEN list_append(acc[1 : len(acc) - 1], acc[-1] || chr(10) || x) ELSE list_append(acc, x) END, CAST([] AS VARCHAR[])) AS c FROM documents WHERE text IS NOT NULL))""")
 def text_chunks(t: Tables) -> DataFrame:
     return retrieval.chunks(t.documents)
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, unnest({TOKENS.format(c='text', n=0)}) AS w FROM documents), n AS (SELECT doc_id, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 128 AS place, count(*) AS n FROM t GROUP BY 1, 2), m AS (SELECT doc_id, map(list(place ORDER BY place), list(n ORDER BY place)) AS m, sqrt(sum(n * n)) AS norm FROM n GROUP BY 1)
+SELECT doc_id, list_transform(range(128), lambda i: coalesce(m[i], 0) / norm) AS embedding FROM m""")
 def hash_embeddings(t: Tables) -> DataFrame:
     return rounded(retrieval.hash_embedding(t.documents))
 
