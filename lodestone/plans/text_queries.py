@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import fulltext, lexicon, privacy, retrieval, search
+from lodestone.operators import fulltext, lexicon, privacy, retrieval, search, sections
 from lodestone.plans.registry import Tables, query, rounded
 
 def _kind(value: str) -> str:
@@ -242,3 +242,10 @@ def fulltext_rank(t: Tables) -> DataFrame:
     """Documents that a search finds, by how densely they cover it; the source weighs ten times the text."""
     index = fulltext.text_index(t.documents, "doc_id", ["source", "text"])
     return rounded(fulltext.search_text(index, WEBSEARCH, [1.0, 0.1]).withColumnRenamed("id", "doc_id"), 5)
+
+
+@query()
+def page_chunks(t: Tables) -> DataFrame:
+    """Pages cut at their headings into chunks of 50 to 200 tokens."""
+    marked = t.pages.select("page_id", sections.marked_headings(F.col("html")).alias("text"))
+    return sections.chunk_sections(marked, "page_id", "text", 6, 200, 50).drop("path")
