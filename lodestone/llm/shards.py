@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.chunks import ChunkedBatch, IdCache
+from lodestone.llm.common import stored
 
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC, HEADER = b"TOKSHRD1", struct.Struct("<8sBIQ")
@@ -158,7 +159,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
         if keys:
             yield shard()
 
-    ordered.mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "uncompressed").option("parquet.block.size", 8 << 20).parquet(out)
+    ordered.mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "uncompressed").option("parquet.block.size", 8 << 20).partitionBy("part").parquet(out)
 
 
 def directory(spark: SparkSession, out: str) -> DataFrame:
@@ -248,6 +249,8 @@ class PerfectHash:
         return np.where(seed < 0, ~seed.astype(np.int64), (_mix(hashes, np.maximum(seed, 0)) % np.uint64(max(1, self.size))).astype(np.int64)) % max(1, self.size)
 
 
+#: Folders into which an index is dealt, and parts or folders up to which a look-up names those that it opens.
+SLICES, NAMED = 256, 1_000
 INDEX_SCHEMA = "bucket int, seeds binary, prints binary, parts binary, seqs binary, offsets binary, lengths binary, clashes array<struct<key:string,part:int,seq:int,offset:long,n_tokens:long>>"
 
 
@@ -278,12 +281,18 @@ def write_index(entries: DataFrame, out: str, n_rows: int, bucket_keys: int = BU
         column = lambda name, kind: own[name].to_numpy()[order].astype(kind).tobytes()
         return pd.DataFrame([{"bucket": key[0], "seeds": mph.seeds.tobytes(), "prints": fingerprints(hashes)[order].tobytes(), "parts": column("part", np.int32), "seqs": column("seq", np.int32), "offsets": column("offset", np.int64), "lengths": column("n_tokens", np.int64), "clashes": clashes}])
 
-    firsts.withColumn("h", key_hash()).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")).groupBy("bucket").applyInPandas(build_bucket, INDEX_SCHEMA).write.parquet(out)
+    firsts.withColumn("h", key_hash()).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")).groupBy("bucket").applyInPandas(build_bucket, INDEX_SCHEMA).withColumn("slice", F.pmod("bucket", F.lit(SLICES)).cast("int")).write.partitionBy("slice").parquet(out)
     return buckets
 
 
-def look_up(keys: DataFrame, index: str, buckets: int) -> DataFrame:
-    """Shard, offset and length of each distinct key of ``keys`` that the index holds."""
+def opened(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of the folders of ``table``, by its partition column, that ``wanted`` names; all if those are more than ``NAMED``."""
+    named = [r[0] for r in wanted.select(column).distinct().limit(NAMED + 1).collect()]
+    return table.filter(F.col(column).isin(named) if named else F.lit(False)) if len(named) <= NAMED else table
+
+
+def look_up(keys: DataFrame, index: str, buckets: int, few: bool = False) -> DataFrame:
+    """Shard, offset and length of each distinct key of ``keys`` that the index holds; of ``few`` keys only the folders they need are opened."""
     spark = keys.sparkSession
     asked = keys.select("key").filter(F.col("key").isNotNull()).distinct().withColumn("h", key_hash()).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
 
@@ -302,7 +311,7 @@ def look_up(keys: DataFrame, index: str, buckets: int) -> DataFrame:
                 found.append(pd.DataFrame({"key": asked["key"][ok].to_numpy(), "part": np.frombuffer(row.parts, np.int32)[at], "seq": np.frombuffer(row.seqs, np.int32)[at], "offset": np.frombuffer(row.offsets, np.int64)[at], "n_tokens": np.frombuffer(row.lengths, np.int64)[at]}))
         return pd.concat(found) if found else pd.DataFrame({"key": [], "part": [], "seq": [], "offset": [], "n_tokens": []})
 
-    table = spark.read.schema(INDEX_SCHEMA).parquet(index)
+    table = opened(spark.read.schema(f"{INDEX_SCHEMA}, slice int").parquet(index), "slice", asked.withColumn("slice", F.pmod("bucket", F.lit(SLICES)).cast("int"))).drop("slice") if few else spark.read.schema(INDEX_SCHEMA).parquet(index)
     return asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(find, "key string, part int, seq int, offset long, n_tokens long")
 
 
@@ -311,10 +320,12 @@ def read_ids(keys: DataFrame, shards: str, index: str, buckets: int) -> DataFram
 
     The index gives the shard and the offset; the ids are cut from the shard's
     bytes there. Absent and null keys have no row; of a repeated key the first
-    document is read. Files without an asked shard are pruned by its part.
+    document is read. Only the folders of the index that the keys' buckets name, and
+    only the folders of the parts that the index leads to, are opened, unless those
+    are more than a thousand.
     """
-    places = look_up(keys, index, buckets)
-    payloads = keys.sparkSession.read.schema(SHARD_SCHEMA).parquet(shards)
+    places = stored(look_up(keys, index, buckets, few=True), "token-places")
+    payloads = opened(keys.sparkSession.read.schema(SHARD_SCHEMA).parquet(shards), "part", places)
     width = F.conv(F.hex(F.substring("payload", len(MAGIC) + 1, 1)), 16, 10).cast("int")
     behind = F.col("n_ids") - F.col("offset")  # ids from the document's first to the shard's last
     raw = F.expr("substring(payload, cast(length(payload) - width * behind + 1 as int), cast(width * n_tokens as int))")

@@ -112,6 +112,25 @@ def test_keys_of_equal_hashes_are_told_apart(spark, tmp_path, monkeypatch):
     assert got == {i: [*tokenizer.encode(f"text {i}").ids, 2] for i in range(100, 400, 7)}
 
 
+def test_a_keyed_read_opens_only_the_files_it_needs(spark, tmp_path):
+    """Every file that the asked keys don't need is spoilt: opening one would fail."""
+    shards.write_shards(documents(spark, [(i, f"text {i}") for i in range(1, 400)]), str(tmp_path / "s"), shard_ids=200)
+    entries = shards.directory(spark, str(tmp_path / "s")).cache()
+    buckets = shards.write_index(entries, str(tmp_path / "i"), 399, 8)
+    asked = ["7", "8"]
+    parts = {r["part"] for r in entries.filter(F.col("key").isin(asked)).collect()}
+    slices = {r["slice"] for r in spark.createDataFrame([(k,) for k in asked], "key string").select(F.pmod(F.pmod(shards.key_hash(), F.lit(buckets)), F.lit(shards.SLICES)).alias("slice")).collect()}
+    spoilt = [f for folder, name, needed in (("s", "part", parts), ("i", "slice", slices)) for f in (tmp_path / folder).glob(f"{name}=*/*.parquet") if int(f.parent.name.split("=")[1]) not in needed]
+    assert len(spoilt) > 10
+    for f in spoilt:
+        f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+        f.write_bytes(b"spoilt")
+    got = {r["key"]: r["ids"] for r in shards.read_ids(spark.createDataFrame([(k,) for k in asked], "key string"), str(tmp_path / "s"), str(tmp_path / "i"), buckets).collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(shards.VOCABULARY))
+    assert got == {k: [*tokenizer.encode(f"text {k}").ids, 2] for k in asked}
+    assert shards.read_ids(spark.createDataFrame([], "key string"), str(tmp_path / "s"), str(tmp_path / "i"), buckets).count() == 0
+
+
 @pytest.mark.parametrize("space", [chr(c) for c in range(0x3100) if chr(c).isspace()])
 def test_white_space_is_known_at_the_ends(space):
     import pyarrow as pa
