@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import shape, shape_regex
@@ -146,3 +147,19 @@ def monotonic_share(df: DataFrame, order: str, value: str, rows: int | None = No
     step = before(numbered(head, [order]), value, "last").select((F.col(value) - F.col("last")).alias("step"))
     shares = step.agg(F.avg((F.col("step") > 0).cast("double")).alias("rising"), F.avg((F.col("step") < 0).cast("double")).alias("falling"))
     return shares.withColumn("verdict", F.when(F.col("rising") > 0.95, "Increasing").when(F.col("falling") > 0.95, "Decreasing").otherwise("None"))
+
+
+def date_range(df: DataFrame, columns: list[str]) -> DataFrame:
+    """First and last date of each column and the days between them, in one aggregation."""
+    wide = df.agg(*(f(F.to_date(c)).alias(f"{c}__{n}") for c in columns for n, f in (("first_date", F.min), ("last_date", F.max))))
+    return rows_by_column(wide, columns, ["first_date", "last_date"]).withColumn("span_days", F.datediff("last_date", "first_date"))
+
+
+def time_series_pattern(df: DataFrame) -> DataFrame:
+    """One row for a table with a date column, the first of which orders it: how finely, with what gaps and seasons, and how sure that is."""
+    dated = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    if not dated:
+        return df.sparkSession.createDataFrame([], "column_name string, granularity string, gaps long, contiguous boolean, seasonal boolean, confidence double")
+    parts = [granularity(df, dated[0]).select("granularity"), time_gaps(df, dated[0]).select("gaps", "contiguous"), weekday_seasonality(df, dated[0]).select("seasonal")]
+    one = parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
+    return one.select(F.lit(dated[0]).alias("column_name"), "granularity", "gaps", "contiguous", "seasonal", F.when(F.col("contiguous"), 0.9).otherwise(0.7).alias("confidence"))

@@ -19,7 +19,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     numbers = [c for c in stats.numeric_columns(df) if c in columns]
     names = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     as_number = lambda c: c.cast("double")
-    basic = stats.per_column(df, columns, {"row_count": lambda c: F.count(F.lit(1)), "null_count": lambda c: F.count_if(c.isNull()), "avg_length": lambda c: F.avg(F.length(c.cast("string")))})
+    basic = stats.per_column(df, columns, {"row_count": lambda c: F.count(F.lit(1)), "null_count": lambda c: F.count_if(c.isNull()), "avg_length": lambda c: F.avg(F.length(c.cast("string"))), "max_length": lambda c: F.max(F.length(c.cast("string")))})
     basic = basic.withColumn("data_type", F.create_map(*(F.lit(x) for c in columns for x in (c, names[c])))[F.col("column_name")])
     if numbers:
         wide = {"mean": lambda c: F.avg(as_number(c)), "std": lambda c: F.stddev_samp(as_number(c)), "min": lambda c: F.min(as_number(c)), "max": lambda c: F.max(as_number(c))}
@@ -105,3 +105,18 @@ def sql_type(profiled: DataFrame) -> DataFrame:
     """Column definitions for a relational target."""
     kind = F.when(F.col("data_type").rlike(INTEGER) | (F.col("data_type") == "boolean"), "INTEGER").when(F.col("data_type").rlike(NUMERIC), "REAL").otherwise("TEXT")
     return profiled.select("column_name", F.concat(kind, F.when(F.col("null_count") == 0, " NOT NULL").otherwise("")).alias("definition"))
+
+
+def risk_vectors(profiled: DataFrame) -> DataFrame:
+    """``column_name`` and twelve features of each typed column, for a classifier of its risk.
+
+    Null and unique percent, deviation, skewness, share of outliers, imbalance (1 but for
+    categories), average and largest length (of texts), and flags: number, category, date, text.
+    """
+    kind, zero = F.col("inferred_type"), F.lit(0.0)
+    given = F.col("row_count") - F.col("null_count")
+    imbalance = F.when(kind == "Categorical", F.try_divide(F.col("top_percent") * F.col("distinct_count"), F.lit(100.0)))
+    length = lambda c: F.when(kind == "Text", F.col(c).cast("double"))
+    features = [F.col("null_percent"), F.col("unique_percent"), F.col("std"), F.col("skewness"), F.try_divide(F.col("outlier_count"), given), F.coalesce(imbalance, F.lit(1.0)), length("avg_length"), length("max_length")]
+    flags = [(kind == k).cast("double") for k in ("Numeric", "Categorical", "DateTime", "Text")]
+    return profiled.select("column_name", F.array(*(F.coalesce(f.cast("double"), zero) for f in [*features, *flags])).alias("features"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import patterns, stats
 from lodestone.operators import profile as prof
-from lodestone.plans.registry import Tables, query, rounded
+from lodestone.plans.registry import ORACLES, Tables, query, rounded
 
 ORDER_COLUMNS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
 COUNTED = "\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, '{k}' AS data_type, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS uniq FROM orders" for c, k in ORDER_COLUMNS.items())
@@ -146,3 +146,28 @@ def fk_overlap(t: Tables) -> DataFrame:
 @query("""SELECT *, CASE WHEN rising > 0.95 THEN 'Increasing' WHEN falling > 0.95 THEN 'Decreasing' ELSE 'None' END AS verdict FROM (SELECT round(avg(CASE WHEN step > 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS rising, round(avg(CASE WHEN step < 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS falling FROM (SELECT value - lag(value) OVER (ORDER BY event_id) AS step FROM events WHERE value IS NOT NULL) WHERE step IS NOT NULL)""")
 def monotonic_share(t: Tables) -> DataFrame:
     return rounded(patterns.monotonic_share(t.events, "event_id", "value"))
+
+
+@query("SELECT 'o_orderdate' AS column_name, min(o_orderdate)::DATE AS first_date, max(o_orderdate)::DATE AS last_date, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE)::INTEGER AS span_days FROM orders")
+def date_ranges(t: Tables) -> DataFrame:
+    return patterns.date_range(t.orders, ["o_orderdate"])
+
+
+@query(f"SELECT 'ts' AS column_name, granularity, gaps, contiguous, seasonal, CASE WHEN contiguous THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM ({ORACLES['granularity']}) CROSS JOIN ({ORACLES['time_gaps'].replace('o_orderdate', 'ts').replace('FROM orders', 'FROM events')}) CROSS JOIN ({ORACLES['seasonality_dow']})")
+def time_series(t: Tables) -> DataFrame:
+    """Whether and how the events are a series in time."""
+    return patterns.time_series_pattern(t.events)
+
+
+RISK = """SELECT '{c}' AS column_name, [100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), least(100.0 * count(DISTINCT {c}) / count(*), 100), max(s), coalesce(avg(power(({c} - m) / s, 3)), 0), count(*) FILTER (WHERE {c} < q[1] - 1.5 * (q[2] - q[1]) OR {c} > q[2] + 1.5 * (q[2] - q[1])) / count({c}), 1, 0, 0, {n}, 0, 0, 0] AS f
+FROM customer, (SELECT avg({c}) AS m, stddev_samp({c}) AS s, quantile_cont({c}, [0.25, 0.75]) AS q FROM customer)"""
+
+
+@query(f"""WITH r AS ({' UNION ALL '.join(RISK.format(c=c, n=n) for c, n in (('c_custkey', 0), ('c_nationkey', 1), ('c_acctbal', 1)))}
+UNION ALL SELECT 'c_name', [100.0 * count(*) FILTER (WHERE c_name IS NULL) / count(*), 100.0 * count(DISTINCT c_name) / count(*), 0, 0, 0, 1, avg(length(c_name)), max(length(c_name)), 0, 0, 0, 1] FROM customer
+UNION ALL SELECT 'c_mktsegment', [100.0 * count(*) FILTER (WHERE c_mktsegment IS NULL) / count(*), 100.0 * count(DISTINCT c_mktsegment) / count(*), 0, 0, 0, (SELECT max(n) * count(*) / sum(n) FROM (SELECT count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment)), 0, 0, 0, 1, 0, 0] FROM customer)
+SELECT column_name, CAST(i - 1 AS INTEGER) AS feature, round(f[i], 5)::DOUBLE AS value FROM (SELECT column_name, f, unnest(range(1, 13)) AS i FROM r)""")
+def risk_features(t: Tables) -> DataFrame:
+    """Twelve features of every column of customers."""
+    own = prof.risk_vectors(prof.typed(prof.profile(t.customer)))
+    return rounded(own.select("column_name", F.posexplode("features").alias("feature", "value")), 5)
