@@ -85,13 +85,44 @@ def quality_score(profiled: DataFrame) -> DataFrame:
     return profiled.agg(F.greatest(F.lit(100) - F.sum(loss), F.lit(0)).cast("int").alias("quality_score"), F.count("*").alias("columns"))
 
 
+#: What the parts of the anomaly score weigh, and the least scores of its labels from the worst.
+ANOMALY_WEIGHTS = {"alerts": 0.25, "nulls": 0.15, "outliers": 0.20, "distribution": 0.15, "cardinality": 0.10, "schema": 0.15}
+ANOMALY_LABELS = ((0.7, "Critical"), (0.5, "Poor"), (0.35, "Concerning"), (0.2, "Fair"), (0.1, "Good"))
+
+
 def anomaly_score(profiled: DataFrame, alert_rows: DataFrame) -> DataFrame:
-    """One row: a weighted score of what is unusual about the data, and its label."""
-    n_alerts = F.broadcast(alert_rows.agg(F.sum(F.when(F.col("severity") == "Warning", 0.2).otherwise(0.05)).alias("a")))  # one row
-    parts = profiled.agg(F.avg(F.col("null_percent") / 100).alias("nulls"), F.avg(F.coalesce(F.try_divide(F.col("outlier_count"), F.col("row_count")), F.lit(0.0))).alias("outliers"), F.avg(F.least(F.coalesce(F.abs("skewness"), F.lit(0.0)) / 5, F.lit(1.0))).alias("shape"), F.avg((F.col("unique_percent") > 95).cast("double")).alias("cardinality"), F.avg((F.col("distinct_count") <= 1).cast("double")).alias("constant"))
-    score = 0.25 * F.least(F.coalesce("a", F.lit(0.0)), F.lit(1.0)) + 0.15 * F.col("nulls") + 0.20 * F.least(5 * F.col("outliers"), F.lit(1.0)) + 0.15 * F.col("shape") + 0.10 * F.col("cardinality") + 0.15 * F.col("constant")
-    named = F.when(F.col("score") < 0.1, "Excellent").when(F.col("score") < 0.2, "Good").when(F.col("score") < 0.35, "Fair").when(F.col("score") < 0.5, "Concerning").when(F.col("score") < 0.7, "Poor").otherwise("Critical")
-    return parts.crossJoin(n_alerts).select(score.alias("score")).withColumn("label", named)
+    """One row: how unusual a typed profile is, 0 to 1, in six parts, with its label.
+
+    Alerts count by severity against the number of columns; nulls by their mean, their
+    most, and the columns with over 20 percent; outliers by the mean and most of the
+    columns that have any; distributions by skewness over 2 and 5 and kurtosis over 7;
+    cardinality by constant, nearly unique and large categorical columns; and the schema by
+    very many columns, few rows a column, or hardly any numbers.
+    """
+    t, one = F.col("inferred_type"), F.lit(1.0)
+    share = lambda when, of: F.coalesce(F.try_divide(F.count_if(when), F.count_if(of)), F.lit(0.0))
+    every, number = F.lit(True), t == "Numeric"
+    off = F.when(number & (F.col("outlier_count") > 0), F.col("outlier_count") / F.col("row_count"))
+    skew, tail = F.abs("skewness"), F.abs("kurtosis")
+    parts = profiled.agg(
+        F.count("*").alias("columns"), F.max("row_count").alias("rows"),
+        (0.3 * F.avg("null_percent") / 100 + 0.4 * F.max("null_percent") / 100 + 0.3 * share(F.col("null_percent") > 20, every)).alias("nulls"),
+        (0.4 * F.least(F.coalesce(F.avg(off), F.lit(0.0)) * 10, one) + 0.4 * F.least(F.coalesce(F.max(off), F.lit(0.0)) * 5, one) + 0.2 * share(F.coalesce(off > 0.05, F.lit(False)), number)).alias("outliers"),
+        (0.3 * share(number & (skew > 2), number & skew.isNotNull()) + 0.4 * share(number & (skew > 5), number & skew.isNotNull()) + 0.3 * share(number & (tail > 7), number & skew.isNotNull())).alias("distribution"),
+        (0.5 * share(F.col("distinct_count") <= 1, every) + 0.3 * share((F.col("unique_percent") > 95) & (t != "Id"), every) + 0.2 * share((t == "Categorical") & (F.col("unique_percent") > 50), t == "Categorical")).alias("cardinality"),
+        share(number, every).alias("numbers"),
+    )
+    counts = alert_rows.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("Error", "Warning", "Info")))
+    both = parts.crossJoin(F.broadcast(counts))  # one row each
+    per = lambda name, k: F.least(F.col(name) / F.greatest(F.col("columns") * k, one), one)
+    known = F.when((F.col("rows") > 0) & (F.col("columns") / F.col("rows") > 0.1), 0.3).otherwise(0.0)
+    schema = F.when(F.col("columns") > 100, 0.2).otherwise(0.0) + known + F.when((F.col("numbers") < 0.1) & (F.col("columns") > 5), 0.1).otherwise(0.0)
+    both = both.withColumn("alerts", 0.6 * per("Error", 0.3) + 0.3 * per("Warning", 0.5) + 0.1 * per("Info", 1.0)).withColumn("schema", schema)
+    score = F.round(sum((w * F.least(F.coalesce(c, F.lit(0.0)), one) for c, w in ANOMALY_WEIGHTS.items()), F.lit(0.0)), 4)
+    label = F.when(F.lit(False), "")
+    for least, name in ANOMALY_LABELS:
+        label = label.when(F.col("score") >= least, name)
+    return both.select(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in ANOMALY_WEIGHTS), score.alias("score")).withColumn("label", label.otherwise("Excellent"))
 
 
 def index_advice(profiled: DataFrame) -> DataFrame:

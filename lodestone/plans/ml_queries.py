@@ -128,7 +128,11 @@ def row_change(t: Tables) -> DataFrame:
     return rounded(drift.row_change(*_years(t)))
 
 
-@query()
+PSI = "(SELECT abs(sum((greatest(coalesce(q, 0.0001), 0.0001) - greatest(coalesce(p, 0.0001), 0.0001)) * ln(greatest(coalesce(q, 0.0001), 0.0001) / greatest(coalesce(p, 0.0001), 0.0001)))) AS v FROM f GROUP BY column_name)"
+
+
+@query(BOTH + f""", r AS (SELECT 100.0 * (count(*) FILTER (WHERE l_shipdate >= TIMESTAMP '1995-06-17') - count(*) FILTER (WHERE l_shipdate < TIMESTAMP '1995-06-17')) / count(*) FILTER (WHERE l_shipdate < TIMESTAMP '1995-06-17') AS change FROM lineitem),
+v AS (SELECT v FROM {PSI} UNION ALL SELECT 0.3 * least(abs(change) / 100, 1) FROM r WHERE abs(change) > 10) SELECT round(least(avg(v), 1), 4) AS drift_score, least(avg(v), 1) > 0.2 AS has_drift FROM v""")
 def drift_score(t: Tables) -> DataFrame:
     old, new = _years(t)
     return rounded(drift.drift_score(drift.categorical_drift(old, new, ["l_returnflag", "l_linestatus"]), drift.schema_diff(old, new), drift.row_change(old, new)))

@@ -54,7 +54,21 @@ def quality_score(t: Tables) -> DataFrame:
     return prof.quality_score(prof.typed(prof.profile(t.customer.select("c_acctbal", "c_mktsegment"))))
 
 
-@query()
+NUMBERS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, avg(power(({c} - m) / s, 3)) AS sk, avg(power(({c} - m) / s, 4)) AS ku, count(*) FILTER (WHERE {c} < q[1] - 1.5 * (q[2] - q[1]) OR {c} > q[2] + 1.5 * (q[2] - q[1])) AS off, count(*) FILTER (WHERE {c} = 0) AS zero FROM orders, (SELECT avg({c}) AS m, stddev_samp({c}) AS s, quantile_cont({c}, [0.25, 0.75]) AS q FROM orders)" for c in ("o_orderkey", "o_custkey", "o_totalprice"))
+TOPS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, max(n) / sum(n) AS top FROM (SELECT count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY {c})" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+
+
+@query(f"""WITH p AS (SELECT *, 100.0 * nulls / rows AS np, 100.0 * uniq / rows AS up, off / rows AS ratio, inferred_type = 'Numeric' AS num, inferred_type = 'Categorical' AS cat FROM ({TYPED}) LEFT JOIN ({NUMBERS}) USING (column_name) LEFT JOIN ({TOPS}) USING (column_name)),
+a AS (SELECT count(*) AS k, sum((np > 50)::INT + (uniq = 1)::INT + coalesce(ratio > 0.05, false)::INT + (cat AND up > 90 AND uniq > 100)::INT) AS w,
+sum((np > 10 AND np <= 50)::INT + (up > 95 AND inferred_type NOT IN ('Numeric', 'Id', 'DateTime'))::INT + coalesce(abs(sk) > 2, false)::INT + coalesce(ratio > 0.01 AND ratio <= 0.05, false)::INT + (cat AND top * uniq > 5)::INT + coalesce(zero / rows > 0.3, false)::INT) AS i,
+0.3 * avg(np) / 100 + 0.4 * max(np) / 100 + 0.3 * count(*) FILTER (WHERE np > 20) / count(*) AS nulls,
+0.4 * least(coalesce(avg(ratio) FILTER (WHERE num AND off > 0), 0) * 10, 1) + 0.4 * least(coalesce(max(ratio) FILTER (WHERE num AND off > 0), 0) * 5, 1) + 0.2 * count(*) FILTER (WHERE num AND ratio > 0.05) / count(*) FILTER (WHERE num) AS outliers,
+(0.3 * count(*) FILTER (WHERE num AND abs(sk) > 2) + 0.4 * count(*) FILTER (WHERE num AND abs(sk) > 5) + 0.3 * count(*) FILTER (WHERE num AND abs(ku) > 7)) / count(*) FILTER (WHERE num) AS distribution,
+0.5 * count(*) FILTER (WHERE uniq <= 1) / count(*) + 0.3 * count(*) FILTER (WHERE up > 95 AND inferred_type <> 'Id') / count(*) + 0.2 * count(*) FILTER (WHERE cat AND up > 50) / count(*) FILTER (WHERE cat) AS cardinality,
+CASE WHEN count(*) / max(rows) > 0.1 THEN 0.3 ELSE 0 END + CASE WHEN count(*) FILTER (WHERE num) / count(*) < 0.1 AND count(*) > 5 THEN 0.1 ELSE 0 END AS schema FROM p),
+s AS (SELECT 0.3 * least(w / greatest(k * 0.5, 1), 1) + 0.1 * least(i / k, 1) AS alerts, nulls, outliers, distribution, cardinality, schema FROM a), t AS (SELECT *, round(0.25 * alerts + 0.15 * nulls + 0.2 * outliers + 0.15 * distribution + 0.1 * cardinality + 0.15 * schema, 4) AS score FROM s)
+SELECT round(alerts, 4)::DOUBLE AS alerts, round(nulls, 4)::DOUBLE AS nulls, round(outliers, 4)::DOUBLE AS outliers, round(distribution, 4)::DOUBLE AS distribution, round(cardinality, 4)::DOUBLE AS cardinality, round(schema, 4)::DOUBLE AS schema, score::DOUBLE AS score,
+CASE WHEN score < 0.1 THEN 'Excellent' WHEN score < 0.2 THEN 'Good' WHEN score < 0.35 THEN 'Fair' WHEN score < 0.5 THEN 'Concerning' WHEN score < 0.7 THEN 'Poor' ELSE 'Critical' END AS label FROM t""")
 def anomaly_score(t: Tables) -> DataFrame:
     typed = prof.typed(prof.profile(t.orders))
     return rounded(prof.anomaly_score(typed, prof.alerts(typed)))
