@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.chunks import LOWER_BYTES, WordedBatch, in_steps, rolling
-from lodestone.llm.common import drop_stored, fresh, stored
+from lodestone.llm.common import drop_stored, fresh, small_batches, stored
 from lodestone.llm.components import connected, merged
 
 SHINGLE = 3
@@ -257,6 +257,11 @@ def _unconnected(differences: DataFrame, groups: DataFrame, percent: int) -> Dat
 
 def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
     """For each row of ``docs``: ``id``, ``text_hash``, ``n``, ``component`` and ``copies``."""
+    with small_batches(docs.sparkSession):
+        return _join(docs, percent, k, id_col, text_col)
+
+
+def _join(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_sketch(texts.filter("id is not null").select("text"), k))  # of bounded size
 
