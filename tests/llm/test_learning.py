@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -52,6 +53,34 @@ def test_toxicity_without_labels_or_rows(spark):
     assert kept.count() == len(odd_rows()) and kept.columns == documents(spark, []).columns
 
 
+def test_fit_equals_a_plain_estimator_of_the_risk():
+    """Losses summed text by text, gradients by differences, and the same steps: weights agree, on both sides of the switch."""
+    rng = np.random.default_rng(3)
+    dense = np.round(rng.random((9, 3)), 2)
+    positive = np.arange(9) < 4
+    dense[positive, 0] += 2.0
+    rows, columns = np.nonzero(dense)
+    sides = set()
+    for prior in (0.05, 0.9):
+
+        def losses(w: np.ndarray) -> tuple[float, float]:
+            toward = lambda sign, which: sum(math.log1p(math.exp(-sign * (w[3] + sum(x * v for x, v in zip(dense[i], w, strict=False))))) for i in range(9) if positive[i] == which) / (4 if which else 5)
+            return prior * toward(1, True), toward(-1, False) - prior * toward(-1, True)
+
+        start = np.append(np.random.default_rng(1).normal(0, 1e-3, 3), -2.0)
+        w, m, v = start.copy(), np.zeros(4), np.zeros(4)
+        for step in range(1, 41):
+            side = losses(w)[1] >= 0
+            sides.add(side)
+            aim = lambda at: sum(losses(at)) if side else -losses(at)[1]  # noqa: E731, B023
+            gradient = np.array([(aim(w + 1e-6 * e) - aim(w - 1e-6 * e)) / 2e-6 for e in np.eye(4)]) + np.append(1e-4 * w[:3], 0.0)
+            m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
+            w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        weights, bias = toxicity.fit(rows, columns, dense[rows, columns], positive, 3, prior, 1, steps=40)
+        assert np.allclose([*weights, bias], w, atol=1e-3)
+    assert sides == {True, False}
+
+
 def test_the_risk_is_never_negative_by_the_unlabelled():
     rng = np.random.default_rng(0)
     positive = np.arange(200) < 60
