@@ -274,11 +274,11 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(path)
-        cache = IdCache(encoder.chunks)
+        cache = IdCache(encoder.chunks, 300_000)
         decimal: list[str] = []
         decoded: list[bytes] = []
         age = cache.age
-        for batch in in_steps(batches):
+        for batch in in_steps(batches, 500):
             chunked = ChunkedBatch(batch.column(1))
             slots = cache.slots(chunked.keys)
             if cache.age != age:
