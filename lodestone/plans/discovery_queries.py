@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.text import tokens
-from lodestone.operators import keys, naming, vector
+from lodestone.operators import keys, naming, proximity, vector
 from lodestone.plans.graph_queries import COSINE
 from lodestone.plans.registry import Tables, query, rounded
 from lodestone.sources.scratch import scratch_path
@@ -113,3 +113,11 @@ def streamed_alarms(t: Tables) -> DataFrame:
     """Events at which a user has had three or more within a day, from the stream's ring of signals."""
     found = stateful.appended(stateful.signal_alarms(_events(t, "1 hour"), width=86_400, least=3, age=86_400), scratch_path(t.spark, "streamed-alarms"))
     return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query()
+def graph_neighbours(t: Tables) -> DataFrame:
+    """The twenty most similar vectors of every twentieth, from a walk over a proximity graph."""
+    graph = proximity.build_graph(t.embeddings, "vec_id", "embedding")
+    asked = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return rounded(proximity.search_graph(graph, asked, own=F.col("query") == F.col("node")), 6)
