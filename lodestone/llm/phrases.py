@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import drop_stored, stored
+from lodestone.llm.chunks import give_back
+from lodestone.llm.common import drop_stored, small_batches, stored
 
 #: Characters at which a piece of text ends; no phrase goes across one.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -39,12 +40,15 @@ BLOCK = 1 << 21
 BITS = (1 << 16, 1 << 27)
 #: Distinct hashes that a task counts before it hands them on.
 HELD = 2_000_000
+#: Blocks that go to Python at a time. A block's lists take some megabytes, and as many more in each copy on the way.
+BLOCKS_AT_ONCE = 4
 
 LISTS = "lang string, phrases array<string>, keys binary, lens array<int>, at binary, next_words array<string>, next_lens array<int>, next_at binary"
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[str]]]:
     """Texts of one language, about ``size`` bytes of them at a time; a task holds eight times that at most, or one text."""
+    give_back()
     held: dict[str, list[str]] = {}
     room: dict[str, int] = {}
     for batch in batches:
@@ -141,6 +145,7 @@ def extended(row: dict, size: int) -> tuple[np.ndarray, ...] | None:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    give_back()
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
@@ -282,22 +287,28 @@ def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, absorbed:
     whole by the task that reads it. Other columns are ignored. Without a qualifying
     phrase there are no rows.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(no_lang)).alias("lang"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    words = stored(word_counts(texts), "phrase-words")
+    with small_batches(spark):
+        words = stored(word_counts(texts), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.filter(F.col("f") >= least)
     known = [frequent.withColumn("size", F.lit(1))]
     marks = marked(frequent.select(F.xxhash64("lang", "phrase").alias("key")))
-    lists = stored(word_lists(texts, marks), "phrase-lists") if marks is not None else None
+    with small_batches(spark):
+        lists = stored(word_lists(texts, marks), "phrase-lists") if marks is not None else None
     for size in range(1, longest):
         if lists is None:
             break
-        marks = marked(stored(extension_counts(lists, size).filter(F.col("n") >= least), "phrase-hashes"))
-        longer = stored(extended_lists(lists, size, marks), "phrase-lists") if marks is not None else None
-        drop_stored(lists)
-        lists = longer
-        if lists is not None:
-            known.append(stored(frequencies(lists, least), "phrase-counts").withColumn("size", F.lit(size + 1)))
+        with small_batches(spark, BLOCKS_AT_ONCE):
+            hashes = stored(extension_counts(lists, size).filter(F.col("n") >= least), "phrase-hashes")
+        marks = marked(hashes)
+        with small_batches(spark, BLOCKS_AT_ONCE):
+            longer = stored(extended_lists(lists, size, marks), "phrase-lists") if marks is not None else None
+            drop_stored(lists)
+            lists = longer
+            if lists is not None:
+                known.append(stored(frequencies(lists, least), "phrase-counts").withColumn("size", F.lit(size + 1)))
     if lists is not None:
         drop_stored(lists)
     every = known[0]

@@ -124,6 +124,20 @@ def test_word_hashes_are_those_of_spark(spark):
     assert list(row) == [int(phrases.word_keys("en", ["wörd"]).view(np.int64)[0]), int(phrases.word_keys("und", [""]).view(np.int64)[0])]
 
 
+def test_phrase_lists_go_to_python_a_few_blocks_at_a_time(spark, monkeypatch):
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before, whole = spark.conf.get(name), phrases.stored
+
+    def watched(df, table):
+        rows.setdefault(table, []).append(int(spark.conf.get(name)))
+        return whole(df, table)
+
+    monkeypatch.setattr(phrases, "stored", watched)
+    assert phrases.mine_phrases(documents(spark, [(i, "one two three four") for i in range(9)]), least=3).count()
+    assert max(rows["phrase-words"]) <= 2_000 and max(rows["phrase-lists"][1:] + rows["phrase-hashes"] + rows["phrase-counts"]) <= 4
+    assert spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("name", ["op12_phrases", "op13_chat_format"])
 def test_query_against_its_sql(spark, name):
     own = duckdb.connect()
