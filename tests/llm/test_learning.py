@@ -193,6 +193,25 @@ def test_nearest_vectors_reach_the_recall(spark):
     assert found / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["many dimensions", "tight clusters"])
+def test_nearest_vectors_reach_the_recall_where_codes_tell_little(spark, kind):
+    rng = np.random.default_rng(6)
+    if kind == "many dimensions":
+        x = rng.normal(size=(1_500, 384)).astype(np.float32)
+    else:
+        x = (rng.normal(size=(4, 64))[np.arange(6_000) % 4] + 0.02 * rng.normal(size=(6_000, 64))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict[int, set] = {}
+    for r in nearest.every_twentieth(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    exact, found = x.astype(float), 0
+    for q in range(0, len(x), 20):
+        s = exact @ exact[q]
+        s[q] = -np.inf
+        found += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert found / (len(x) // 20 * 20) >= 0.9
+
+
 def test_nearest_vectors_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], schema)
