@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -167,10 +167,24 @@ def formality(t: Tables) -> DataFrame:
     return rounded(t.conversations.select("conv_id", "turn", lexicon.formality(F.col("text")).alias("formality"), lexicon.subjectivity(F.col("text")).alias("subjectivity")))
 
 
-def _name_pairs(t: Tables) -> DataFrame:
-    """Pairs of parts of one brand and size."""
-    own = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("p_name").alias("name_a"))
-    return own.join(t.part.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("p_name").alias("name_b")), ["p_brand", "p_size"]).filter("a < b")
+def _name_pairs(t: Tables, similarity: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs of parts of one brand and size, and how similar their names are: each pair of names is compared once.
+
+    Names repeat, so pairs of distinct names are few beside pairs of parts; they meet the parts by equal joins, and the
+    rows that come out of the last one go nowhere else.
+    """
+    group = ["p_brand", "p_size"]
+    parts = t.part.select(*group, "p_partkey", "p_name")
+    names = parts.select(*group, F.col("p_name").alias("name_a")).distinct()
+    met = names.join(names.withColumnRenamed("name_a", "name_b"), group)
+    once = rounded(met.select("name_a", "name_b").distinct().withColumn("similarity", similarity(F.col("name_a"), F.col("name_b"))))
+    scored = met.join(once.withColumnsRenamed({"name_a": "x", "name_b": "y"}), F.col("name_a").eqNullSafe(F.col("x")) & F.col("name_b").eqNullSafe(F.col("y"))).drop("x", "y")
+    of = lambda side: parts.select(*group, F.col("p_partkey").alias(side), F.col("p_name").alias(f"__{side}"))
+    same = lambda side: F.col(f"name_{side}").eqNullSafe(F.col(f"__{side}"))
+    left = scored.withColumnsRenamed({c: f"__{c}" for c in group}).join(of("a"), (F.col("__p_brand") == F.col("p_brand")) & (F.col("__p_size") == F.col("p_size")) & same("a")).select(*group, "a", "name_b", "similarity")
+    right = of("b").withColumnsRenamed({c: f"__{c}" for c in group})
+    both = left.join(right, (F.col("__p_brand") == F.col("p_brand")) & (F.col("__p_size") == F.col("p_size")) & same("b") & (F.col("a") < F.col("b")))
+    return both.select("a", "b", "similarity")
 
 
 NAMES = "(SELECT x.p_partkey AS a, y.p_partkey AS b, x.p_name AS name_a, y.p_name AS name_b FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey)"
@@ -178,23 +192,23 @@ NAMES = "(SELECT x.p_partkey AS a, y.p_partkey AS b, x.p_name AS name_a, y.p_nam
 
 @query(f"SELECT a, b, round(1 - levenshtein(lower(name_a), lower(name_b)) / greatest(length(name_a), length(name_b)), 4) AS similarity FROM {NAMES}")
 def levenshtein_match(t: Tables) -> DataFrame:
-    return rounded(_name_pairs(t).select("a", "b", tx.levenshtein_similarity(F.col("name_a"), F.col("name_b")).alias("similarity")))
+    return _name_pairs(t, tx.levenshtein_similarity)
 
 
 @query(f"SELECT a, b, round(j + 0.1 * (1 - j) * len(list_filter(range(1, least(length(x), length(y), 4) + 1), lambda i: left(x, i) = left(y, i))), 4) AS similarity FROM (SELECT a, b, lower(name_a) AS x, lower(name_b) AS y, jaro_similarity(lower(name_a), lower(name_b)) AS j FROM {NAMES})")
 def jaro_winkler_match(t: Tables) -> DataFrame:
-    return rounded(_name_pairs(t).select("a", "b", tx.jaro_winkler(F.col("name_a"), F.col("name_b")).alias("similarity")))
+    return _name_pairs(t, tx.jaro_winkler)
 
 
 @query(f"SELECT a, b, round(len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))), 4) AS similarity FROM (SELECT a, b, list_distinct(string_split(name_a, ' ')) AS u, list_distinct(string_split(name_b, ' ')) AS v FROM {NAMES})")
 def jaccard_tags(t: Tables) -> DataFrame:
-    return rounded(_name_pairs(t).select("a", "b", tx.jaccard(F.split("name_a", " "), F.split("name_b", " ")).alias("similarity")))
+    return _name_pairs(t, lambda a, b: tx.jaccard(F.split(a, " "), F.split(b, " ")))
 
 
 @query(f"""SELECT a, b, round(least(1 - levenshtein(x, y) / greatest(length(x), length(y), 1) + CASE WHEN contains(x, y) OR contains(y, x) THEN 0.2 ELSE 0 END + 0.1 * len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: left(x, i) = left(y, i))) / greatest(least(length(x), length(y)), 1), 1), 4)::DOUBLE AS similarity FROM (SELECT a, b, lower(replace(name_a, ' ', '-')) AS x, lower(replace(name_b, ' ', '-')) AS y FROM {NAMES})""")
 def slug_similarity(t: Tables) -> DataFrame:
     slug = lambda c: F.regexp_replace(c, " ", "-")
-    return rounded(_name_pairs(t).select("a", "b", tx.slug_similarity(slug("name_a"), slug("name_b")).alias("similarity")))
+    return _name_pairs(t, lambda a, b: tx.slug_similarity(slug(a), slug(b)))
 
 
 @query()

@@ -10,7 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as tx
 from lodestone.operators import graph, history, mltools, ordering, patterns, privacy, retrieval, search, segments, synth
+from lodestone.plans import text_queries
+from lodestone.plans.registry import Tables
 from lodestone.sources import spec
 
 
@@ -157,3 +160,20 @@ def test_more_centroids_than_are_broadcast(spark):
     centroids = spark.createDataFrame(rows[:30], "label long, centroid array<double>")
     few, many = ({tuple(r)[:2] for r in mltools.nearest_centroid(vectors, centroids, "id", "v", "label", most=m).collect()} for m in (100, 7))
     assert few == many and len(few) == 50
+
+
+def test_each_pair_of_names_is_compared_once(spark, tmp_path):
+    rows = [(i, "B", 1, ("red ring", "blue ring", None)[i % 3]) for i in range(300)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    compared = spark.sparkContext.accumulator(0)
+
+    def counted(a: str, b: str) -> float:
+        compared.add(1)
+        return float(a == b)
+
+    alike = F.udf(counted, "double")
+    got = {(r["a"], r["b"]): r["similarity"] for r in text_queries._name_pairs(Tables(spark, str(tmp_path)), alike).collect()}
+    assert got == {(i, j): float(rows[i][3] == rows[j][3]) for i, j in combinations(range(300), 2)}
+    assert compared.value <= 2 * 9  # a column may be computed twice
+    null = text_queries._name_pairs(Tables(spark, str(tmp_path)), tx.levenshtein_similarity).filter("a = 0 and b = 2").first()
+    assert null["similarity"] is None
