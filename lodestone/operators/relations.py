@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import levenshtein_similarity, tokens
@@ -67,16 +70,33 @@ def members(groups: DataFrame, rows: DataFrame, key: str, name: str) -> DataFram
     return groups.join(listed, key, "left").withColumns({"n": F.coalesce("n", F.lit(0)), "members": F.coalesce("members", F.lit(""))})
 
 
-def containing(texts: DataFrame, id_col: str, text: str, names: DataFrame, name: str, width: int = 3) -> DataFrame:
+def containing(texts: DataFrame, id_col: str, text: str, names: DataFrame, name: str, width: int = 3, slots: int = 1 << 16) -> DataFrame:
     """Pairs of a text and a name that stands somewhere in it, case aside.
 
-    A name is looked for only in texts that have its first ``width`` characters: an equal join instead of all pairs.
+    A name is looked for only in texts that have its first ``width`` characters: an equal join instead of all pairs, under
+    hashes of which there are ``slots``, a power of two. Texts themselves stay out of that join and meet only the names
+    found for them.
     """
-    own = texts.select(id_col, F.lower(text).alias("__low"))
-    wanted = names.select(F.lower(name).alias("name")).filter("name <> ''").distinct().withColumns({"size": F.least(F.length("name"), F.lit(width))}).withColumn("start", F.substring("name", F.lit(1), F.col("size")))
-    starts = lambda n: F.transform(F.sequence(F.lit(1), F.length("__low") - (n - 1)), lambda i: F.substring("__low", i, F.lit(n)))
-    grams = F.array_distinct(F.flatten(F.array(*(F.when(F.length("__low") >= n, starts(n)).otherwise(F.array().cast("array<string>")) for n in range(1, width + 1)))))
-    return own.select(id_col, "__low", F.explode(grams).alias("start")).join(wanted, "start").filter(F.contains("__low", F.col("name"))).select(id_col, "name")
+    wanted = names.select(F.lower(name).alias("name")).filter("name <> ''").distinct().withColumn("slot", F.pmod(F.xxhash64(F.substring("name", 1, width)), F.lit(slots)).cast("int"))
+    lengths = wanted.select("slot", F.least(F.length("name"), F.lit(width)).alias("n")).distinct().collect()  # ``slots`` times ``width`` pairs at most
+    known, sizes = frozenset(r["slot"] for r in lengths), sorted({r["n"] for r in lengths})
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, low in enumerate(batch.column(1)):
+                own = low.as_py() or ""
+                grams = {own[j : j + n] for n in sizes for j in range(len(own) - n + 1)}
+                here = known & {xxhash.xxh64_intdigest(g, seed=42) & (slots - 1) for g in grams}  # what ``xxhash64`` gives in Spark
+                at += [i] * len(here)
+                found += here
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int32())], names=["__id", "slot"])
+
+    lows = texts.select(F.col(id_col).alias("__id"), F.lower(text).alias("__low"))
+    ids = lows.mapInArrow(starts, lows.select("__id").schema.add("slot", T.IntegerType()))
+    found = ids.join(wanted, "slot").groupBy("__id").agg(F.collect_set("name").alias("__names"))
+    met = texts.select(id_col, F.lower(text).alias("__low")).join(found, F.col(id_col).eqNullSafe(F.col("__id")))
+    return met.select(id_col, F.explode(F.filter("__names", lambda n: F.contains(F.col("__low"), n))).alias("name"))
 
 
 def suggestions(slugs: DataFrame, slug: str, asked: str, learned: DataFrame, most: float = 0.3) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import graph, history, mltools, ordering, patterns, privacy, retrieval, search, segments, synth
+from lodestone.operators import graph, history, mltools, ordering, patterns, privacy, relations, retrieval, search, segments, synth
 from lodestone.plans import text_queries
 from lodestone.plans.registry import Tables
 from lodestone.sources import spec
@@ -177,3 +178,15 @@ def test_each_pair_of_names_is_compared_once(spark, tmp_path):
     assert compared.value <= 2 * 9  # a column may be computed twice
     null = text_queries._name_pairs(Tables(spark, str(tmp_path)), tx.levenshtein_similarity).filter("a = 0 and b = 2").first()
     assert null["similarity"] is None
+
+
+def test_names_are_found_in_long_texts_in_time_that_grows_with_them(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé ") for _ in range(300_000))
+    rows = [(1, long + "Red Gadget"), (1, "ab"), (None, "x RED gadget"), (2, None), (3, "é")]
+    names = spark.createDataFrame([("red gadget",), ("AB",), ("É",), ("",), (None,), (long[1_000:1_040],)], "name string")
+    began = time.time()
+    got = sorted(((r["id"] or 0, r["name"]) for r in relations.containing(spark.createDataFrame(rows, "id int, text string"), "id", "text", names, "name").collect()))
+    assert time.time() - began < 40
+    held = [x.lower() for x in ("red gadget", "AB", "É", long[1_000:1_040])]
+    assert got == sorted((i or 0, n) for i, t in rows for n in held if n in (t or "").lower())
