@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import levenshtein_similarity
 from lodestone.operators.ordering import numbered
-from lodestone.sources.scratch import drop_stored, stored
+from lodestone.sources.scratch import drop_stored, scratch_path, stored
+
+#: Edits up to which names are found by deletions: a name of l characters makes l * (l - 1) / 2 rows at most.
+FEW_EDITS = 2
 
 
 def _edits(length: Column, share: float) -> Column:
@@ -21,32 +24,76 @@ def _edits(length: Column, share: float) -> Column:
     return F.floor(length * (1 - share) + 1e-9).cast("int")
 
 
-def alike(names: DataFrame, share: float = 0.8, name: str = "name", key: str = "place") -> DataFrame:
-    """Pairs of different rows whose names have an edit similarity of ``share`` or more; case doesn't count.
+def _parts(names: DataFrame, share: float) -> DataFrame:
+    """Pairs of rows of ``names`` (``k``, ``t``, ``n``; the second ones' columns end in 2) that share a part: all that may be alike where many edits are allowed.
 
-    Exact, without comparing all pairs: where the longer of two names has ``l``
-    characters, no more than e = floor((1 - share) * l) edits lie between them. Cut into
-    e + 1 parts, it keeps one of them whole, and the shorter name has that part within e
-    places of where the longer one has it. So each name offers its own parts, and asks
-    for parts of every length it may meet. ``a`` is the smaller key.
+    Where the longer of two names has ``l`` characters, no more than e = floor((1 - share) * l)
+    edits lie between them. Cut into e + 1 parts, it keeps one of them whole, and the shorter
+    name has that part within e places of where the longer one has it. So each name offers its
+    own parts, and asks for parts of every length it may meet.
     """
-    own = names.select(F.col(key).alias("k"), F.lower(name).alias("t")).withColumn("n", F.length("t")).filter("n > 0")
     edits = _edits(F.col("l"), share)
     width = F.floor(F.col("l") / (F.col("e") + 1)).cast("int")
     # a part's start and length: the last parts of a name that doesn't divide are longer by one
     short = F.col("e") + 1 - F.col("l") % (F.col("e") + 1)
     start = F.col("i") * F.col("w") + F.greatest(F.col("i") - short, F.lit(0)) + 1
     size = F.col("w") + (F.col("i") >= short).cast("int")
-    offered = own.withColumn("l", F.col("n")).withColumn("e", edits).withColumn("w", width).withColumn("i", F.explode(F.expr("sequence(0, e)"))).withColumn("s", start.cast("int")).withColumn("z", size.cast("int"))
+    many = F.col("e") > FEW_EDITS
+    offered = names.withColumn("l", F.col("n")).withColumn("e", edits).filter(many).withColumn("w", width).withColumn("i", F.explode(F.expr("sequence(0, e)"))).withColumn("s", start.cast("int")).withColumn("z", size.cast("int"))
     offered = offered.select("k", "t", "l", "i", F.expr("substring(t, s, z)").alias("part"))
-    lengths = F.sequence(F.col("n"), F.floor(F.col("n") / share + 1e-9).cast("int"))
-    asked = own.withColumn("l", F.explode(lengths)).withColumn("e", edits).filter("l - n <= e").withColumn("w", width).withColumn("i", F.explode(F.expr("sequence(0, e)"))).withColumn("s", start.cast("int")).withColumn("z", size.cast("int"))
+    asked = names.withColumn("l", F.explode(_lengths(share))).withColumn("e", edits).filter(many & (F.col("l") - F.col("n") <= F.col("e"))).withColumn("w", width).withColumn("i", F.explode(F.expr("sequence(0, e)"))).withColumn("s", start.cast("int")).withColumn("z", size.cast("int"))
     # the shift of a part is at most e, and what is left of the name must hold it
     asked = asked.withColumn("low", F.greatest(F.col("s") - F.col("e"), F.lit(1))).withColumn("high", F.least(F.col("s") + F.col("e"), F.col("n") - F.col("z") + 1)).filter("low <= high")
     asked = asked.withColumn("p", F.explode(F.expr("sequence(low, high)"))).select(F.col("k").alias("k2"), F.col("t").alias("t2"), "l", "i", F.expr("substring(t, p, z)").alias("part")).distinct()
-    met = offered.join(asked, ["l", "i", "part"]).filter("k <> k2").select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), F.when(F.col("k") < F.col("k2"), F.col("t")).otherwise(F.col("t2")).alias("ta"), F.when(F.col("k") < F.col("k2"), F.col("t2")).otherwise(F.col("t")).alias("tb")).distinct()
-    similarity = levenshtein_similarity(F.col("ta"), F.col("tb"))
-    return met.filter(F.levenshtein("ta", "tb", int(1e9)) <= F.greatest(F.length("ta"), F.length("tb")) * (1 - share) + 1e-9).select("a", "b", similarity.alias("similarity"))
+    return offered.join(asked, ["l", "i", "part"]).select("k", "t", "k2", "t2")
+
+
+def _lengths(share: float) -> Column:
+    """Lengths of the longer names that one of ``n`` characters may be like."""
+    return F.sequence(F.col("n"), F.floor(F.col("n") / share + 1e-9).cast("int"))
+
+
+def _less(names: DataFrame) -> DataFrame:
+    """Rows of ``names`` (``k``, ``t``, ``l``, ``d``) with a hash of what is left of ``t`` without ``d`` of its characters, 0 to 2, for each choice of them.
+
+    Of equal characters in a row the first ones go, so that few rows tell the same.
+    """
+    first = lambda at: F.expr(f"substring(t, {at}, 1) <> substring(t, {at} - 1, 1)")
+    key = lambda left: ["k", "t", "l", F.xxhash64(left).alias("left")]
+    none = names.filter("d = 0").select(*key(F.col("t")))
+    one = names.filter("d >= 1").withColumn("i", F.explode(F.expr("sequence(1, length(t))"))).filter((F.col("i") == 1) | first("i"))
+    two = one.filter("d = 2 and i < length(t)").withColumn("j", F.explode(F.expr("sequence(i + 1, length(t))"))).filter((F.col("j") == F.col("i") + 1) | first("j"))
+    out = none.unionByName(one.filter("d = 1").select(*key(F.expr("concat(substring(t, 1, i - 1), substring(t, i + 1))"))))
+    return out.unionByName(two.select(*key(F.expr("concat(substring(t, 1, i - 1), substring(t, i + 1, j - i - 1), substring(t, j + 1))"))))
+
+
+def _deletions(names: DataFrame, share: float) -> DataFrame:
+    """Pairs of rows of ``names`` (the second ones' columns end in 2) that come to the same by few deletions: all that may be alike where few edits are allowed.
+
+    With e edits at most between names of ``l`` and ``n`` <= ``l`` characters, some e
+    deletions in the longer and e - (l - n) in the shorter one leave the same.
+    """
+    few = F.col("e") <= FEW_EDITS
+    offered = _less(names.withColumn("l", F.col("n")).withColumn("e", _edits(F.col("l"), share)).filter(few).select("k", "t", "l", F.col("e").alias("d")))
+    asked = _less(names.withColumn("l", F.explode(_lengths(share))).withColumn("e", _edits(F.col("l"), share)).withColumn("d", F.col("e") - (F.col("l") - F.col("n"))).filter(few & (F.col("d") >= 0)).select("k", "t", "l", "d"))
+    met = offered.join(asked.withColumnsRenamed({"k": "k2", "t": "t2"}), ["l", "left"])
+    # of names of one length each pair meets twice
+    return met.filter((F.length("t2") < F.col("l")) | (F.col("k") < F.col("k2"))).filter(F.levenshtein("t", "t2", FEW_EDITS) >= 0).select("k", "t", "k2", "t2")
+
+
+def alike(names: DataFrame, share: float = 0.8, name: str = "name", key: str = "place") -> DataFrame:
+    """Pairs of different rows whose names have an edit similarity of ``share`` or more; case doesn't count.
+
+    Exact, without comparing all pairs. Where up to ``FEW_EDITS`` edits are allowed, names
+    are compared that come to the same by as many deletions: short parts of names are too
+    common to choose by. Longer names are compared where they share a part. ``a`` is the
+    smaller key.
+    """
+    own = names.select(F.col(key).alias("k"), F.lower(name).alias("t")).withColumn("n", F.length("t")).filter("n > 0")
+    # what met is compared where it meets: only pairs that are alike are exchanged
+    met = _deletions(own, share).unionByName(_parts(own, share)).filter("k <> k2")
+    near = met.filter(F.levenshtein("t", "t2", int(1e9)) <= F.greatest(F.length("t"), F.length("t2")) * (1 - share) + 1e-9)
+    return near.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), levenshtein_similarity(F.col("t"), F.col("t2")).alias("similarity")).distinct()
 
 
 def first_leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -54,26 +101,24 @@ def first_leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``pairs`` has ``a`` < ``b``. A node all of whose earlier neighbours follow is a
     leader, a node with a leader before it follows; each round settles every node that
-    those settled so far decide, and at least the first that is undecided.
+    those settled so far decide, and at least the first that is undecided. Rounds add
+    to one folder, so that no plan grows with their number.
     """
-    open_pairs = stored(pairs.select("a", "b"), "greedy-pairs")
-    leaders: list[DataFrame] = []
-    every = open_pairs
-    followers = None
+    spark = pairs.sparkSession
+    every = stored(pairs.select("a", "b"), "greedy-pairs")
+    open_pairs, fell, turn = every, scratch_path(spark, "greedy-followers"), 0
     while not open_pairs.isEmpty():
         # undecided nodes with no undecided node before them lead
-        ahead = open_pairs.select(F.col("a").alias("place")).distinct().join(open_pairs.select(F.col("b").alias("place")), "place", "left_anti")
-        ahead = stored(ahead, "greedy-leaders")
-        leaders.append(ahead)
-        fallen = stored(open_pairs.join(ahead.select(F.col("place").alias("a")), "a", "left_semi").select(F.col("b").alias("place")).distinct(), "greedy-followers")
-        followers = fallen if followers is None else followers.unionByName(fallen)
+        ahead = stored(open_pairs.select(F.col("a").alias("place")).distinct().join(open_pairs.select(F.col("b").alias("place")), "place", "left_anti"), "greedy-leaders")
+        open_pairs.join(ahead.select(F.col("place").alias("a")), "a", "left_semi").select(F.col("b").alias("place")).distinct().write.parquet(f"{fell}/round={turn}")
+        fallen = spark.read.schema(ahead.schema).parquet(f"{fell}/round={turn}")
         decided = fallen.unionByName(ahead)
         left = stored(open_pairs.join(decided.select(F.col("place").alias("a")), "a", "left_anti").join(decided.select(F.col("place").alias("b")), "b", "left_anti").select("a", "b"), "greedy-pairs")
-        if open_pairs is not every:
-            drop_stored(open_pairs)
-        open_pairs = left
-    if followers is None:
+        drop_stored(ahead, *([open_pairs] if open_pairs is not every else []))
+        open_pairs, turn = left, turn + 1
+    if not turn:
         return nodes.select("place", F.col("place").alias("leader"))
+    followers = spark.read.schema(nodes.select("place").schema).option("recursiveFileLookup", "true").parquet(fell)
     # whoever never fell leads; a follower joins the first of the leaders before it
     joined = every.join(followers.select(F.col("place").alias("a")), "a", "left_anti").join(followers.select(F.col("place").alias("b")), "b", "left_semi").groupBy(F.col("b").alias("place")).agg(F.min("a").alias("leader"))
     return nodes.select("place").join(joined, "place", "left").select("place", F.coalesce("leader", "place").alias("leader"))
@@ -83,20 +128,29 @@ def best_leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``place`` and ``leader`` of a greedy pass that lets every node join the group of the node before it that it resembles most.
 
     ``pairs`` has ``a`` < ``b`` and ``similarity``; of equally similar nodes the one of
-    the earliest group counts. A group is known by its first node.
+    the earliest group counts. A group is known by its first node. A round reads what
+    the round before has settled and what still waits; all rounds add to one folder, so
+    that no plan grows with their number.
     """
+    spark = pairs.sparkSession
+    settled, turn = scratch_path(spark, "greedy-settled"), 0
     most = pairs.groupBy("b").agg(F.max("similarity").alias("similarity"))
     best = stored(pairs.join(most, ["b", "similarity"]).select("a", "b"), "greedy-best")
     # all its best nodes decided, a node is too: a round settles at least the earliest of the undecided
-    settled = stored(nodes.select("place").join(best.select(F.col("b").alias("place")), "place", "left_anti").select("place", F.col("place").alias("leader")), "greedy-settled")
-    waiting = best
+    front = nodes.select("place").join(best.select(F.col("b").alias("place")), "place", "left_anti").select("place", F.col("place").alias("leader"))
+    waiting = best.withColumn("leader", F.lit(None).cast(front.schema["leader"].dataType))
+    front.write.parquet(f"{settled}/round={turn}")
     while not waiting.isEmpty():
-        known = waiting.join(settled.select(F.col("place").alias("a"), "leader"), "a", "left")
-        ready = known.groupBy("b").agg(F.count("*").alias("n"), F.count("leader").alias("known"), F.min("leader").alias("leader")).filter("n = known").select(F.col("b").alias("place"), "leader")
-        ready = stored(ready, "greedy-settled")
-        left = stored(waiting.join(ready.select(F.col("place").alias("b")), "b", "left_anti"), "greedy-best")
-        settled, waiting = settled.unionByName(ready), left
-    return settled.select("place", "leader")
+        front = spark.read.schema(front.schema).parquet(f"{settled}/round={turn}")
+        told = waiting.join(front.select(F.col("place").alias("a"), F.col("leader").alias("now")), "a", "left").select("a", "b", F.coalesce("leader", "now").alias("leader"))
+        told = stored(told, "greedy-told")
+        ready = told.groupBy("b").agg(F.count("*").alias("n"), F.count("leader").alias("known"), F.min("leader").alias("leader")).filter("n = known").select(F.col("b").alias("place"), "leader")
+        ready.write.parquet(f"{settled}/round={turn + 1}")
+        ready = spark.read.schema(ready.schema).parquet(f"{settled}/round={turn + 1}")
+        left = stored(told.join(ready.select(F.col("place").alias("b")), "b", "left_anti"), "greedy-best")
+        drop_stored(told, *([waiting] if turn else [best]))
+        waiting, turn = left, turn + 1
+    return spark.read.schema(front.schema).option("recursiveFileLookup", "true").parquet(settled)
 
 
 def normalised(names: DataFrame, order: list[str], share: float = 0.8, name: str = "name", by_best: bool = False) -> DataFrame:

@@ -199,3 +199,33 @@ def test_elevation_merges_once_whatever_fails(spark, tmp_path):
         log = run(f"{tmp_path}/broken{every}", every, fail_once)
         assert merged(log) == want
         assert merged(run(f"{tmp_path}/broken{every}", every)) == want  # nothing new, nothing merged again
+
+
+@pytest.mark.parametrize("by_best", [False, True])
+def test_chains_of_names_keep_every_plan_small(spark, monkeypatch, by_best):
+    # a chain settles a name or two a round: no table may read one more file list with each of them
+    scans = []
+    first = naming.stored
+
+    def watched(df, name):
+        scans.append(str(df._jdf.queryExecution().optimizedPlan()).count("Relation"))
+        return first(df, name)
+
+    monkeypatch.setattr(naming, "stored", watched)
+    n = 24
+    nodes = spark.range(1, n + 1).select(F.col("id").alias("place"))
+    pairs = nodes.filter(f"place < {n}").select(F.col("place").alias("a"), (F.col("place") + 1).alias("b"), F.lit(0.9).alias("similarity"))
+    led = (naming.best_leaders if by_best else naming.first_leaders)(nodes, pairs)
+    assert {r["place"]: r["leader"] for r in led.collect()} == {i: 1 if by_best else i - (i + 1) % 2 for i in range(1, n + 1)}
+    scans.append(str(led._jdf.queryExecution().optimizedPlan()).count("Relation"))
+    assert max(scans) <= 5
+
+
+def test_common_parts_make_no_pairs_of_names(spark):
+    rng = random.Random(1)
+    syllables = ["anth", "tion", "oure", "blei"]
+    words = sorted({"".join(rng.choice(syllables) for _ in range(2)) + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(600)})
+    rows = spark.createDataFrame(list(enumerate(words)), "k long, t string").withColumn("n", F.length("t"))
+    found = naming._deletions(rows, 0.85).filter("k < k2").distinct().count()
+    close = sum(plain_distance(a, b) <= 1 for i, a in enumerate(words) for b in words[:i] if abs(len(a) - len(b)) <= 1 and a[:2] == b[:2])
+    assert close <= found <= 4 * close + 40
