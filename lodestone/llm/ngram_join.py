@@ -17,7 +17,7 @@ so index lists hold those alone; a set stands only in lists of sets about as lar
 
 A group of near copies so costs its size, not its square. A sketch of 64 bytes
 bounds the difference of two sets from below, so that only sets that may link are
-compared whole; it decides cost alone, never a result.
+compared whole; so do parities of its elements within the join of followers. They decide cost alone, never a result.
 
 Sets are compared as 64-bit hashes of their shingles. Equal sets are one class
 from the start, so copies, however many, cost a row each.
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,8 @@ MARKS = 1 << 25
 FEW = 6
 #: Cells of a set's own sketch, a byte each.
 CELLS = 64
+#: Words of 64 bits of a set's parities, which the join of pairs tests.
+PARITIES = 8
 #: Texts that are cut into shingles at a time.
 STEP = 250
 
@@ -151,6 +154,12 @@ def _sketched(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
+def _parities(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's hashes falls into each of ``64 * PARITIES`` bits: those of two sets differ in no more bits than the sets do in elements."""
+    odd = np.bincount(((own >> np.uint64(32)) & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` that may link: the cells of two sketches differ by no more in all than the sets do."""
     of = lambda end, size, sketch: classes.select(F.col("node").alias(end), F.col("n").alias(size), F.col("sketch").alias(sketch))
@@ -192,9 +201,10 @@ def _several(rows: DataFrame, *keys: str) -> DataFrame:
 def _pairs(rows: DataFrame, keys: list[str], percent: int, far: bool) -> DataFrame:
     """Distinct pairs ``a``, ``b`` of the ``node`` of rows that share the ``keys``, are of two ``component`` and may link by their sizes and positions.
 
-    With ``far`` the rows are of differences to a leader, and ``far`` their sizes.
+    With ``far`` the rows are of differences to a leader, and ``far`` their sizes; they have the ``bits`` of the sets, by
+    which the join leaves out pairs that differ too much, however many followers of a leader share a part.
     """
-    own = ["node", "n", "pos", "component", *(["far"] if far else [])]
+    own = ["node", "n", "pos", "component", *(["far", "bits"] if far else [])]
     two = rows.select(*keys, *(F.col(c).alias(f"other_{c}") for c in own))
     n, m, p, q = F.col("n"), F.col("other_n"), F.col("pos"), F.col("other_pos")
     room = (n + m) * (100 - percent)
@@ -202,6 +212,8 @@ def _pairs(rows: DataFrame, keys: list[str], percent: int, far: bool) -> DataFra
     if far:
         lead = F.col("far") - F.col("other_far")
         may &= ((100 + percent) * (2 * p - lead) <= room) & ((100 + percent) * (2 * q + lead) <= room)
+        apart = reduce(Column.__add__, (F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other_bits")[i])) for i in range(PARITIES)))
+        may &= (100 + percent) * apart <= room
     return rows.join(two, keys).filter(may).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
 
 
@@ -236,7 +248,7 @@ def _differences(led: DataFrame, sets: DataFrame, common: Broadcast, percent: in
     return both.mapInArrow(order, schema)
 
 
-def _unconnected(differences: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _unconnected(differences: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` of followers of a leader that are not connected and that may link by their differences to it."""
     placed = differences.select(F.col("a").alias("node"), F.col("b").alias("leader"), "n", "far", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lists = _several(placed, "leader").select("node", "leader", "n", "far", "component", F.posexplode("first").alias("pos", "element"))
@@ -252,7 +264,7 @@ def _unconnected(differences: DataFrame, groups: DataFrame, percent: int) -> Dat
     met = stored(blocks.join(other, ["leader", "element"]).filter(reach & apart).select("leader", "element", "pos", "other_pos"), "shingle-blocks")
     # the rows of the blocks that reach another
     rows = lists.join(met.select("leader", "element", "pos").distinct(), ["leader", "element", "pos"], "left_semi")
-    return _pairs(rows, ["leader", "element"], percent, True)
+    return _pairs(rows.join(classes.select("node", "bits"), "node"), ["leader", "element"], percent, True)
 
 
 def _joined(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -268,7 +280,7 @@ def _join(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) ->
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = common.value
         for batch in in_steps(batches, STEP):
-            sizes, digests, sketches, prefixes, lengths, odd = [], [], [], [], [], []
+            sizes, digests, sketches, bits, prefixes, lengths, odd = [], [], [], [], [], [], []
             for own in shingle_sets(batch.column(1), k):
                 n = len(own)
                 counts = _counts(table, own)
@@ -276,19 +288,20 @@ def _join(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) ->
                 sizes.append(n)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
                 sketches.append(_sketched(own))
+                bits.append(_parities(own))
                 odd.append(2 * int((counts <= 1).sum()) - n)
                 prefixes.append(own[np.argsort(counts, kind="stable")[:first]].view(np.int64))
                 lengths.append(first)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(odd, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["id", "text_hash", "n", "digest", "sketch", "odd", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(odd, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["id", "text_hash", "n", "digest", "sketch", "bits", "odd", "prefix"])
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("odd", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("odd", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     rows = stored(texts.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(read, schema), "shingle-rows")
     repeated = not rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
     # one set of each class of equal sets, under the smallest id that has it
-    classes = stored(rows.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "sketch", "odd", "prefix"))), "shingle-classes")
+    classes = stored(rows.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "sketch", "bits", "odd", "prefix"))), "shingle-classes")
 
     # sizes that can link lie in one step of a geometric scale or in two neighbours: each list is cut into such doubles
     step = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-6))) if percent < 100 else F.col("n")
@@ -312,7 +325,7 @@ def _join(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) ->
     few = stored(_near(_pairs(_several(short, "shingle", "size"), ["shingle", "size"], percent, False), classes, percent), "shingle-few")
     few_sets = stored(_sets_of(ends(few), texts, repeated, k), "shingle-sets")
     more = stored(merged(groups, _links(_compared(few, few_sets), percent)), "shingle-groups")
-    pairs = stored(_near(_unconnected(differences, more, percent), classes, percent), "shingle-pairs")
+    pairs = stored(_near(_unconnected(differences, more, classes, percent), classes, percent), "shingle-pairs")
     components = stored(merged(more, _links(_compared(pairs, sets), percent)), "shingle-groups")
     drop_stored(lists, led, sets, differences, links, groups, few, few_sets, more, pairs)
 

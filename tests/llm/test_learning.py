@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -304,3 +305,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen["personal data"][1_004]["n_chars"] == len("please write to [EMAIL] about that")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == set(seen["personal data"]) and all(len(r["ids"]) == r["n_tokens"] for r in out)
+
+
+def test_followers_too_far_apart_make_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    own = [np.unique(rng.integers(0, 1 << 63, 100, np.uint64)) for _ in range(60)]
+    own.append(np.unique(np.concatenate([own[0][:97], own[1][:3]])))
+    for a, b in itertools.combinations(own, 2):  # parities never say more than sets differ by
+        x, y = (np.unpackbits(ngram_join._parities(s).view(np.uint8)) for s in (a, b))
+        assert (x != y).sum() <= len(np.setxor1d(a, b))
+    rows = spark.createDataFrame([(0, 7, i, 100, 0, i, 40, ngram_join._parities(s).tolist()) for i, s in enumerate(own)], "leader long, element long, node long, n int, pos int, component long, far int, bits array<long>")
+    found = ngram_join._pairs(rows, ["leader", "element"], 80, True).collect()
+    assert [(r["a"], r["b"]) for r in found] == [(0, 60)]  # of 1,830 that share a part
