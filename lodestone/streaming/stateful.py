@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from lodestone.sources.scratch import drop_path, list_done
+from lodestone.sources.scratch import drop_path, drop_stored, list_done, stored
 from lodestone.streaming.sessions import signal_weight
 
 #: What ends a session (a pause, and its greatest length), and the window of signals (how many, how old), in seconds.
@@ -278,7 +278,11 @@ def elevate(closed: DataFrame, links: DataFrame, path: str, key: str = "user_id"
     linked = links.select(F.col(key), F.col(profile)).filter(F.col(profile).isNotNull())
 
     def merge(rows: DataFrame, batch: int) -> None:
-        log.add(rows.join(linked, key), batch)
+        # what the state gives is read from files: a second reading would run the state's step again
+        own = stored(rows, "elevation-closed")
+        # as many links as users: joined by their key, never sent to every task by way of the driver
+        log.add(own.join(linked.hint("merge"), key), batch)
+        drop_stored(own)
         after(batch)
 
     with rocks_db(spark):

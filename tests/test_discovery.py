@@ -229,3 +229,19 @@ def test_common_parts_make_no_pairs_of_names(spark):
     found = naming._deletions(rows, 0.85).filter("k < k2").distinct().count()
     close = sum(plain_distance(a, b) <= 1 for i, a in enumerate(words) for b in words[:i] if abs(len(a) - len(b)) <= 1 and a[:2] == b[:2])
     assert close <= found <= 4 * close + 40
+
+
+def test_elevation_runs_the_state_once_a_trigger_and_broadcasts_no_links(spark, tmp_path, monkeypatch):
+    plans = []
+    add = stateful.ProfileLog.add
+
+    def watched(self, closed, batch):
+        plans.append(closed._jdf.queryExecution().sparkPlan().toString())
+        add(self, closed, batch)
+
+    monkeypatch.setattr(stateful.ProfileLog, "add", watched)
+    folder = written(spark, f"{tmp_path}/in", some_events(), 1, 3_000, 5)
+    links = spark.range(1, 10).select(F.col("id").alias("user_id"), (F.col("id") + 10).alias("profile_id"))
+    log = stateful.elevate(stateful.expired_sessions(streamed(spark, folder, 1)), links, f"{tmp_path}/out")
+    assert {r["profile_id"] for r in log.read().collect()} == {11, 12, 13, 19}
+    assert plans and all("FileScan parquet" in p and "Broadcast" not in p for p in plans)
