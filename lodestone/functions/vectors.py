@@ -30,5 +30,5 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """The vector at length 1; a zero vector stays as it is."""
-    length = norm(a)
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
+    # the length is an element of an array of one, so that it is worked out once and not for each component
+    return F.element_at(F.transform(F.array(norm(a)), lambda length: F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))), 1)

@@ -49,3 +49,25 @@ def test_recall_after_building_deleting_and_upserting(spark, clusters):
     queries = {i: own[i] for i in [*queries, *range(1_000, 1_100, 10)]}
     assert more.nodes.count() == len(own) and recall(search(more, queries), own, queries, 10) >= 0.9
     assert search(proximity.build_graph(rows.limit(0), "id", "e"), {0: own[0]}) == []
+
+
+def test_a_search_keeps_no_more_than_the_best_of_each_query(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    own = {i: rng.normal(size=8) for i in range(600)} | {i: np.ones(8) for i in range(600, 700)}
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in own.items()], "id long, e array<double>")
+    for name, value in (("CELL", 16), ("MOST", 64)):
+        monkeypatch.setattr(proximity, name, value, raising=False)
+    graph = proximity.build_graph(table, "id", "e", k=16)
+    sizes, stored = [], proximity.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        column = F.size("node") if dict(out.dtypes).get("node", "").startswith("array") else F.lit(1)
+        sizes.append((name, out.groupBy("query").agg(F.sum(column).alias("n")).agg(F.max("n")).first()[0] if "query" in out.columns else 0))
+        return out
+
+    monkeypatch.setattr(proximity, "stored", counted)
+    queries = {i: own[i] for i in range(0, 600, 50)}
+    found = proximity.search_graph(graph, table.filter("id % 50 = 0 and id < 600").select(F.col("id").alias("query"), F.col("e").alias("q")), 10, reach=64, width=16, own=F.col("query") == F.col("node")).collect()
+    assert recall(found, own, queries, 10) >= 0.9
+    assert sizes and all((n or 0) <= 64 for _, n in sizes), sizes
