@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 from lodestone.sources.scratch import stored
 
+#: Pairs that a task counts.
+TASK_PAIRS = 2_000_000
+
 
 def rare_terms(docs: DataFrame, id_col: str, text: str, least_idf: float = 3.5, longer_than: int = 3) -> DataFrame:
     """Distinct rare terms of each document with a confidence: candidates for entities."""
@@ -20,18 +25,33 @@ def rare_terms(docs: DataFrame, id_col: str, text: str, least_idf: float = 3.5,
 def cooccurrence(mentions: DataFrame, unit: str, entity: str, least: int = 2, limit: int | None = 500, block: int = 200) -> DataFrame:
     """Unordered pairs of entities that share units, the most frequent first.
 
-    The entities of a unit with more than ``block`` of them are dealt over blocks,
-    which meet all of the unit's entities in tasks of their own: no unit is left out.
+    A unit of at most ``block`` mentions is paired in its own row, in tasks of some ``TASK_PAIRS``
+    pairs each, so a task's memory doesn't grow with the input. The entities of a larger unit are
+    dealt over blocks, which meet all of the unit's entities in tasks of their own: no unit is left out.
     """
-    own = mentions.select(F.col(unit).alias("u"), F.col(entity).alias("e")).distinct()
-    sized = own.join(own.groupBy("u").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n"), "u")
-    left = sized.select("u", F.pmod(F.xxhash64("e"), "blocks").cast("int").alias("block"), F.col("e").alias("entity_a"))
-    right = sized.select("u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("e").alias("entity_b"))
-    pairs = left.join(right, ["u", "block"]).filter("entity_a < entity_b")
+    own = mentions.select(F.col(unit).alias("u"), F.col(entity).alias("e")).filter("u is not null and e is not null")
+    sizes = own.groupBy("u").agg(F.count("*").alias("n"))
+    large = sizes.filter(F.col("n") > block).select("u")
+    some, most = sizes.agg(F.sum(F.when(F.col("n") <= block, F.col("n") * (F.col("n") - 1) / 2)), F.max("n")).first()
+    split = (most or 0) > block
+    small = own.join(large, "u", "left_anti") if split else own
+    tasks = max(own.sparkSession.sparkContext.defaultParallelism, math.ceil((some or 0) / TASK_PAIRS))
+    listed = small.repartition(tasks, "u").groupBy("u").agg(F.array_sort(F.collect_set("e")).alias("own")).filter(F.size("own") > 1)
+    pairs = listed.select("own", F.posexplode("own").alias("at", "entity_a")).select("entity_a", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("entity_b"))
+    if split:
+        pairs = pairs.unionByName(_block_pairs(own.join(large, "u", "left_semi").distinct(), block))
     counts = pairs.groupBy("entity_a", "entity_b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
     return counts.orderBy(F.desc("weight"), "entity_a", "entity_b").limit(limit) if limit else counts
 
 
+def _block_pairs(own: DataFrame, block: int) -> DataFrame:
+    """Pairs of the distinct entities of large units, by blocks."""
+    sized = own.join(own.groupBy("u").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "u")
+    left = sized.select("u", F.pmod(F.xxhash64("e"), "blocks").cast("int").alias("block"), F.col("e").alias("entity_a"))
+    right = sized.select("u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("e").alias("entity_b"))
+    return left.join(right, ["u", "block"]).filter("entity_a < entity_b").select("entity_a", "entity_b")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Edges ``src``, ``dst`` and their reverse."""
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import time
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -190,3 +192,15 @@ def test_names_are_found_in_long_texts_in_time_that_grows_with_them(spark):
     assert time.time() - began < 40
     held = [x.lower() for x in ("red gadget", "AB", "É", long[1_000:1_040])]
     assert got == sorted((i or 0, n) for i, t in rows for n in held if n in (t or "").lower())
+
+
+def test_pairs_are_counted_in_tasks_of_a_bounded_size(spark, monkeypatch):
+    rows = [(u, e) for u in range(60) for e in range(u % 7)] * 2 + [(60, e) for e in range(90)] + [(None, 1), (None, 2), (61, None), (61, 4)]
+    monkeypatch.setattr(graph, "TASK_PAIRS", 20, raising=False)
+    pairs = graph.cooccurrence(spark.createDataFrame(rows, "u int, e int"), "u", "e", least=1, limit=None, block=50)
+    expected = Counter()
+    for own in ({e for v, e in rows if v == u} for u in range(61)):
+        expected.update(combinations(sorted(own), 2))
+    assert {(r["entity_a"], r["entity_b"]): r["weight"] for r in pairs.collect()} == expected
+    tasks = re.findall(r"hashpartitioning\(u#\d+, (\d+)\), REPARTITION_BY_NUM", pairs._jdf.queryExecution().executedPlan().toString())
+    assert tasks and int(tasks[0]) >= 20
