@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it and in whatever lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def pearson(x: str, y: str) -> Column:
     """Correlation of two columns over rows with both; null where one is constant."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()

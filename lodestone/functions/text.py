@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.scalars import bound
+
 #: Tokens of letters, digits and underscores of any script.
 TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -42,16 +44,17 @@ def bigram_cosine(a: Column, b: Column) -> Column:
     """Cosine of the character bigram counts of two texts."""
 
     def all_grams(text: Column) -> Column:
-        low = F.lower(text)
-        return F.when(F.length(low) >= 2, F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+        return bound(F.lower(text), lambda low: F.when(F.length(low) >= 2, F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2)))).otherwise(F.array().cast("array<string>")))
 
     def count(grams: Column, gram: Column) -> Column:
         return F.size(F.filter(grams, lambda g: g == gram)).cast("double")
 
-    x, y = all_grams(a), all_grams(b)
-    norm = lambda g: F.sqrt(F.aggregate(F.array_distinct(g), F.lit(0.0), lambda s, t: s + count(g, t) * count(g, t)))
-    dot = F.aggregate(F.array_intersect(x, y), F.lit(0.0), lambda s, t: s + count(x, t) * count(y, t))
-    return F.coalesce(F.try_divide(dot, norm(x) * norm(y)), F.lit(0.0))
+    def similarity(x: Column, y: Column) -> Column:
+        norm = lambda g: F.sqrt(F.aggregate(F.array_distinct(g), F.lit(0.0), lambda s, t: s + count(g, t) * count(g, t)))
+        dot = F.aggregate(F.array_intersect(x, y), F.lit(0.0), lambda s, t: s + count(x, t) * count(y, t))
+        return F.coalesce(F.try_divide(dot, norm(x) * norm(y)), F.lit(0.0))
+
+    return bound(all_grams(a), lambda x: bound(all_grams(b), lambda y: similarity(x, y)))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

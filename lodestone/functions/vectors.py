@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product; null for different lengths."""
@@ -30,5 +32,4 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """The vector at length 1; a zero vector stays as it is."""
-    # the length is an element of an array of one, so that it is worked out once and not for each component
-    return F.element_at(F.transform(F.array(norm(a)), lambda length: F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))), 1)
+    return bound(norm(a), lambda length: F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0))))

@@ -156,7 +156,8 @@ COUNT = "len(list_filter({l}, lambda h: h = g))"
 def _next_names(t: Tables) -> DataFrame:
     """Names of parts and of the next part."""
     follows = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("y"))
-    return t.part.select("p_partkey", F.col("p_name").alias("x")).join(follows, "p_partkey")
+    # names are short, so a file's few bytes are many pairs: they are dealt over all cores
+    return t.part.select("p_partkey", F.col("p_name").alias("x")).join(follows, "p_partkey").repartition(4 * t.spark.sparkContext.defaultParallelism, "p_partkey")
 
 
 @query(f"SELECT p_partkey, round(len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))), 5) AS similarity FROM (SELECT p_partkey, list_distinct({GRAMS.format(c='x', n=3)}) AS u, list_distinct({GRAMS.format(c='y', n=3)}) AS v FROM {NEXT})")

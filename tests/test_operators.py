@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import graph, history, mltools, ordering, patterns, privacy, relations, retrieval, search, segments, synth
-from lodestone.plans import text_queries
+from lodestone.plans import score_queries, text_queries
 from lodestone.plans.registry import Tables
 from lodestone.sources import spec
 
@@ -204,3 +204,8 @@ def test_pairs_are_counted_in_tasks_of_a_bounded_size(spark, monkeypatch):
     assert {(r["entity_a"], r["entity_b"]): r["weight"] for r in pairs.collect()} == expected
     tasks = re.findall(r"hashpartitioning\(u#\d+, (\d+)\), REPARTITION_BY_NUM", pairs._jdf.queryExecution().executedPlan().toString())
     assert tasks and int(tasks[0]) >= 20
+
+
+def test_names_of_one_file_are_compared_on_all_cores(spark):
+    found = score_queries.name_similarity(Tables(spark, "/root/testdata/sf0.01"))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
