@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import bound
 from lodestone.operators.stats import long_form
 
 #: Kinds of personal values with their forms, in the order in which they are tried. A value has a kind if
@@ -177,12 +178,15 @@ def masked(value: Column, kind: Column, visible: int = 2, labelled: bool = True)
 def redact_text(text: Column, allow: Collection[str] = ()) -> Column:
     """A text in which every token of a kind is masked; kinds in ``allow`` stay. White space is kept as it is."""
     lead, tail = r"^[,;:()<>\"']+", r"[.,;:()<>\"']+$"
+    # runs of words of 3 to 16 letters, which ``may_be_personal`` lets none pass, and other tokens and gaps one by one
+    piece = r"(?:\p{L}{3,16}+[.,;]*+\s++){1,30}+|\S++|\s++"
 
-    def token(t: Column) -> Column:
-        bare = F.rtrim(F.ltrim(t, F.lit(",;:()<>\"'")), F.lit(".,;:()<>\"'"))
+    def masks(t: Column, bare: Column) -> Column:
         kind = value_kind(bare)
         hide = F.when(kind.isin(*allow), F.lit(None)).otherwise(kind) if allow else kind
-        return F.when(hide.isNull(), t).otherwise(F.concat(F.regexp_extract(t, lead, 0), masked(bare, hide), F.regexp_extract(t, tail, 0)))
+        return bound(hide, lambda k: F.when(k.isNull(), t).otherwise(F.concat(F.regexp_extract(t, lead, 0), masked(bare, k), F.regexp_extract(t, tail, 0))))
+
+    def token(t: Column) -> Column:
+        return bound(F.rtrim(F.ltrim(t, F.lit(",;:()<>\"'")), F.lit(".,;:()<>\"'")), lambda bare: masks(t, bare))
 
-    # parts are tokens and the gaps between them in turn
-    return F.array_join(F.transform(F.split(text, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)"), token), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(piece), F.lit(0)), lambda p: F.when(p.rlike(r"\s"), p).otherwise(token(p))), "")

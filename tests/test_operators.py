@@ -209,3 +209,15 @@ def test_pairs_are_counted_in_tasks_of_a_bounded_size(spark, monkeypatch):
 def test_names_of_one_file_are_compared_on_all_cores(spark):
     found = score_queries.name_similarity(Tables(spark, "/root/testdata/sf0.01"))
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_redaction_tries_the_forms_once_a_token_and_skips_runs_of_plain_words(spark):
+    tokens = ["in", "word", "Wörter,", "(bob@x.org);", "123-45-6789", "ABCDEFGHJKLMNPRST", "words...", "a" * 16, "b" * 17, "x", "10.0.0.1", "...", "\"ME\"", "é", "end"]
+    rng = random.Random(4)
+    texts = [[rng.choice([*tokens, "plain", "words"]) if i % 2 else rng.choice([" ", "  ", "\n", "\t "]) for i in range(rng.randrange(1, 300))] for _ in range(40)]
+    hide = privacy.redact_text(F.col("t"))
+    alone = {r["t"]: r["x"] for r in spark.createDataFrame([(t,) for t in {t for own in texts for t in own}], "t string").select("t", hide.alias("x")).collect()}
+    got = {r["i"]: r["x"] for r in spark.createDataFrame([*((i, "".join(own)) for i, own in enumerate(texts)), (-1, None), (-2, "")], "i int, t string").select("i", hide.alias("x")).collect()}
+    assert got == {i: "".join(alone[t] for t in own) for i, own in enumerate(texts)} | {-1: None, -2: ""}
+    assert alone["in"] != "in" and alone["(bob@x.org);"].startswith("(") and alone["word"] == "word"
+    assert str(hide).count(privacy.VALUE_FORMS[0][1][0]) == 1
