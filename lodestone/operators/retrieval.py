@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lodestone.functions.scalars import bound
 from lodestone.functions.text import tokens
 from lodestone.sources.scratch import stored
 
@@ -108,10 +112,26 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", target:
 
 
 def hash_embedding(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dim: int = 128) -> DataFrame:
-    """Unit vectors of hashed term counts: a stand-in for a model, the same on every run."""
-    counts = docs.select(id_col, F.explode(tokens(F.col(text), 0)).alias("term")).groupBy(id_col, F.pmod(F.conv(F.substring(F.sha2("term", 256), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int").alias("at")).agg(F.count("*").alias("n"))
-    placed = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return placed.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")).alias("embedding"))
+    """Unit vectors of hashed term counts: a stand-in for a model, the same on every run.
+
+    A document's terms are counted in its own row, and each distinct term of some rows
+    is hashed once; only the counts are shuffled, so that rows of one id are added up.
+    """
+    schema = docs.select(id_col).schema.add("counts", T.ArrayType(T.LongType()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("t")
+            row, terms = lists.value_parent_indices().to_numpy(), lists.flatten().dictionary_encode()
+            place = np.array([int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % dim for t in terms.dictionary.to_pylist()], np.int64)
+            counts = np.bincount(row * dim + (place[terms.indices.to_numpy()] if len(place) else 0), minlength=batch.num_rows * dim).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, dim), pa.int32()), pa.array(counts))], names=[id_col, "counts"])
+
+    own = docs.select(id_col, tokens(F.col(text), 0).alias("t")).filter(F.size("t") > 0).mapInArrow(count, schema)
+    added = own.groupBy(id_col).agg(F.collect_list("counts").alias("all"))
+    total = F.aggregate(F.slice("all", 2, F.size("all")), F.element_at("all", 1), lambda a, x: F.zip_with(a, x, lambda m, n: m + n))
+    norm = lambda n: F.sqrt(F.aggregate(n, F.lit(0).cast("bigint"), lambda a, x: a + x * x))
+    return added.select(id_col, bound(total, lambda n: bound(norm(n), lambda length: F.transform(n, lambda x: x / length))).alias("embedding"))
 
 
 def mmr(candidates: DataFrame, group: str, id_col: str, relevance: str, vector: str, k: int = 5, weight: float = 0.7) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -221,3 +222,14 @@ def test_redaction_tries_the_forms_once_a_token_and_skips_runs_of_plain_words(sp
     assert got == {i: "".join(alone[t] for t in own) for i, own in enumerate(texts)} | {-1: None, -2: ""}
     assert alone["in"] != "in" and alone["(bob@x.org);"].startswith("(") and alone["word"] == "word"
     assert str(hide).count(privacy.VALUE_FORMS[0][1][0]) == 1
+
+
+def test_hashed_counts_are_shuffled_once_a_document(spark):
+    rows = [(1, "Ox ox cow"), (1, "cow hen"), (2, None), (3, " .. "), (None, "ox"), (4, "é_1 ox " * 500)]
+    found = retrieval.hash_embedding(spark.createDataFrame(rows, "doc_id long, text string"), dim=16)
+    expected = {}
+    for i, terms in {1: ["ox", "ox", "cow", "cow", "hen"], None: ["ox"], 4: ["é_1", "ox"] * 500}.items():
+        n = np.bincount([int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % 16 for t in terms], minlength=16)
+        expected[i] = (n / np.sqrt((n * n).sum())).tolist()
+    assert {r["doc_id"]: r["embedding"] for r in found.collect()} == {k: pytest.approx(v) for k, v in expected.items()}
+    assert found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
