@@ -20,9 +20,29 @@ from lodestone.sources.scratch import stored
 
 
 def term_counts(docs: DataFrame, id_col: str, text: str, longer_than: int = 1) -> DataFrame:
-    """How often each document has each term, and how many terms it has."""
-    own = docs.select(F.col(id_col).alias("id"), tokens(F.col(text), longer_than).alias("t"))
-    return own.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    """How often each document has each term, and how many terms it has.
+
+    A document's terms are counted in its own row, so nothing is shuffled for it; only
+    where ids repeat are the rows of an id of the same length added up.
+    """
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("length", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("t")
+            row, terms = lists.value_parent_indices().to_numpy(), lists.flatten().dictionary_encode()
+            size = max(1, len(terms.dictionary))
+            key, tf = np.unique(row * size + terms.indices.to_numpy(), return_counts=True)
+            ids, length = batch.column("id"), lists.value_lengths()
+            for i in range(0, len(key), 50_000):
+                at, term = pa.array(key[i : i + 50_000] // size), pa.array(key[i : i + 50_000] % size)
+                yield pa.RecordBatch.from_arrays([ids.take(at), length.take(at), terms.dictionary.take(term), pa.array(tf[i : i + 50_000])], names=schema.names)
+
+    own = docs.select(F.col(id_col).alias("id"), tokens(F.col(text), longer_than).alias("t")).filter(F.size("t") > 0)
+    counts = own.mapInArrow(count, schema)
+    if docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return counts
+    return counts.groupBy("id", "length", "term").agg(F.sum("tf").alias("tf"))
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -233,3 +233,13 @@ def test_hashed_counts_are_shuffled_once_a_document(spark):
         expected[i] = (n / np.sqrt((n * n).sum())).tolist()
     assert {r["doc_id"]: r["embedding"] for r in found.collect()} == {k: pytest.approx(v) for k, v in expected.items()}
     assert found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_terms_are_counted_without_a_shuffle_and_rows_of_an_id_are_added(spark):
+    rows = [(1, "Ox ox cow"), (2, None), (3, " .. a"), (None, "oxen"), (4, "é_1 oxen " * 500)]
+    count = lambda own: retrieval.term_counts(spark.createDataFrame(own, "d long, x string"), "d", "x")
+    plain = {(1, 3, "ox", 2), (1, 3, "cow", 1), (None, 1, "oxen", 1), (4, 1000, "é_1", 500), (4, 1000, "oxen", 500)}
+    assert "Exchange" not in count(rows)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, map(tuple, count(rows).collect()))) == sorted(map(str, plain))
+    twice = plain - {(1, 3, "ox", 2)} | {(1, 3, "ox", 3), (1, 3, "hen", 2), (1, 1, "ox", 1)}
+    assert sorted(map(str, map(tuple, count([*rows, (1, "hen ox hen"), (1, "ox")]).collect()))) == sorted(map(str, twice))
