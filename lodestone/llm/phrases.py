@@ -12,18 +12,21 @@ extensions under hashes, marks the hashes that reach the least frequency in a
 bitmap of bounded size, and writes lists for marked extensions alone. A mark can
 be wrong only by letting a rare phrase pass; the lists carry the words, and
 counting those drops it. So hashes save work and never decide.
+
+The lists of a block go from step to step as one packed value. Spark's own rows and
+files then hold no strings of them, whose buffers would grow with what is frequent.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,12 +41,14 @@ TABLE = bytes(0x2E if chr(b) in PIECE_ENDS else b + 32 if 0x41 <= b <= 0x5A else
 BLOCK = 1 << 21
 #: Bits of the bitmap: at least, and at most (16 MB). Beyond, more rare extensions pass and are counted.
 BITS = (1 << 16, 1 << 27)
-#: Distinct hashes that a task counts before it hands them on.
-HELD = 2_000_000
-#: Blocks that go to Python at a time. A block's lists take some megabytes, and as many more in each copy on the way.
-BLOCKS_AT_ONCE = 4
+#: Hashes or phrases of single blocks that a task holds before it adds up what is the same and hands it on.
+HELD = 1_000_000
+#: Blocks that are read from files and go to Python at a time. A block's packed lists take a megabyte or two.
+BLOCKS_AT_ONCE = 1
 
-LISTS = "lang string, phrases array<string>, keys binary, lens array<int>, at binary, next_words array<string>, next_lens array<int>, next_at binary"
+LISTS = "lang string, lists binary"
+#: What ``lists`` holds: phrases with their hashes, the lengths of their lists and the positions, and the same of the words behind them.
+PACKED = pa.schema([("phrases", pa.list_(pa.string())), ("keys", pa.binary()), ("lens", pa.list_(pa.int32())), ("at", pa.binary()), ("next_words", pa.list_(pa.string())), ("next_lens", pa.list_(pa.int32())), ("next_at", pa.binary())])
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[str]]]:
@@ -110,16 +115,16 @@ def is_marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class Lists:
     """Inverted lists of a block: occurrences in the order of their positions, and whose they are."""
 
-    def __init__(self, lens: list[int], at: bytes):
-        own, places = np.repeat(np.arange(len(lens)), np.asarray(lens, np.int64)), np.frombuffer(at, np.int32)
+    def __init__(self, lens: np.ndarray, at: bytes):
+        own, places = np.repeat(np.arange(len(lens)), lens), np.frombuffer(at, np.int32)
         order = np.argsort(places, kind="stable")
         self.at, self.own = places[order], own[order]
 
     @staticmethod
-    def vertical(own: np.ndarray, at: np.ndarray, n: int) -> tuple[list[int], bytes]:
+    def vertical(own: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, bytes]:
         """Lengths of ``n`` lists and their positions, list by list, each in rising order."""
         order = np.argsort(own, kind="stable")
-        return np.bincount(own, minlength=n).tolist(), at[order].astype(np.int32).tobytes()
+        return np.bincount(own, minlength=n), at[order].astype(np.int32).tobytes()
 
     def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For rising positions: whether a list holds each, and whose it is."""
@@ -139,21 +144,55 @@ def extended(row: dict, size: int) -> tuple[np.ndarray, ...] | None:
     pairs, which = np.unique(own.own[fits] * (int(after.own.max()) + 1) + word[fits], return_inverse=True)
     phrase, word = np.divmod(pairs, int(after.own.max()) + 1)
     keys = np.frombuffer(row["keys"], np.uint64)
-    words = row["phrases"] if size == 1 else row["next_words"]
-    word_hash = keys if size == 1 else word_keys(row["lang"], words)
+    word_hash = keys if size == 1 else word_keys(row["lang"], row["next_words"].to_pylist())
     return own.at[fits], which, phrase, word, mixed(keys[phrase], word_hash[word])
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Blocks with their lists unpacked, one at a time."""
     give_back()
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
-def listed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in LISTS.split(", ")])
+        for lang, packed in zip(batch.column(0), batch.column(1), strict=True):
+            own = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+            row = {name: own.column(name)[0] for name in PACKED.names}
+            words = {name: row[name].values for name in ("phrases", "next_words")}
+            lens = {name: None if row[name].values is None else row[name].values.to_numpy() for name in ("lens", "next_lens")}
+            yield {"lang": lang.as_py()} | words | lens | {name: row[name].as_py() for name in ("keys", "at", "next_at")}
+
+
+def listed(lang: str, *lists: pa.Array | np.ndarray | bytes | None) -> pa.RecordBatch:
+    """A block's row, with what ``PACKED`` names packed."""
+    columns = []
+    for kind, own in zip(PACKED.types, lists, strict=True):
+        if own is None or isinstance(own, bytes):
+            columns.append(pa.array([own], kind))
+        else:
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own if isinstance(own, pa.Array) else pa.array(own, kind.value_type)))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=PACKED))
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["lang", "lists"])
+
+
+@contextmanager
+def set_to(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of reading and writing Parquet for what is planned and run here; the session's own come back."""
+    names = {f"spark.sql.parquet.{name}": value for name, value in values.items()}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+@contextmanager
+def few_blocks(spark: SparkSession) -> Iterator[None]:
+    """Blocks are read, handed to Python and written few at a time, and not packed again."""
+    with small_batches(spark, BLOCKS_AT_ONCE), set_to(spark, **{"columnarReaderBatchSize": str(BLOCKS_AT_ONCE), "compression.codec": "uncompressed"}):
+        yield
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -176,8 +215,7 @@ def word_lists(texts: DataFrame, marks: np.ndarray) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, own in blocks(batches, BLOCK):
             words, codes, is_word = coded(own)
-            names = words.to_pylist()
-            keys = word_keys(lang, names)
+            keys = word_keys(lang, words.to_pylist())
             good = (is_word & is_marked(frequent.value, keys))[codes]
             beside = np.zeros(len(good), bool)
             beside[:-1] |= good[1:]
@@ -186,7 +224,7 @@ def word_lists(texts: DataFrame, marks: np.ndarray) -> DataFrame:
             if len(at):
                 kept, which = np.unique(codes[at], return_inverse=True)
                 lens, places = Lists.vertical(which, at, len(kept))
-                yield listed([(lang, [names[c] for c in kept.tolist()], keys[kept].tobytes(), lens, places, None, None, None)])
+                yield listed(lang, words.take(pa.array(kept)).cast(pa.string()), keys[kept].tobytes(), lens, places, None, None, None)
 
     return texts.mapInArrow(index, LISTS)
 
@@ -241,8 +279,8 @@ def extended_lists(lists: DataFrame, size: int, marks: np.ndarray) -> DataFrame:
             used, follower = np.unique(follower, return_inverse=True)
             lens, places = Lists.vertical(which, at, len(kept))
             next_lens, next_places = Lists.vertical(follower, next_at, len(used))
-            phrases = [row["phrases"][p] + " " + words[w] for p, w in zip(phrase[kept].tolist(), word[kept].tolist(), strict=True)]
-            yield listed([(row["lang"], phrases, keys[kept].tobytes(), lens, places, [words[w] for w in used.tolist()], next_lens, next_places)])
+            phrases = pc.binary_join_element_wise(row["phrases"].take(pa.array(phrase[kept])), words.take(pa.array(word[kept])), " ")
+            yield listed(row["lang"], phrases, keys[kept].tobytes(), lens, places, words.take(pa.array(used)), next_lens, next_places)
 
     return lists.mapInArrow(extend, LISTS)
 
@@ -251,23 +289,24 @@ def frequencies(lists: DataFrame, least: int) -> DataFrame:
     """Exact frequency of each listed phrase: the lengths of its lists added up, first within each task."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, str]] = Counter()
+        held: list[pa.RecordBatch] = []
+        total = 0
 
-        def handed() -> pa.RecordBatch:
-            langs, phrases = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(held.values(), pa.int64())], names=["lang", "phrase", "n"])
-
-        for batch in batches:
-            for lang, phrases, lens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for phrase, n in zip(phrases, lens, strict=True):
-                    held[lang, phrase] += n
-                if len(held) >= HELD // 4:
-                    yield handed()
-                    held.clear()
+        def handed() -> Iterator[pa.RecordBatch]:
+            own = pa.Table.from_batches(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+            yield from own.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).to_batches(HELD // 20)
+
+        for row in rows_of(batches):
+            n = len(row["phrases"])
+            held.append(pa.RecordBatch.from_arrays([pa.repeat(row["lang"], n), row["phrases"], pa.array(row["lens"], pa.int64())], names=["lang", "phrase", "n"]))
+            total += n
+            if total >= HELD:
+                yield from handed()
+                held, total = [], 0
         if held:
-            yield handed()
+            yield from handed()
 
-    return lists.select("lang", "phrases", "lens").mapInArrow(add, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    return lists.mapInArrow(add, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
 
 
 def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, absorbed: int = 100, top: int | None = 2_000, lang_col: str = "lang", text_col: str = "text", no_lang: str = "und") -> DataFrame:
@@ -295,15 +334,15 @@ def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, absorbed:
     frequent = words.filter(F.col("f") >= least)
     known = [frequent.withColumn("size", F.lit(1))]
     marks = marked(frequent.select(F.xxhash64("lang", "phrase").alias("key")))
-    with small_batches(spark):
+    with small_batches(spark), set_to(spark, **{"compression.codec": "uncompressed"}):
         lists = stored(word_lists(texts, marks), "phrase-lists") if marks is not None else None
     for size in range(1, longest):
         if lists is None:
             break
-        with small_batches(spark, BLOCKS_AT_ONCE):
+        with few_blocks(spark):
             hashes = stored(extension_counts(lists, size).filter(F.col("n") >= least), "phrase-hashes")
         marks = marked(hashes)
-        with small_batches(spark, BLOCKS_AT_ONCE):
+        with few_blocks(spark):
             longer = stored(extended_lists(lists, size, marks), "phrase-lists") if marks is not None else None
             drop_stored(lists)
             lists = longer

@@ -138,6 +138,26 @@ def test_phrase_lists_go_to_python_a_few_blocks_at_a_time(spark, monkeypatch):
     assert spark.conf.get(name) == before
 
 
+def test_phrase_lists_lie_packed_in_the_rows_of_spark(spark, monkeypatch):
+    held, settings, whole = [], ["spark.sql.parquet.columnarReaderBatchSize", "spark.sql.parquet.compression.codec"], phrases.stored
+    before = [spark.conf.get(name) for name in settings]
+
+    def watched(df, table):
+        own = whole(df, table)
+        if table == "phrase-lists":
+            held.append(own.toArrow().nbytes)
+        return own
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(300)]
+    lines = [" ".join(rng.choice(words) for _ in range(8)) for _ in range(2_000)]
+    text = ".".join(lines + lines)
+    monkeypatch.setattr(phrases, "stored", watched)
+    found = phrases.mine_phrases(documents(spark, [(1, text)]), least=2, top=None)
+    assert found.count() and len(held) == 5 and max(held) < 2 * len(text)
+    assert [spark.conf.get(name) for name in settings] == before
+
+
 @pytest.mark.parametrize("name", ["op12_phrases", "op13_chat_format"])
 def test_query_against_its_sql(spark, name):
     own = duckdb.connect()
