@@ -221,6 +221,30 @@ def test_chains_of_names_keep_every_plan_small(spark, monkeypatch, by_best):
     assert max(scans) <= 5
 
 
+@pytest.mark.parametrize("share", [0.8, 0.7, 0.6])
+def test_names_are_compared_with_leaders_and_not_with_followers(spark, monkeypatch, share):
+    monkeypatch.setattr(naming, "FIRST", 6, raising=False)
+    monkeypatch.setattr(naming, "TIMES", 3, raising=False)
+    rng, first, pairs = random.Random(9), naming.stored, []
+
+    def watched(df, name):
+        own = first(df, name)
+        if name == "greedy-edges":
+            pairs.append(own.count())
+        return own
+
+    words = ["".join(rng.choice("abcdefgh") for _ in range(size)) for size in (5, 8, 10, 12, 14, 15, 17, 19, 21, 24)]
+    names = [*words]
+    for word in words * 8:  # all like the first one of its kind, by one or two edits, and so like each other
+        at = rng.randrange(len(word))
+        names.append(rng.choice([word[:at] + "x" + word[at:], word[:at] + word[at + 1 :], word[:at] + "Y" + word[at + 1 :]]))
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(3)
+    monkeypatch.setattr(naming, "stored", watched)
+    got = {r["place"] - 1: r["leader"] - 1 for r in naming.normalised(rows, ["id"], share).collect()}
+    assert got == dict(enumerate(plain_greedy(names, share, False)))
+    assert sum(pairs) < len(names)
+
+
 def test_common_parts_make_no_pairs_of_names(spark):
     rng = random.Random(1)
     syllables = ["anth", "tion", "oure", "blei"]
